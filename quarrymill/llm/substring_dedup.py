@@ -7,7 +7,8 @@ extended to the left word by word, which gives the matching statistics up to the
 interval shrinks to one row matches nothing but itself and stops. Intervals that reach the threshold report
 the smallest document among their rows.
 
-Null and empty texts have no words; they come back with nothing removed. Texts shorter than a window are
+Null and empty texts have no words; they come back with nothing removed. A null doc_id counts as smaller
+than all others (see rows). Texts shorter than a window are
 kept, whatever repeats. Repeated rows with the same text are one class: all but the smallest id lose every
 window. Columns other than doc_id and text are not read.
 """
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrymill.llm import indexes, windows
+from quarrymill.llm.rows import identified, real_id
 from quarrymill.runtime import prepare, table
 
 WIDTH = 13
@@ -89,13 +91,14 @@ def _apply(text: bytes, doc_id: int, pairs: list) -> tuple:
 def substring_dedup(docs: DataFrame, texts: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, n_spans, kept_sha256, and kept: the words left of a changed text (binary)."""
     prepare(docs.sparkSession)
+    docs = identified(docs)
     cls = windows.classes(docs)
     staged = windows.candidates(docs, cls, UNIT, _whole)
     found = windows.members(staged, windows.indexed(staged, earliest, 6_000_000))
     joined = windows.finish(staged, found, cls, _apply, texts)
     copy = (F.col("doc_id") != F.col("rep_id")) & (F.col("n_units") >= WIDTH)
     return joined.select(
-        "doc_id",
+        real_id("doc_id").alias("doc_id"),
         F.col("n_units").alias("n_words"),
         F.when(copy, F.col("n_units")).otherwise(F.col("n_removed")).alias("n_removed"),
         F.when(copy, F.lit(1)).otherwise(F.col("n_spans")).cast("long").alias("n_spans"),

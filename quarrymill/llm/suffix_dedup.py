@@ -5,7 +5,7 @@ Burrows-Wheeler transform of the distinct contents and finds by breadth-first ba
 increasing order, all common prefixes below ``WIDTH``. What is still unknown then are the groups of suffixes
 that share ``WIDTH`` bytes or more. A group counts if its contents stand for two occurrences or more.
 
-Null counts as empty. Equal texts are one class: of two or more copies every byte goes if the text has
+Null text counts as empty; a null doc_id is one more document, see rows. Equal texts are one class: of two or more copies every byte goes if the text has
 ``WIDTH`` bytes at least, and nothing else. Shorter texts are kept. Matches never cross documents. Columns
 other than doc_id and text are not read.
 """
@@ -13,12 +13,15 @@ other than doc_id and text are not read.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrymill.llm import indexes, windows
+from quarrymill.llm.rows import identified, real_id
 from quarrymill.runtime import prepare, table
 
 WIDTH = 200
@@ -76,14 +79,33 @@ def _apply(text: bytes, doc_id: int, pairs: list) -> tuple:
 def suffix_dedup(docs: DataFrame, texts: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and kept: the bytes left of a changed text."""
     prepare(docs.sparkSession)
+    docs = identified(docs)
     cls = windows.classes(docs)
     staged = windows.candidates(docs, cls, UNIT, _whole)
     found = windows.members(staged, windows.indexed(staged, repeated, 1_500_000))
     joined = windows.finish(staged, found, cls, _apply, texts)
     kept = F.when((F.col("n_removed") > 0) & (F.col("n_removed") == F.col("n_units")), F.lit(b"")).otherwise(F.col("kept"))
-    return joined.select("doc_id", F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256", kept.alias("kept"))
+    return joined.select(real_id("doc_id").alias("doc_id"), F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256", kept.alias("kept"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """Every row of documents: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     return suffix_dedup(table(spark, sf_dir, "documents"), texts=False).drop("kept")
+
+
+def stage_function(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: all documents, without their repeated bytes.
+
+    A character that loses some of its bytes goes as a whole; n_chars follows the text where it is a column.
+    """
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([x.decode("utf-8", "ignore") for x in b.column("kept").to_pylist()], pa.string())], names=["changed_id", "left_text"])
+
+    changed = suffix_dedup(docs.select("doc_id", "text")).where("n_removed > 0").select("doc_id", "kept")
+    changed = changed.dropDuplicates(["doc_id"]).mapInArrow(decode, "changed_id long, left_text string")
+    text = F.coalesce("left_text", "text")
+    joined = docs.join(changed, F.col("doc_id") == F.col("changed_id"), "left")
+    shown = {"text": text, "n_chars": F.coalesce(F.length("left_text"), F.col("n_chars")) if "n_chars" in docs.columns else None}
+    return joined.select(*[shown[c].cast(docs.schema[c].dataType).alias(c) if c in shown else docs[c] for c in docs.columns])

@@ -80,8 +80,8 @@ def packed_runs(keys: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, byt
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, rep_id (smallest id of an equal text), class_size."""
-    thin = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("digest"))
+    """doc_id, rep_id (smallest id of an equal text), class_size; ``docs`` is what ``identified`` returns."""
+    thin = docs.select("doc_id", F.sha2("text", 256).alias("digest"))
     thin = stage(thin, "digests")
     groups = thin.groupBy("digest").agg(F.min("doc_id").alias("rep_id"), F.count("*").alias("class_size"))
     return stage(thin.join(groups, "digest").select("doc_id", "rep_id", "class_size"), "classes")
@@ -184,8 +184,8 @@ def candidates(docs: DataFrame, cls: DataFrame, unit: Unit, whole: Callable[[byt
     """
     found = repeated_segments(docs, unit).join(cls.select("doc_id", "rep_id"), "doc_id")
     lists = found.groupBy("rep_id").agg(F.collect_list("numbers").alias("numbers"))
-    reps = cls.where("doc_id = rep_id").select("rep_id", "class_size").join(lists, "rep_id", "left")
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(reps, F.col("doc_id") == F.col("rep_id")).select("doc_id", "text", "class_size", "numbers")
+    reps = cls.where("doc_id = rep_id").select("rep_id", "class_size").dropDuplicates(["rep_id"]).join(lists, "rep_id", "left")
+    texts = docs.join(reps, F.col("doc_id") == F.col("rep_id")).select("doc_id", "text", "class_size", "numbers")
     schema = "kind string, anchor long, content long, segment binary, doc_id long, start long, weight long, text string, n_units long, n_removed long, n_spans long, sha string"
     fields = [("kind", pa.string()), ("anchor", pa.int64()), ("content", pa.int64()), ("segment", pa.binary()), ("doc_id", pa.int64()), ("start", pa.int64()), ("weight", pa.int64()), ("text", pa.string()), ("n_units", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("sha", pa.string())]
 
@@ -221,6 +221,7 @@ def candidates(docs: DataFrame, cls: DataFrame, unit: Unit, whole: Callable[[byt
                     continue
                 pick = np.unique(np.frombuffer(b"".join(numbers), np.uint32))
                 _, anchor, first, _, a, e = cut(text, np.array([0, len(text)]), unit)
+                pick = pick[pick < len(anchor)]
                 anchor, first, a, e = anchor[pick].view(np.int64), first[pick], a[pick], e[pick]
                 data = text.tobytes()
                 hashes = []
@@ -326,5 +327,5 @@ def finish(staged: DataFrame, found: DataFrame, cls: DataFrame, apply: Callable[
 
     left = staged.where("kind = 'T'").select("doc_id", "text").join(found, "doc_id", "left")
     done = staged.where("kind = 'R'").select("doc_id", "n_units", "n_removed", "n_spans", "sha", F.lit(None).cast("binary").alias("kept"))
-    results = left.mapInArrow(run, schema).unionByName(done)
+    results = left.mapInArrow(run, schema).unionByName(done).dropDuplicates(["doc_id"])  # rows that repeat
     return cls.join(results.withColumnsRenamed({"doc_id": "rep_id", "sha": "kept_sha256"}), "rep_id")
