@@ -1 +1 @@
-"""Part of quarrymill."""
+"""Column functions."""

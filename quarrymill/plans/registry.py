@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quarrymill.runtime import prepare
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
@@ -22,9 +25,29 @@ def register(name: str, sql: str | None = None) -> Callable:
     return put
 
 
+#: The modules whose queries count.
+_MODULES = ("text_queries",)
+
+
+def _load() -> None:
+    for name in _MODULES:
+        importlib.import_module(f"quarrymill.plans.{name}")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return _QUERIES
+    """name -> (spark, sf_dir) -> DataFrame."""
+    _load()
+    return {k: _ready(f) for k, f in _QUERIES.items()}
+
+
+def _ready(function: Callable) -> Callable:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return function(prepare(spark), sf_dir)
+
+    return run
 
 
 def oracle_sql() -> dict[str, str]:
-    return _SQL
+    """name -> DuckDB SQL."""
+    _load()
+    return dict(_SQL)
