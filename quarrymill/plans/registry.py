@@ -26,7 +26,7 @@ def register(name: str, sql: str | None = None) -> Callable:
 
 
 #: The modules whose queries count.
-_MODULES = ("text_queries",)
+_MODULES = ("text_queries", "dataset_queries")
 
 
 def _load() -> None:
