@@ -5,10 +5,11 @@ features is shared by all grades; ordered thresholds t1 < t2 cut its score, P(gr
 sigmoid(score - t_k). Selection asks for P(grade = 2) of at least ``KEEP``; the expected grade is reported
 too.
 
-Features, hashed into ``BUCKETS``: which words a text holds (lower-cased, ASCII letters at their edges kept
-together with what surrounds them), and for each shape of a word (case pattern and last mark) the share of
-words that have it, times ``SHAPES``. Word features that fewer than ``SUPPORT`` of the fitted texts hold get
-no weight, so a long text gains nothing from rare words.
+Features, hashed into ``SIZE`` buckets: which words a text holds (ASCII upper case lowered, marks at the end cut
+off), which beginnings of ``PREFIXES`` bytes its words have, and for each shape of a word (case pattern and last mark) the share of
+words that have it, times ``SHAPES``. Word features get a weight only if ``SUPPORT`` fitted texts and
+one in ``COMMON`` hold them and their grades differ from the average by ``SCREEN`` deviations, so a long text gains nothing from the
+many words that say nothing.
 
 The model is fitted by one task on at most ``SAMPLE`` labelled texts, those whose ids have the smallest hashes;
 the bound is a parameter, and the model has a fixed size. Every text of the table is scored, whole.
@@ -33,15 +34,22 @@ from quarrymill.llm import kernels as K
 from quarrymill.llm.windows import compact
 from quarrymill.runtime import prepare, table
 
-BUCKETS = 1 << 17
+#: Buckets of words and of shapes: many, so that telling words share theirs with few others.
+BUCKETS, SHAPE_BUCKETS = 1 << 22, 1 << 10
+SIZE = BUCKETS + SHAPE_BUCKETS
 SHAPES = 6.0
+#: Bytes of a word's beginning that are features too.
+PREFIXES = (4, 5)
 SAMPLE = 20_000
-SUPPORT = 8
-KEEP = 0.5
+#: Fitted texts that must hold a word: so many, and one in COMMON (groups of copies are smaller than that).
+SUPPORT, COMMON = 8, 400
+#: Standard deviations from chance.
+SCREEN = 12.0
+KEEP = 0.6
 GRADES = 3
 PASSES = 30
-RATE = 0.15
-DECAY = 2e-4
+RATE = 1.0
+DECAY = 1e-6
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Class of each byte: 0 lower case and bytes beyond ASCII, 1 upper case, 2 digit, 3 and up the marks themselves.
@@ -68,15 +76,15 @@ def features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     inner = np.concatenate([[0], np.cumsum(_CLASS[raw] >= 2)])
     count = upper[e] - upper[s]
     case = np.where(count == 0, 0, np.where((count == 1) & (_CLASS[raw[s]] == 1), 1, np.where(count * 2 > e - s, 3, 2)))
-    last = np.where(end < e, raw[end], 0).astype(np.int64)
+    last = np.where(end < e, raw[np.minimum(end, len(raw) - 1)], 0).astype(np.int64)
     shape = case + 4 * (np.minimum(e - end, 3)) + 16 * np.minimum(inner[end] - inner[s], 3) + 64 * last
     row = np.repeat(np.arange(n), np.diff(rows))
     total = np.diff(rows)
-    word = (words % np.uint64(BUCKETS)).astype(np.int64)
-    shaped = (K.mix(shape.astype(np.uint64) + np.uint64(0x51ED270B)) % np.uint64(BUCKETS)).astype(np.int64)
-    key = np.concatenate([row * (2 * BUCKETS) + word, row * (2 * BUCKETS) + BUCKETS + shaped])
+    parts = [words, *(K.word_hashes(low, s, np.minimum(s + k, end)) ^ np.uint64(k << 60) for k in PREFIXES)]
+    shaped = (K.mix(shape.astype(np.uint64) + np.uint64(0x51ED270B)) % np.uint64(SHAPE_BUCKETS)).astype(np.int64)
+    key = np.concatenate([*(row * SIZE + (h % np.uint64(BUCKETS)).astype(np.int64) for h in parts), row * SIZE + BUCKETS + shaped])
     key, times = np.unique(key, return_counts=True)
-    row, bucket = key // (2 * BUCKETS), key % (2 * BUCKETS)
+    row, bucket = key // SIZE, key % SIZE
     value = np.where(bucket < BUCKETS, 1.0, SHAPES * times / total[row])
     return bucket, value, np.searchsorted(row, np.arange(n + 1))
 
@@ -85,21 +93,32 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * np.asarray(x)))
 
 
-def fit(bucket: np.ndarray, value: np.ndarray, offsets: np.ndarray, grade: np.ndarray, support: int = SUPPORT) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and thresholds by adaptive gradient steps over mini-batches, classes weighted evenly."""
+def fit(bucket: np.ndarray, value: np.ndarray, offsets: np.ndarray, grade: np.ndarray, support: int = SUPPORT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets with a weight, their weights, and the thresholds, by adaptive gradient steps over mini-batches
+    in which rare grades count for more."""
     n = len(grade)
-    weights = np.zeros(2 * BUCKETS)
+    seen, bucket = np.unique(bucket, return_inverse=True)  # only buckets that occur take part
+    size = len(seen)
+    weights = np.zeros(size)
     if n == 0:
-        return weights, np.full(GRADES - 1, -np.inf)
-    held = np.bincount(bucket, minlength=2 * BUCKETS)
-    usable = (held >= support) | (np.arange(2 * BUCKETS) >= BUCKETS)
-    value = np.where(usable[bucket], value, 0.0)
+        return seen, weights, np.full(GRADES - 1, -np.inf)
+    held = np.bincount(bucket, minlength=size)
+    # a word counts if texts that hold it differ from the others in a grade's share by more than chance
+    row = np.repeat(np.arange(n), np.diff(offsets))
+    differs = np.zeros(size, bool)
+    for k, p in enumerate(np.bincount(grade, minlength=GRADES) / n):
+        differs |= np.abs(np.bincount(bucket, grade[row] == k, size) - held * p) > SCREEN * np.sqrt(np.maximum(held * p * (1 - p), 1e-9))
+    usable = (held >= max(support, n / COMMON)) & (differs | (seen >= BUCKETS))
+    # the others have no part in the steps
+    keep = usable[bucket]
+    bucket, value = bucket[keep], value[keep]
+    offsets = np.concatenate([[0], np.cumsum(keep)])[offsets]
     share = np.bincount(grade, minlength=GRADES) / n
     balance = np.where(share > 0, 1 / np.maximum(share, 1e-9) ** 0.5, 0.0)
     balance /= (balance * share).sum()
     above = np.array([(grade > k).mean() for k in range(GRADES - 1)]).clip(1e-3, 1 - 1e-3)
     thresholds = -np.log(above / (1 - above))
-    gw, gt = np.full(2 * BUCKETS, 1e-8), np.full(GRADES - 1, 1e-8)
+    gw, gt = np.full(size, 1e-8), np.full(GRADES - 1, 1e-8)
     lengths = np.diff(offsets)
     random = np.random.default_rng(7)
     for step in range(PASSES):
@@ -107,9 +126,9 @@ def fit(bucket: np.ndarray, value: np.ndarray, offsets: np.ndarray, grade: np.nd
         order = random.permutation(n)
         for i in range(0, n, 256):
             rows = order[i : i + 256]
-            size = lengths[rows]
-            at = np.repeat(offsets[rows] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-            b, v, r = bucket[at], value[at], np.repeat(np.arange(len(rows)), size)
+            each = lengths[rows]
+            at = np.repeat(offsets[rows] - np.concatenate([[0], np.cumsum(each)[:-1]]), each) + np.arange(each.sum())
+            b, v, r = bucket[at], value[at], np.repeat(np.arange(len(rows)), each)
             score = np.bincount(r, weights[b] * v, minlength=len(rows))
             # cumulative link: P(grade > k) = sigmoid(score - t_k); grade probabilities are differences
             tail = np.concatenate([np.ones((len(rows), 1)), sigmoid(score[:, None] - thresholds), np.zeros((len(rows), 1))], 1)
@@ -130,12 +149,12 @@ def fit(bucket: np.ndarray, value: np.ndarray, offsets: np.ndarray, grade: np.nd
             gt += dt * dt
             thresholds = np.maximum.accumulate(thresholds - rate * dt / np.sqrt(gt))
             thresholds[1:] = np.maximum(thresholds[1:], thresholds[:-1] + 1e-3)
-    weights[~usable] = 0
-    return weights, thresholds
+    set_ = np.flatnonzero(weights)
+    return seen[set_], weights[set_], thresholds
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
-    """Weights (float32) and thresholds of the model, fitted by one task; its size does not depend on the input."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets with a weight, their weights, and the thresholds of the model, fitted by one task; its size does not depend on the input."""
     grades = labels.where("doc_id is not null and quality is not null").select("doc_id", F.when(F.col("quality") <= 0, 0).when(F.coalesce("toxic", F.lit(0)) > 0, 1).otherwise(2).alias("grade"))
     grades = grades.groupBy("doc_id").agg(F.min("grade").alias("grade"))
     chosen = grades.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # at most ``sample`` thin rows: safe to broadcast
@@ -159,21 +178,22 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
         parts = [rows[k] for k in order]
         offsets = np.concatenate([[0], np.cumsum([len(p[1]) for p in parts])]).astype(np.int64)
         flat = (lambda j, t: np.concatenate([p[j] for p in parts]).astype(t)) if parts else (lambda j, t: np.zeros(0, t))
-        weights, thresholds = fit(flat(1, np.int64), flat(2, np.float64), offsets, np.array([p[0] for p in parts], np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((weights.astype(np.float32), thresholds))], pa.binary())], names=["model"])
+        model = fit(flat(1, np.int64), flat(2, np.float64), offsets, np.array([p[0] for p in parts], np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
     model = texts.mapInArrow(compact(hashed), "doc_id long, grade int, buckets binary, vals binary").repartition(1).mapInArrow(fitted, "model binary").collect()
-    return pickle.loads(model[0]["model"]) if model else fit(np.zeros(0, np.int64), np.zeros(0), np.zeros(1, np.int64), np.zeros(0, np.int64))
+    return pickle.loads(model[0]["model"])
 
 
 def graded(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, score, expected_grade, p_good (P(grade = 2)) and kept of every document."""
     spark = prepare(docs.sparkSession)
-    weights, thresholds = train(docs, labels, sample)
-    model = spark.sparkContext.broadcast((weights, thresholds))  # 2 * BUCKETS floats
+    model = spark.sparkContext.broadcast(train(docs, labels, sample))  # SIZE weights at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, thresholds = model.value
+        buckets, values, thresholds = model.value
+        weights = np.zeros(SIZE, np.float32)
+        weights[buckets] = values
         for b in batches:
             raw, offsets = K.utf8(b.column("text"))
             scores = []

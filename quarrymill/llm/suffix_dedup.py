@@ -105,7 +105,7 @@ def stage_function(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     changed = suffix_dedup(docs.select("doc_id", "text")).where("n_removed > 0").select("doc_id", "kept")
     changed = changed.dropDuplicates(["doc_id"]).mapInArrow(decode, "changed_id long, left_text string")
-    text = F.coalesce("left_text", "text")
-    joined = docs.join(changed, F.col("doc_id") == F.col("changed_id"), "left")
-    shown = {"text": text, "n_chars": F.coalesce(F.length("left_text"), F.col("n_chars")) if "n_chars" in docs.columns else None}
+    text = F.coalesce(changed["left_text"], docs["text"])
+    joined = docs.join(changed, docs["doc_id"] == changed["changed_id"], "left")
+    shown = {"text": text, "n_chars": F.coalesce(F.length(changed["left_text"]), docs["n_chars"]) if "n_chars" in docs.columns else None}
     return joined.select(*[shown[c].cast(docs.schema[c].dataType).alias(c) if c in shown else docs[c] for c in docs.columns])
