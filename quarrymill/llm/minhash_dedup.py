@@ -10,8 +10,10 @@ similarity s meets in no table with a chance below ``2 * (1 - s**ROWS)**BANDS``:
 3. Candidates are verified on full sets (centres with many partners are salted), and linked sets form
    components.
 4. Buckets that still hold several components are gone through again: each class outside the bucket's main
-   component meets all members of other components. So no pair that shares a bucket stays unseen, unless its
-   two sides are one component already.
+   component is set against all members of other components. Shingles that no other set of such buckets holds
+   bound exactly what two sets can share; pairs within that bound of which ``ESTIMATE`` of the minhashes agree
+   (a pair of 0.8 fails that with a chance of 3e-7) are verified. So no pair that shares a bucket is left
+   out, unless its two sides are one component already.
 
 Null and empty texts and texts of only whitespace have an empty set: they are linked with nothing, not even
 with each other. A null doc_id counts as smaller than all others (see rows). Repeated rows are copies like any other.
@@ -41,9 +43,14 @@ SHINGLE = 4
 LEAST = 80
 #: Partners that one task verifies against a centre.
 SALT = 2000
+#: Minhashes of the tables, and more (16 bits each) that only estimate a similarity.
+TABLE = 2 * BANDS * ROWS
+MORE = 88
+#: Least share of equal minhashes of a pair that step 4 verifies: five deviations below 0.8.
+ESTIMATE = 0.625
 _RNG = np.random.default_rng(20240117)
-_A = _RNG.integers(0, 1 << 63, 2 * BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _RNG.integers(0, 1 << 63, 2 * BANDS * ROWS, np.uint64)
+_A = _RNG.integers(0, 1 << 63, TABLE + MORE, np.uint64) * np.uint64(2) + np.uint64(1)
+_B = _RNG.integers(0, 1 << 63, TABLE + MORE, np.uint64)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -67,12 +74,21 @@ def shingle_rows(raw: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarr
     return hashes, out
 
 
-def signatures(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Minhashes of the (non-empty) rows, a row of 2 * BANDS * ROWS each."""
+def signatures(hashes: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """Minhashes of the (non-empty) rows: TABLE whole ones and MORE of 16 bits, packed."""
     out = np.empty((len(offsets) - 1, len(_A)), np.uint64)
     for j, (a, b) in enumerate(zip(_A, _B)):
         out[:, j] = np.minimum.reduceat((hashes ^ b) * a, offsets[:-1])
-    return out
+    # the low bits: the high ones of a minimum are nearly always 0
+    short = (out[:, TABLE:] & np.uint64(0xFFFF)).astype(np.uint16)
+    return [x.tobytes() + y.tobytes() for x, y in zip(out[:, :TABLE], short)]
+
+
+def unpacked(signature: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The whole minhashes, and all of them in 16 bits."""
+    data = np.frombuffer(b"".join(signature), np.uint16).reshape(len(signature), -1)
+    whole = np.ascontiguousarray(data[:, : 4 * TABLE]).view(np.uint64)
+    return whole, np.concatenate([(whole & np.uint64(0xFFFF)).astype(np.uint16), data[:, 4 * TABLE :]], 1)
 
 
 def table_keys(signature: np.ndarray) -> np.ndarray:
@@ -102,7 +118,7 @@ def summaries(docs: DataFrame, k: int) -> DataFrame:
                 if new:
                     flat = np.concatenate([sets[r] for r in new])
                     for r, x in zip(new, signatures(flat, np.concatenate([[0], np.cumsum(sizes[new])]))):
-                        signature[r] = x.tobytes()
+                        signature[r] = x
                 halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([ids[i:j].cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(signature, pa.binary())], names=["doc_id", "n", "h1", "h2", "signature"])
 
@@ -117,8 +133,7 @@ def buckets(sets: DataFrame) -> DataFrame:
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column("rep").to_numpy()
-            signature = np.frombuffer(b"".join(b.column("signature").to_pylist()), np.uint64).reshape(len(ids), -1)
-            keys = table_keys(signature).ravel()
+            keys = table_keys(unpacked(b.column("signature").to_pylist())[0]).ravel()
             owner = np.repeat(ids, BANDS * BANDS)
             part = (keys % np.uint64(parts)).astype(np.int32)
             by = np.argsort(part, kind="stable")
@@ -160,23 +175,29 @@ def buckets(sets: DataFrame) -> DataFrame:
     return stage(dealt.mapInArrow(meet, "key long, a long, b long"), "buckets")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, k: int, least: int) -> DataFrame:
-    """The pairs (centre a, partner b) with 100 * intersection >= least * union, on full sets."""
-    spark = docs.sparkSession
-    counted = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT).cast("int").alias("salts"))
-    partner = pairs.join(counted, "a").select(F.col("b").alias("id"), F.col("a").alias("centre"), F.pmod(F.hash("b"), "salts").alias("salt"), F.lit(False).alias("own"))
-    centre = counted.select(F.col("a").alias("id"), F.col("a").alias("centre"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("own"))
-    asked = partner.union(centre).groupBy("id").agg(F.collect_list(F.struct("centre", "salt", "own")).alias("asked"))
-    rows = docs.withColumnRenamed("doc_id", "id").join(asked, "id")
+def full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """Staged: id, n and the whole set (sorted uint64, packed) of the documents named in ``ids``."""
+    # the named ids grow with the table, so they are never broadcast
+    rows = docs.withColumnRenamed("doc_id", "id").join(ids.select("id").distinct().hint("merge"), "id")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw, offsets = K.utf8(b.column("text"))
-            for r, (doc_id, asked) in enumerate(zip(b.column("id").to_pylist(), b.column("asked").to_pylist())):
-                hashes, _ = shingle_rows(raw[offsets[r] : offsets[r + 1]], np.array([0, offsets[r + 1] - offsets[r]]), k)
-                data = np.unique(hashes).tobytes()
-                n = len(asked)
-                yield pa.RecordBatch.from_arrays([pa.array([x["centre"] for x in asked], pa.int64()), pa.array([x["salt"] for x in asked], pa.int32()), pa.array([not x["own"] for x in asked]), pa.array([doc_id] * n, pa.int64()), pa.array([data] * n, pa.binary())], names=["centre", "salt", "partner", "id", "data"])
+            for i, j in K.chunks(offsets):
+                hashes, rows = shingle_rows(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k)
+                sets = [np.unique(hashes[x:y]) for x, y in zip(rows[:-1], rows[1:])]
+                yield pa.RecordBatch.from_arrays([b.column("id")[i:j], pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["id", "n", "data"])
+
+    return stage(rows.mapInArrow(compact(run), "id long, n long, data binary").dropDuplicates(["id"]), "fullsets")
+
+
+def verified(sets: DataFrame, pairs: DataFrame, least: int) -> DataFrame:
+    """Staged: the pairs (centre a, partner b) with 100 * intersection >= least * union, on full sets."""
+    spark = sets.sparkSession
+    counted = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT).cast("int").alias("salts"))
+    partner = pairs.join(counted, "a").select(F.col("b").alias("id"), F.col("a").alias("centre"), F.pmod(F.hash("b"), "salts").alias("salt"), F.lit(True).alias("partner"))
+    centre = counted.select(F.col("a").alias("id"), F.col("a").alias("centre"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("partner"))
+    rows = sets.select("id", "data").join(partner.union(centre).hint("merge"), "id")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centre, own = None, None
@@ -198,10 +219,98 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, least: int) -> DataFrame
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["src", "dst"])
 
-    dealt = rows.mapInArrow(compact(sets), "centre long, salt int, partner boolean, id long, data binary").repartition(partitions(spark), "centre", "salt").sortWithinPartitions("centre", "salt", "partner")
+    dealt = rows.select("centre", "salt", "partner", "id", "data").repartition(partitions(spark), "centre", "salt").sortWithinPartitions("centre", "salt", "partner")
     return stage(dealt.mapInArrow(compare, "src long, dst long"), "links")
 
 
+def lonely(sets: DataFrame) -> DataFrame:
+    """id and own: how many of its shingles no other set of ``sets`` (id, data) holds; ids without any are left out."""
+    parts = partitions(sets.sparkSession) * 8
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = [np.frombuffer(x, np.uint64) for x in b.column("data").to_pylist()]
+            for i in range(0, len(lists), 200):
+                group = lists[i : i + 200]
+                values = np.concatenate(group)
+                owner = np.repeat(b.column("id").to_numpy()[i : i + 200], [len(x) for x in group])
+                part = (values % np.uint64(parts)).astype(np.int32)
+                by = np.argsort(part, kind="stable")
+                values, owner, part = values[by], owner[by], part[by]
+                cuts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+                ends = np.append(cuts[1:], len(part))
+                yield pa.RecordBatch.from_arrays([pa.array(part[cuts], pa.int32()), pa.array([values[x:y].tobytes() for x, y in zip(cuts, ends)], pa.binary()), pa.array([owner[x:y].tobytes() for x, y in zip(cuts, ends)], pa.binary())], names=["part", "keys", "ids"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def of(held: list[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+            if held:
+                values, ids = (np.frombuffer(b"".join(c), t) for c, t in zip(zip(*held), (np.uint64, np.int64)))
+                _, where, times = np.unique(values, return_index=True, return_counts=True)
+                doc, n = np.unique(ids[where[times == 1]], return_counts=True)
+                if len(doc):
+                    yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(n)], names=["id", "own"])
+
+        held, now = [], None
+        for b in batches:
+            for part, keys, ids in zip(*(b.column(c).to_pylist() for c in ("part", "keys", "ids"))):
+                if part != now:
+                    yield from of(held)
+                    held, now = [], part
+                held.append((keys, ids))
+        yield from of(held)
+
+    dealt = sets.select("id", "data").mapInArrow(deal, "part int, keys binary, ids binary").repartition(partitions(sets.sparkSession), "part").sortWithinPartitions("part")
+    return dealt.mapInArrow(compact(count), "id long, own long").groupBy("id").agg(F.sum("own").alias("own"))
+
+
+def stray_pairs(mixed: DataFrame, least: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a bucket and may be similar enough, each once.
+
+    ``mixed``: key, id, component, main (the bucket's largest component) and signature. Only pairs with a
+    side outside the main component count. A pair is named by the first table in which it meets, if enough
+    minhashes agree; nothing is emitted for the others. ``n`` and ``own`` (see ``lonely``) bound what two sets
+    can share by min(n - own): a pair that cannot reach ``least`` is left out.
+    """
+
+    def pairs_of(key: int, ids: list, comps: list, mains: list, signature: list, n: list, own: list) -> Iterator[pa.RecordBatch]:
+        whole, short = unpacked(signature)
+        keys = table_keys(whole).view(np.int64)
+        number = int(np.flatnonzero(keys[0] == key)[0])
+        ids, comps, n = np.array(ids), np.array(comps), np.array(n)
+        shared = n - np.array(own)
+        stray = comps != mains[0]
+        agree = int(np.ceil(ESTIMATE * short.shape[1]))
+        rows = np.flatnonzero(stray)
+        for i in range(0, len(rows), 32):
+            a = rows[i : i + 32]
+            for j in range(0, len(ids), 1024):
+                b = np.arange(j, min(j + 1024, len(ids)))
+                wanted = (comps[a][:, None] != comps[b]) & (~stray[b] | (ids[a][:, None] < ids[b]))
+                both = np.minimum(shared[a][:, None], shared[b])
+                x, y = np.nonzero(wanted & (100 * both >= least * (n[a][:, None] + n[b] - both)))
+                x, y = a[x], b[y]
+                near = (short[x] == short[y]).sum(1) >= agree
+                x, y = x[near], y[near]
+                first = (keys[x] == keys[y]).argmax(1) == number
+                x, y = x[first], y[first]
+                if len(x):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[x]), pa.array(ids[y])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for b in batches:
+            for row in zip(*(b.column(c).to_pylist() for c in ("key", "id", "component", "main", "signature", "n", "own"))):
+                if held and held[0][0] != row[0]:
+                    yield from pairs_of(held[0][0], *zip(*[r[1:] for r in held]))
+                    held = []
+                held.append(row)
+        if held:
+            yield from pairs_of(held[0][0], *zip(*[r[1:] for r in held]))
+
+    dealt = mixed.repartition(partitions(mixed.sparkSession), "key").sortWithinPartitions("key")
+    return dealt.mapInArrow(compact(run), "a long, b long")
+
+
 def near_dedup(docs: DataFrame, shingle: int = 5, least: int = LEAST) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id = component_id)."""
     prepare(docs.sparkSession)
@@ -211,22 +320,23 @@ def near_dedup(docs: DataFrame, shingle: int = 5, least: int = LEAST) -> DataFra
     sets = stage(filled.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.max("signature").alias("signature")), "sets")
     met = buckets(sets.select("rep", "signature"))
     pairs = stage(met.where("key is null").select("a", "b").distinct(), "pairs")
-    links = verified(docs, pairs, shingle, least)
+    involved = full_sets(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")), shingle)
+    links = verified(involved, pairs, least)
     labels = connected_components(links)
     members = met.where("key is not null").select("key", F.col("a").alias("id"))
     named = members.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     shares = named.groupBy("key", "component").agg(F.count("*").alias("share"))
     mains = shares.groupBy("key").agg(F.max_by("component", F.struct("share", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("key", "main")
     mixed = stage(named.join(mains, "key"), "mixed")
-    strays = mixed.where("component <> main").select("key", F.col("id").alias("a"), F.col("component").alias("of"))
-    more = strays.join(mixed.select("key", F.col("id").alias("b"), "component"), "key").where("of <> component").select("a", "b").distinct()
-    known = pairs.union(pairs.select("b", "a"))
-    # two strays meet in both directions; one is enough
-    more = more.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.min("a").alias("a"), F.min_by("b", "a").alias("b")).select("a", "b")
-    more = stage(more.join(known, ["a", "b"], "left_anti"), "strays")
-    if not more.isEmpty():
-        links = links.union(verified(docs, more, shingle, least))
-        labels = connected_components(links)
+    if not mixed.isEmpty():
+        seen = mixed.select("id").distinct()
+        alone = lonely(involved.join(seen.hint("merge"), "id", "left_semi"))
+        facts = seen.join(sets.select(F.col("rep").alias("id"), "n", "signature").hint("merge"), "id").join(alone.hint("merge"), "id", "left").na.fill(0, ["own"])
+        more = stray_pairs(mixed.join(facts.hint("merge"), "id").select("key", "id", "component", "main", "signature", "n", "own"), least)
+        more = stage(more.join(pairs, (pairs["a"] == F.least(more["a"], more["b"])) & (pairs["b"] == F.greatest(more["a"], more["b"])), "left_anti"), "strays")
+        if not more.isEmpty():
+            links = links.union(verified(involved, more, least))
+            labels = connected_components(links)
     named = rows.join(sets.select("h1", "h2", "n", "rep"), ["h1", "h2", "n"], "left").join(labels, F.col("rep") == F.col("id"), "left")
     component = F.coalesce("component", "rep", "doc_id")
     return named.select(real_id("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), real_id(component).alias("component_id"), (F.col("doc_id") == component).alias("kept"))
