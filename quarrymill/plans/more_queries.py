@@ -130,3 +130,16 @@ def excluded_sources(spark, d):
     free = rows.join(test, "document_id", "left_anti")
     weights = free.groupBy("document_id").agg(F.count("*").alias("size")).withColumn("stratum", F.lit("all"))
     return free.join(S.balanced(weights).select("document_id", "split"), "document_id").select("candidate_id", "document_id", "split")
+
+
+@register("a12_embedding_cache", "SELECT d.doc_id, len(e.embedding)::INTEGER AS dimensions FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id")
+def embedding_cache(spark, d):
+    """Vectors come to their rows by id, so the order of the cache does not matter."""
+    cache = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.size("embedding").alias("dimensions"))
+    return table(spark, d, "documents").select("doc_id").join(cache, "doc_id")
+
+
+@register("a13_missing_vectors", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
+def missing_vectors(spark, d):
+    """Rows that an encoder still has to do."""
+    return table(spark, d, "documents").select("doc_id").join(table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_anti")
