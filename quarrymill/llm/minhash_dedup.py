@@ -5,14 +5,14 @@ Two collections of ``BANDS`` short keys are made from ``ROWS`` minhashes each; a
 first collection with one of the second, so ``BANDS**2`` tables cost ``2 * BANDS * ROWS`` minhashes. A pair of
 similarity s meets in no table with a chance below ``2 * (1 - s**ROWS)**BANDS``: 7e-5 at s = 0.8.
 
-1. Every text is read once: set size, set digest and signature. Equal sets form one class.
+1. Every text is read: set size, set digest and signature. Equal sets form one class.
 2. Table keys of the classes are dealt as packed arrays; a bucket links each member to its smallest one.
 3. Candidates are verified on full sets (centres with many partners are salted), and linked sets form
    components.
 4. Buckets that still hold several components are gone through again: each class outside the bucket's main
    component is set against all members of other components. Shingles that no other set of such buckets holds
    bound exactly what two sets can share; pairs within that bound of which ``ESTIMATE`` of the minhashes agree
-   (a pair of 0.8 fails that with a chance of 3e-7) are verified. So no pair that shares a bucket is left
+   (a pair of 0.8 fails that with a chance of 4e-5, less than that of meeting in no table) are verified. So no pair that shares a bucket is left
    out, unless its two sides are one component already.
 
 Null and empty texts and texts of only whitespace have an empty set: they are linked with nothing, not even
@@ -43,14 +43,13 @@ SHINGLE = 4
 LEAST = 80
 #: Partners that one task verifies against a centre.
 SALT = 2000
-#: Minhashes of the tables, and more (16 bits each) that only estimate a similarity.
-TABLE = 2 * BANDS * ROWS
-MORE = 88
-#: Least share of equal minhashes of a pair that step 4 verifies: five deviations below 0.8.
-ESTIMATE = 0.625
+#: Minhashes of the tables, and of the finer estimate for classes in mixed buckets (16 bits each).
+TABLE, FINE = 2 * BANDS * ROWS, 512
+#: Least share of equal minhashes of a pair that step 4 verifies: four deviations below 0.8.
+ESTIMATE = 0.729
 _RNG = np.random.default_rng(20240117)
-_A = _RNG.integers(0, 1 << 63, TABLE + MORE, np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _RNG.integers(0, 1 << 63, TABLE + MORE, np.uint64)
+_A = _RNG.integers(0, 1 << 63, TABLE + FINE, np.uint64) * np.uint64(2) + np.uint64(1)
+_B = _RNG.integers(0, 1 << 63, TABLE + FINE, np.uint64)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -74,21 +73,19 @@ def shingle_rows(raw: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarr
     return hashes, out
 
 
-def signatures(hashes: np.ndarray, offsets: np.ndarray) -> list[bytes]:
-    """Minhashes of the (non-empty) rows: TABLE whole ones and MORE of 16 bits, packed."""
-    out = np.empty((len(offsets) - 1, len(_A)), np.uint64)
-    for j, (a, b) in enumerate(zip(_A, _B)):
-        out[:, j] = np.minimum.reduceat((hashes ^ b) * a, offsets[:-1])
-    # the low bits: the high ones of a minimum are nearly always 0
-    short = (out[:, TABLE:] & np.uint64(0xFFFF)).astype(np.uint16)
-    return [x.tobytes() + y.tobytes() for x, y in zip(out[:, :TABLE], short)]
+def signatures(hashes: np.ndarray, offsets: np.ndarray, which: slice) -> np.ndarray:
+    """Minhashes of the (non-empty) rows, a row each."""
+    a, b = _A[which], _B[which]
+    out = np.empty((len(offsets) - 1, len(a)), np.uint64)
+    for j in range(len(a)):
+        out[:, j] = np.minimum.reduceat((hashes ^ b[j]) * a[j], offsets[:-1])
+    return out
 
 
-def unpacked(signature: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The whole minhashes, and all of them in 16 bits."""
-    data = np.frombuffer(b"".join(signature), np.uint16).reshape(len(signature), -1)
-    whole = np.ascontiguousarray(data[:, : 4 * TABLE]).view(np.uint64)
-    return whole, np.concatenate([(whole & np.uint64(0xFFFF)).astype(np.uint16), data[:, 4 * TABLE :]], 1)
+def fine_signatures(sets: list[np.ndarray]) -> list[bytes]:
+    """FINE minhashes of each set, 16 bits each: the low ones, as the high bits of a minimum are nearly always 0."""
+    found = signatures(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(x) for x in sets])]), slice(TABLE, None))
+    return [x.tobytes() for x in (found & np.uint64(0xFFFF)).astype(np.uint16)]
 
 
 def table_keys(signature: np.ndarray) -> np.ndarray:
@@ -117,8 +114,8 @@ def summaries(docs: DataFrame, k: int) -> DataFrame:
                 signature: list[bytes | None] = [None] * len(sets)
                 if new:
                     flat = np.concatenate([sets[r] for r in new])
-                    for r, x in zip(new, signatures(flat, np.concatenate([[0], np.cumsum(sizes[new])]))):
-                        signature[r] = x
+                    for r, x in zip(new, signatures(flat, np.concatenate([[0], np.cumsum(sizes[new])]), slice(0, TABLE))):
+                        signature[r] = x.tobytes()
                 halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([ids[i:j].cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(signature, pa.binary())], names=["doc_id", "n", "h1", "h2", "signature"])
 
@@ -133,7 +130,7 @@ def buckets(sets: DataFrame) -> DataFrame:
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column("rep").to_numpy()
-            keys = table_keys(unpacked(b.column("signature").to_pylist())[0]).ravel()
+            keys = table_keys(np.frombuffer(b"".join(b.column("signature").to_pylist()), np.uint64).reshape(len(ids), -1)).ravel()
             owner = np.repeat(ids, BANDS * BANDS)
             part = (keys % np.uint64(parts)).astype(np.int32)
             by = np.argsort(part, kind="stable")
@@ -263,18 +260,30 @@ def lonely(sets: DataFrame) -> DataFrame:
     return dealt.mapInArrow(compact(count), "id long, own long").groupBy("id").agg(F.sum("own").alias("own"))
 
 
+def refine(sets: DataFrame) -> DataFrame:
+    """id and fine signature of whole sets (id, data)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = [np.frombuffer(x, np.uint64) for x in b.column("data").to_pylist()]
+            for i in range(0, len(lists), 100):
+                yield pa.RecordBatch.from_arrays([b.column("id")[i : i + 100], pa.array(fine_signatures(lists[i : i + 100]), pa.binary())], names=["id", "fine"])
+
+    return sets.select("id", "data").mapInArrow(compact(run), "id long, fine binary")
+
+
 def stray_pairs(mixed: DataFrame, least: int) -> DataFrame:
     """Pairs (a, b) of different components that share a bucket and may be similar enough, each once.
 
-    ``mixed``: key, id, component, main (the bucket's largest component) and signature. Only pairs with a
+    ``mixed``: key, id, component, main (the bucket's largest component), signature and fine. Only pairs with a
     side outside the main component count. A pair is named by the first table in which it meets, if enough
     minhashes agree; nothing is emitted for the others. ``n`` and ``own`` (see ``lonely``) bound what two sets
     can share by min(n - own): a pair that cannot reach ``least`` is left out.
     """
 
-    def pairs_of(key: int, ids: list, comps: list, mains: list, signature: list, n: list, own: list) -> Iterator[pa.RecordBatch]:
-        whole, short = unpacked(signature)
-        keys = table_keys(whole).view(np.int64)
+    def pairs_of(key: int, ids: list, comps: list, mains: list, signature: list, fine: list, n: list, own: list) -> Iterator[pa.RecordBatch]:
+        keys = table_keys(np.frombuffer(b"".join(signature), np.uint64).reshape(len(ids), -1)).view(np.int64)
+        short = np.frombuffer(b"".join(fine), np.uint16).reshape(len(ids), -1)
         number = int(np.flatnonzero(keys[0] == key)[0])
         ids, comps, n = np.array(ids), np.array(comps), np.array(n)
         shared = n - np.array(own)
@@ -289,17 +298,17 @@ def stray_pairs(mixed: DataFrame, least: int) -> DataFrame:
                 both = np.minimum(shared[a][:, None], shared[b])
                 x, y = np.nonzero(wanted & (100 * both >= least * (n[a][:, None] + n[b] - both)))
                 x, y = a[x], b[y]
-                near = (short[x] == short[y]).sum(1) >= agree
-                x, y = x[near], y[near]
                 first = (keys[x] == keys[y]).argmax(1) == number
                 x, y = x[first], y[first]
+                near = (short[x] == short[y]).sum(1) >= agree
+                x, y = x[near], y[near]
                 if len(x):
                     yield pa.RecordBatch.from_arrays([pa.array(ids[x]), pa.array(ids[y])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for b in batches:
-            for row in zip(*(b.column(c).to_pylist() for c in ("key", "id", "component", "main", "signature", "n", "own"))):
+            for row in zip(*(b.column(c).to_pylist() for c in ("key", "id", "component", "main", "signature", "fine", "n", "own"))):
                 if held and held[0][0] != row[0]:
                     yield from pairs_of(held[0][0], *zip(*[r[1:] for r in held]))
                     held = []
@@ -331,8 +340,9 @@ def near_dedup(docs: DataFrame, shingle: int = 5, least: int = LEAST) -> DataFra
     if not mixed.isEmpty():
         seen = mixed.select("id").distinct()
         alone = lonely(involved.join(seen.hint("merge"), "id", "left_semi"))
-        facts = seen.join(sets.select(F.col("rep").alias("id"), "n", "signature").hint("merge"), "id").join(alone.hint("merge"), "id", "left").na.fill(0, ["own"])
-        more = stray_pairs(mixed.join(facts.hint("merge"), "id").select("key", "id", "component", "main", "signature", "n", "own"), least)
+        refined = refine(involved.join(seen.hint("merge"), "id", "left_semi"))
+        facts = seen.join(refined.hint("merge"), "id").join(sets.select(F.col("rep").alias("id"), "n", "signature").hint("merge"), "id").join(alone.hint("merge"), "id", "left").na.fill(0, ["own"])
+        more = stray_pairs(mixed.join(facts.hint("merge"), "id").select("key", "id", "component", "main", "signature", "fine", "n", "own"), least)
         more = stage(more.join(pairs, (pairs["a"] == F.least(more["a"], more["b"])) & (pairs["b"] == F.greatest(more["a"], more["b"])), "left_anti"), "strays")
         if not more.isEmpty():
             links = links.union(verified(involved, more, least))
@@ -351,3 +361,17 @@ def stage_function(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each component of near duplicates stays (five-word shingles)."""
     kept = near_dedup(docs.select("doc_id", "text")).where("kept").select("doc_id")
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+
+
+SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM d)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * k >= 80 * (nx.n + ny.n - k)),
+e AS (SELECT x AS a, y AS b FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT a AS id, a AS root FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id),
+c AS (SELECT id, min(root) AS root FROM r GROUP BY id)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(c.root, d.doc_id) AS component_id, coalesce(c.root, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.id = d.doc_id
+"""
