@@ -19,6 +19,8 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": exact_dedup.SQL,
+    "op2_substring_dedup": substring_dedup.SQL,
     "op6_warc_revisits": warc.SQL,
+    "op7_minhash_near_dedup": minhash_dedup.SQL,
     "op10_topk_search": search.SQL,
 }

@@ -110,3 +110,14 @@ def substring_dedup(docs: DataFrame, texts: bool = True) -> DataFrame:
 def query(spark, sf_dir: str) -> DataFrame:
     """Every row of documents: doc_id, n_words, n_removed, kept_sha256."""
     return substring_dedup(table(spark, sf_dir, "documents"), texts=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
+first AS (SELECT s, min(doc_id) AS least FROM win GROUP BY s),
+gone AS (SELECT doc_id, list(DISTINCT p) AS gone FROM (SELECT doc_id, unnest(range(i, i + 13)) AS p FROM win JOIN first USING (s) WHERE least < doc_id) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+       sha256(array_to_string(list_transform(list_filter(range(1, len(w) + 1), lambda p: gone IS NULL OR NOT list_contains(gone, p)), lambda p: w[p]), ' ')) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id)
+"""
