@@ -15,6 +15,7 @@ each on its own. A table without rows gives no pieces. Columns other than doc_id
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,8 @@ CAPACITY = 4096
 END = 1
 GROUP = 40_000
 #: Words whose ids a Python worker keeps, and the longest of them.
-CACHED, LONGEST = 500_000, 64
+CACHED, LONGEST = 700_000, 64
+MARKS = b".,!?;:*%$#&|"
 _state: dict = {}
 
 
@@ -41,7 +43,7 @@ def default_path() -> str:
 
 
 def word_ids(text: bytes, path: str) -> bytes:
-    """Token ids of a text, as little-endian uint32.
+    """Token ids of a text, as little-endian uint32 (the order of the machines that Spark runs on).
 
     The tokenizer splits at white space before anything else, so a text's ids are those of its words.
     """
@@ -52,19 +54,24 @@ def word_ids(text: bytes, path: str) -> bytes:
 
         cache = _state[path] = {}
         _state[path, "tokenizer"] = Tokenizer.from_file(path)
-    words = text.split()
-    missing = [w for w in set(words).difference(cache)]
-    if missing:
-        if len(cache) > CACHED:
-            cache.clear()
-            missing = list(set(words))
-        encoded = _state[path, "tokenizer"].encode_batch([w.decode() for w in missing], add_special_tokens=False)
-        found = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(missing, encoded)}
-        long = {w: found.pop(w) for w in missing if len(w) > LONGEST}
-        cache.update(found)
-        if long:
-            return b"".join([long[w] if w in long else cache[w] for w in words])
-    return b"".join(map(cache.__getitem__, words))
+    # the tokenizer lowers all but its special tokens; done here, more words are the same
+    words = text.split() if b"<|" in text else text.lower().split()
+    missing = set(words).difference(cache)
+    if not missing:
+        return b"".join(map(cache.__getitem__, words))
+    if len(cache) > CACHED:
+        cache.clear()
+        missing = set(words)
+    # marks behind a letter are tokens of their own, so a word and its marks can be looked up apart
+    split = {w: (core, w[len(core) :]) for w in missing if w[-1] in MARKS and (core := w.rstrip(MARKS)) and chr(core[-1]).isalpha() and core[-1] < 128}
+    fresh = list((missing.difference(split) | {x for pair in split.values() for x in pair}).difference(cache))
+    encoded = _state[path, "tokenizer"].encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False)
+    found = {w: array("I", e.ids).tobytes() for w, e in zip(fresh, encoded)}
+    known = {x: found[x] if x in found else cache[x] for pair in split.values() for x in pair}
+    found |= {w: known[core] + known[marks] for w, (core, marks) in split.items()}
+    parts = [found[w] if w in found else cache[w] for w in words]
+    cache.update((w, x) for w, x in found.items() if len(w) <= LONGEST)
+    return b"".join(parts)
 
 
 def token_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
