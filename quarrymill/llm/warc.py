@@ -16,6 +16,7 @@ read.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 from collections.abc import Iterator
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymill.runtime import new_path, partitions, prepare, table
+from quarrymill.runtime import new_path, prepare, stage, table
 
 #: Payloads of fewer bytes are always written in full.
 LEAST = 100
@@ -78,15 +79,17 @@ def records(rows: DataFrame) -> DataFrame:
 
 
 def write_archives(rows: DataFrame, path: str) -> None:
-    """Write resolved rows as uncompressed WARC files below ``path``."""
-    records(rows).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", RECORDS).text(path)
+    """Write resolved rows as gzipped WARC files below ``path``."""
+    records(rows).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", RECORDS).option("compression", "gzip").text(path)
 
 
 _HEADER = re.compile(rb"([^:\r\n]+):[ \t]*([^\r\n]*)\r\n")
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of each record of an archive."""
+    """Headers and block of each record of an archive, gzipped or not."""
+    if data.startswith(b"\x1f\x8b"):
+        data = gzip.decompress(data)
     at = 0
     while at < len(data):
         end = data.index(b"\r\n\r\n", at) + 2
@@ -144,7 +147,7 @@ def archive_pages(pages: DataFrame, path: str | None = None) -> DataFrame:
     write_archives(resolved(pages), path)
     read = read_archives(spark, path)
     headers = read.select("page_id", "record_type", F.when(F.col("sound"), F.col("payload_digest")).alias("payload_digest"), "refers_to", F.octet_length("payload").cast("long").alias("payload_bytes"))
-    return revisit_sources(headers)
+    return revisit_sources(stage(headers, "headers"))  # thin rows, used thrice; archives are parsed once
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -161,5 +164,3 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
 FROM f
 """
-
-__all__ = ["archive_pages", "parse", "partitions", "query", "read_archives", "records", "resolved", "revisit_sources", "write_archives"]
