@@ -96,7 +96,7 @@ def test_search_against_sums(spark, docs, rows, empty):
             df[t] = df.get(t, 0) + 1
     got: dict[int, list] = {}
     asked = docs.where("doc_id % 5 = 0").select(F.col("doc_id").alias("query_id"), "text")
-    for shard in (16_384, 20):
+    for shard in (12_288, 20):
         got.clear()
         for r in search.top_documents(docs, asked, 10, shard).orderBy("query_id", "rank").collect():
             got.setdefault(r["query_id"], []).append((r["doc_id"], r["score"]))
