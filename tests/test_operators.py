@@ -7,6 +7,7 @@ from quarrymill.operators import pairing as R
 from quarrymill.operators import splits as S
 from quarrymill.operators import stats
 from quarrymill.operators.graph import connected_components
+from quarrymill.plans import registry
 from quarrymill.sources import jsonl
 
 
@@ -42,6 +43,24 @@ def test_components_of_chains_and_hubs(spark):
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
+def test_whole_components_against_union_find(spark, tmp_path):
+    random.seed(2)
+    edges = [(random.choice([7, 40_000, 5_000_000]) + random.randint(0, 60), random.randint(0, 90), float(random.randint(1, 50))) for _ in range(150)]
+    spark.createDataFrame(edges, "l_orderkey long, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    root: dict[int, int] = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for order, part, _ in edges:
+        a, b = find(2 * order), find(2 * part + 1)
+        root[max(a, b)] = min(a, b)
+    got = {r["id"]: r["component"] for r in registry.queries()["j5_whole_components"](spark, str(tmp_path)).collect()}
+    assert got == {x: find(x) for x in root} and len(set(got.values())) > 1
+
+
 def test_splits_balance_and_last_stratum_wins(spark):
     rows = [(f"d{i % 60}", int(i % 3 > 0), "k" if i % 3 == 0 else None) for i in range(300)]
     df = spark.createDataFrame(rows, "document_id string, label int, negative_type string")
