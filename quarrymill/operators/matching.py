@@ -32,32 +32,49 @@ def near_duplicates(left: DataFrame, right: DataFrame, least: float = 0.5, n: in
     return found.where(F.col("similarity") >= least)
 
 
-def sentence_windows(pages: DataFrame, target: int, least: int = 15, relative: float = 0.1) -> DataFrame:
-    """page_id, first, last, words: runs of whole sentences whose words lie within the tolerance of ``target``.
+def sentence_windows(pages: DataFrame, target: int, least: int = 15, relative: float = 0.1, texts: bool = False) -> DataFrame:
+    """page_id, first, last, words (and the text, if ``texts``): runs of whole sentences whose words lie within the tolerance of ``target``.
 
     ``pages``: page_id, opening (normalised). All runs of a page are found in its row: from each first sentence
     the running totals decide.
     """
     tolerance = max(least, round(target * relative))
     low, high = target - tolerance, target + tolerance
-    rows = pages.select("page_id", F.transform(T.sentences("opening"), T.word_count).alias("w")).where(F.size("w") > 0)
+    rows = pages.select("page_id", T.sentences("opening").alias("s")).withColumn("w", F.transform("s", T.word_count)).where(F.size("w") > 0)
     ends = F.aggregate("w", F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
     rows = rows.withColumn("p", ends)
-    runs = rows.select("page_id", "p", F.explode(F.sequence(F.lit(0), F.size("p") - 2)).alias("first"))
-    runs = runs.select("page_id", "first", "p", F.explode(F.filter(F.sequence(F.col("first") + 1, F.size("p") - 1), lambda e: (F.get("p", e) - F.get("p", F.col("first"))).between(low, high))).alias("last"))
-    return runs.select("page_id", "first", "last", (F.get("p", F.col("last")) - F.get("p", F.col("first"))).alias("words"))
+    runs = rows.select("page_id", "s", "p", F.explode(F.sequence(F.lit(0), F.size("p") - 2)).alias("first"))
+    runs = runs.select("page_id", "first", "s", "p", F.explode(F.filter(F.sequence(F.col("first") + 1, F.size("p") - 1), lambda e: (F.get("p", e) - F.get("p", F.col("first"))).between(low, high))).alias("last"))
+    text = [F.array_join(F.slice("s", F.col("first") + 1, F.col("last") - F.col("first")), " ").alias("text")] if texts else []
+    return runs.select("page_id", "first", "last", (F.get("p", F.col("last")) - F.get("p", F.col("first"))).alias("words"), *text)
+
+
+def candidate_copies(candidates: DataFrame, passages: DataFrame, pages: DataFrame, least: float = 0.5) -> DataFrame:
+    """``candidates`` (passage_id, page_id, ...) with ``copy``: the page is a near duplicate of its passage, and ``copies``:
+    the other candidate pages that are near duplicates of it. ``passages`` and ``pages``: id, text."""
+    pool = stage(pages.join(candidates.select(F.col("page_id").alias("id")).distinct(), "id", "left_semi").select("id", "text"), "pool")
+    asked = passages.join(candidates.select(F.col("passage_id").alias("id")).distinct(), "id", "left_semi").select("id", "text")
+    own = near_duplicates(asked, pool, least).select(F.col("left_id").alias("passage_id"), F.col("right_id").alias("page_id"), F.lit(True).alias("copy"))
+    others = near_duplicates(pool, pool, least).where("left_id <> right_id").groupBy(F.col("left_id").alias("page_id")).agg(F.collect_set("right_id").alias("copies"))
+    return candidates.join(own, ["passage_id", "page_id"], "left").join(others, "page_id", "left").na.fill(False, ["copy"])
 
 
 def greedy_matches(candidates: DataFrame, floor: float) -> DataFrame:
     """passage_id, page_id, score, reason: passages in order take their best unused page of ``semantic`` >= floor.
 
-    ``candidates``: passage_id, ord, page_id, semantic, score (page_id null for a passage without any). The
-    choice is sequential by nature, so the few scored rows of a run go to one task; all scoring is done before.
+    ``candidates``: passage_id, ord, page_id, semantic, score (page_id null for a passage without any), and copy
+    and copies (see ``candidate_copies``) where near duplicates of the passage or of accepted pages are to be
+    dropped. The choice is sequential by nature, so the few scored rows of a run go to one task; all scoring is
+    done before.
     """
+    texts = "copies" in candidates.columns
 
     def walk(part: pd.DataFrame) -> pd.DataFrame:
         used: set[str] = set()
         out = []
+        if texts:
+            near = {page: list(copies) for page, copies in zip(part["page_id"], part["copies"]) if copies is not None}
+            part = part.assign(page_id=part["page_id"].where(~part["copy"].astype(bool)))
         for (_, passage), rows in part.sort_values(["ord", "passage_id"], kind="stable").groupby(["ord", "passage_id"], sort=True):
             rows = rows[rows["page_id"].notna()]
             free = rows[~rows["page_id"].isin(used)].sort_values(["score", "page_id"], ascending=[False, True], kind="stable")
@@ -65,6 +82,8 @@ def greedy_matches(candidates: DataFrame, floor: float) -> DataFrame:
             if len(good):
                 page, score = good.iloc[0]["page_id"], good.iloc[0]["score"]
                 used.add(page)
+                if texts:
+                    used.update(near.get(page, ()))
                 out.append((passage, page, float(score), "matched"))
             else:
                 out.append((passage, None, None, "below_floor" if len(free) else "no_candidates"))

@@ -113,6 +113,24 @@ def match_audit(spark, d):
     return greedy_matches(spark, d).agg(F.count("*").alias("requested"), F.count("page_id").alias("accepted"), (F.count("*") - F.count("page_id")).alias("shortfall"), F.round(F.avg("score"), 6).alias("mean_score"))
 
 
+@register("g17_distinct_matches")
+def distinct_matches(spark, d):
+    """As ``g17_greedy_matches``, but near duplicates of the passage or of an accepted page are no candidates."""
+    passages = table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("id"), "text")
+    pages = X.pages(spark, d).select(F.col("page_id").alias("id"), F.col("extract").alias("text"))
+    return G.greedy_matches(G.candidate_copies(stage(_candidates(spark, d), "candidates"), passages, pages), 0.4)
+
+
+@register("g18_distinct_reasons")
+def distinct_reasons(spark, d):
+    return distinct_matches(spark, d).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@register("g19_distinct_audit")
+def distinct_audit(spark, d):
+    return distinct_matches(spark, d).agg(F.count("*").alias("requested"), F.count("page_id").alias("accepted"), (F.count("*") - F.count("page_id")).alias("shortfall"), F.round(F.avg("score"), 6).alias("mean_score"))
+
+
 _NORM = r"trim(regexp_replace(lower(text), '\s+', ' ', 'g'))"
 _SH = "list_distinct(list_transform(range(1, greatest(2, len({0}) - 6)), lambda i: substr({0}, i, 8)))"
 

@@ -109,6 +109,14 @@ def page_candidates(spark, d):
     return G.sentence_windows(pages.repartition(spark.sparkContext.defaultParallelism), 100).groupBy("page_id").agg(F.count("*").alias("windows"))
 
 
+@register("g16_distinct_candidates")
+def distinct_candidates(spark, d):
+    """As ``g16_page_candidates``, but of pages of 50 words or more, and equal texts of a page count once."""
+    pages = X.pages(spark, d).where(T.word_count("extract") >= 50).where(~T.is_list_page("title", "extract")).select("page_id", T.first_words("extract", 400).alias("opening"))
+    windows = G.sentence_windows(pages.repartition(spark.sparkContext.defaultParallelism), 100, texts=True)
+    return windows.groupBy("page_id").agg(F.count_distinct(F.md5("text")).alias("windows"))
+
+
 @register("h5_predictions", f"WITH {X.scored_sql()} SELECT doc_id, label, score AS probability, (score >= 0.5)::INTEGER AS prediction FROM scored")
 def predictions(spark, d):
     return X.scored(spark, d).select("doc_id", "label", F.col("score").alias("probability"), (F.col("score") >= 0.5).cast("int").alias("prediction"))

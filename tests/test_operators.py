@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from quarrymill.operators import matching
 from quarrymill.operators import metrics as M
 from quarrymill.operators import pairing as R
 from quarrymill.operators import splits as S
@@ -80,6 +81,26 @@ def test_nearest_lengths_and_duplicate_pairs(spark):
     assert [tuple(r) for r in R.complete_pairs(rows).collect()] == [("c", "y", "z")]
 
 
+def test_copies_are_no_matches(spark):
+    words = lambda seed: " ".join(str(random.Random(seed * 1000 + i).random()) for i in range(30))
+    passages = spark.createDataFrame([("a", words(1)), ("b", words(2)), ("c", words(3))], "id string, text string")
+    pages = spark.createDataFrame([("own", words(1) + " more"), ("x", words(4)), ("x2", words(4) + " end"), ("y", words(5))], "id string, text string")
+    rows = [("a", 1, "own", 0.9, 0.9), ("a", 1, "x", 0.8, 0.8), ("b", 2, "x2", 0.9, 0.9), ("b", 2, "y", 0.8, 0.8), ("c", 3, "x2", 0.9, 0.9), ("c", 3, "y", 0.9, 0.8)]
+    candidates = spark.createDataFrame(rows, "passage_id string, ord int, page_id string, semantic double, score double")
+    got = {r["passage_id"]: (r["page_id"], r["reason"]) for r in matching.greedy_matches(matching.candidate_copies(candidates, passages, pages), 0.4).collect()}
+    assert got == {"a": ("x", "matched"), "b": ("y", "matched"), "c": (None, "no_candidates")}
+
+
+def test_equal_windows_count_once(spark, tmp_path):
+    sentence = " ".join(["Word"] + ["word"] * 49) + "."
+    pages = [(1, "u", f"<title>T</title>{sentence} {sentence} {sentence} {sentence}"), (2, "u", "<title>T</title>Too short.")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: r["windows"] for r in registry.queries()["g16_distinct_candidates"](spark, str(tmp_path)).collect()}
+    old = {r["page_id"]: r["windows"] for r in registry.queries()["g16_page_candidates"](spark, str(tmp_path)).collect()}
+    # the title is text of the page too, so the first window differs from the others
+    assert old["1"] == 3 and got == {"1": 2}
+
+
 def test_sign_test(spark):
     df = spark.createDataFrame([(0.1,)] * 8 + [(-0.1,)] * 2 + [(0.0,)], "margin double")
     r = stats.sign_test(df).first()
