@@ -11,9 +11,8 @@ similarity s meets in no table with a chance below ``2 * (1 - s**ROWS)**BANDS``:
    components.
 4. Buckets that still hold several components are gone through again: each class outside the bucket's main
    component is set against all members of other components. Shingles that no other set of such buckets holds
-   bound exactly what two sets can share; pairs within that bound of which ``ESTIMATE`` of the minhashes agree
-   (a pair of 0.8 fails that with a chance of 4e-5, less than that of meeting in no table) are verified. So no pair that shares a bucket is left
-   out, unless its two sides are one component already.
+   bound exactly what two sets can share; pairs within that bound are verified in the bucket, on what their sets
+   share. So no pair that shares a bucket is left out, unless its two sides are one component already.
 
 Null and empty texts and texts of only whitespace have an empty set: they are linked with nothing, not even
 with each other. A null doc_id counts as smaller than all others (see rows). Repeated rows are copies like any other.
@@ -43,13 +42,11 @@ SHINGLE = 4
 LEAST = 80
 #: Partners that one task verifies against a centre.
 SALT = 2000
-#: Minhashes of the tables, and of the finer estimate for classes in mixed buckets (16 bits each).
-TABLE, FINE = 2 * BANDS * ROWS, 512
-#: Least share of equal minhashes of a pair that step 4 verifies: four deviations below 0.8.
-ESTIMATE = 0.729
+#: Minhashes of the tables.
+TABLE = 2 * BANDS * ROWS
 _RNG = np.random.default_rng(20240117)
-_A = _RNG.integers(0, 1 << 63, TABLE + FINE, np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _RNG.integers(0, 1 << 63, TABLE + FINE, np.uint64)
+_A = _RNG.integers(0, 1 << 63, TABLE, np.uint64) * np.uint64(2) + np.uint64(1)
+_B = _RNG.integers(0, 1 << 63, TABLE, np.uint64)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -73,21 +70,14 @@ def shingle_rows(raw: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarr
     return hashes, out
 
 
-def signatures(hashes: np.ndarray, offsets: np.ndarray, which: slice) -> np.ndarray:
+def signatures(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Minhashes of the (non-empty) rows, a row each."""
-    a, b = _A[which], _B[which]
-    out = np.empty((len(offsets) - 1, len(a)), np.uint64)
-    for j in range(len(a)):
-        out[:, j] = np.minimum.reduceat((hashes ^ b[j]) * a[j], offsets[:-1])
+    out = np.empty((len(offsets) - 1, TABLE), np.uint64)
+    for j in range(TABLE):
+        out[:, j] = np.minimum.reduceat((hashes ^ _B[j]) * _A[j], offsets[:-1])
     return out
 
 
-def fine_signatures(sets: list[np.ndarray]) -> list[bytes]:
-    """FINE minhashes of each set, 16 bits each: the low ones, as the high bits of a minimum are nearly always 0."""
-    found = signatures(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(x) for x in sets])]), slice(TABLE, None))
-    return [x.tobytes() for x in (found & np.uint64(0xFFFF)).astype(np.uint16)]
-
-
 def table_keys(signature: np.ndarray) -> np.ndarray:
     """BANDS * BANDS table keys for each signature row."""
     halves = signature.reshape(len(signature), 2, BANDS, ROWS)
@@ -114,7 +104,7 @@ def summaries(docs: DataFrame, k: int) -> DataFrame:
                 signature: list[bytes | None] = [None] * len(sets)
                 if new:
                     flat = np.concatenate([sets[r] for r in new])
-                    for r, x in zip(new, signatures(flat, np.concatenate([[0], np.cumsum(sizes[new])]), slice(0, TABLE))):
+                    for r, x in zip(new, signatures(flat, np.concatenate([[0], np.cumsum(sizes[new])]))):
                         signature[r] = x.tobytes()
                 halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([ids[i:j].cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(signature, pa.binary())], names=["doc_id", "n", "h1", "h2", "signature"])
@@ -260,64 +250,61 @@ def lonely(sets: DataFrame) -> DataFrame:
     return dealt.mapInArrow(compact(count), "id long, own long").groupBy("id").agg(F.sum("own").alias("own"))
 
 
-def refine(sets: DataFrame) -> DataFrame:
-    """id and fine signature of whole sets (id, data)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lists = [np.frombuffer(x, np.uint64) for x in b.column("data").to_pylist()]
-            for i in range(0, len(lists), 100):
-                yield pa.RecordBatch.from_arrays([b.column("id")[i : i + 100], pa.array(fine_signatures(lists[i : i + 100]), pa.binary())], names=["id", "fine"])
-
-    return sets.select("id", "data").mapInArrow(compact(run), "id long, fine binary")
-
-
-def stray_pairs(mixed: DataFrame, least: int) -> DataFrame:
-    """Pairs (a, b) of different components that share a bucket and may be similar enough, each once.
+def stray_links(mixed: DataFrame, least: int) -> DataFrame:
+    """Staged: links (src, dst) of different components that share a bucket, enough to join all that are similar.
 
-    ``mixed``: key, id, component, main (the bucket's largest component), signature and fine. Only pairs with a
-    side outside the main component count. A pair is named by the first table in which it meets, if enough
-    minhashes agree; nothing is emitted for the others. ``n`` and ``own`` (see ``lonely``) bound what two sets
-    can share by min(n - own): a pair that cannot reach ``least`` is left out.
+    ``mixed``: key, id, component, main (the bucket's largest component), signature, data (the whole set), n and
+    own (see ``lonely``). Only pairs with a side outside the main component count. A pair is looked at in the first
+    table in which it meets. What two sets can share is bounded by min(n - own); pairs within that are counted
+    exactly: the bucket's shingles get numbers, and a set's numbers are marked for all its partners. Components
+    that a link of the bucket has joined are one from then on. A bucket's sets are in memory at once.
     """
 
-    def pairs_of(key: int, ids: list, comps: list, mains: list, signature: list, fine: list, n: list, own: list) -> Iterator[pa.RecordBatch]:
+    def links_of(key: int, ids: list, comps: list, mains: list, signature: list, data: list, n: list, own: list) -> Iterator[pa.RecordBatch]:
         keys = table_keys(np.frombuffer(b"".join(signature), np.uint64).reshape(len(ids), -1)).view(np.int64)
-        short = np.frombuffer(b"".join(fine), np.uint16).reshape(len(ids), -1)
         number = int(np.flatnonzero(keys[0] == key)[0])
-        ids, comps, n = np.array(ids), np.array(comps), np.array(n)
+        ids, n = np.array(ids), np.array(n)
+        _, comps = np.unique(np.array([*comps, mains[0]]), return_inverse=True)
+        comps, main = comps[:-1].copy(), comps[-1]
         shared = n - np.array(own)
-        stray = comps != mains[0]
-        agree = int(np.ceil(ESTIMATE * short.shape[1]))
-        rows = np.flatnonzero(stray)
-        for i in range(0, len(rows), 32):
-            a = rows[i : i + 32]
-            for j in range(0, len(ids), 1024):
-                b = np.arange(j, min(j + 1024, len(ids)))
-                wanted = (comps[a][:, None] != comps[b]) & (~stray[b] | (ids[a][:, None] < ids[b]))
-                both = np.minimum(shared[a][:, None], shared[b])
-                x, y = np.nonzero(wanted & (100 * both >= least * (n[a][:, None] + n[b] - both)))
-                x, y = a[x], b[y]
-                first = (keys[x] == keys[y]).argmax(1) == number
-                x, y = x[first], y[first]
-                near = (short[x] == short[y]).sum(1) >= agree
-                x, y = x[near], y[near]
-                if len(x):
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[x]), pa.array(ids[y])], names=["a", "b"])
+        values, flat = np.unique(np.frombuffer(b"".join(data), np.uint64), return_inverse=True)
+        flat = flat.astype(np.int32)
+        offsets = np.concatenate([[0], np.cumsum([len(x) // 8 for x in data])])
+        marks = np.zeros(len(values), bool)
+        stray = comps != main
+        src, dst = [], []
+        for a in np.flatnonzero(stray):
+            both = np.minimum(shared[a], shared)
+            wanted = (comps != comps[a]) & (~stray | (ids[a] < ids)) & (100 * both >= least * (n[a] + n - both))
+            found = np.flatnonzero(wanted)
+            found = found[(keys[found] == keys[a]).argmax(1) == number]
+            if not len(found):
+                continue
+            marks[flat[offsets[a] : offsets[a + 1]]] = True
+            for b in found:
+                if comps[b] != comps[a]:
+                    common = int(np.count_nonzero(marks[flat[offsets[b] : offsets[b + 1]]]))
+                    if 100 * common >= least * (n[a] + n[b] - common):
+                        src.append(ids[a])
+                        dst.append(ids[b])
+                        comps[comps == comps[b]] = comps[a]
+            marks[flat[offsets[a] : offsets[a + 1]]] = False
+        if src:
+            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for b in batches:
-            for row in zip(*(b.column(c).to_pylist() for c in ("key", "id", "component", "main", "signature", "fine", "n", "own"))):
+            for row in zip(*(b.column(c).to_pylist() for c in ("key", "id", "component", "main", "signature", "data", "n", "own"))):
                 if held and held[0][0] != row[0]:
-                    yield from pairs_of(held[0][0], *zip(*[r[1:] for r in held]))
+                    yield from links_of(held[0][0], *zip(*[r[1:] for r in held]))
                     held = []
                 held.append(row)
         if held:
-            yield from pairs_of(held[0][0], *zip(*[r[1:] for r in held]))
+            yield from links_of(held[0][0], *zip(*[r[1:] for r in held]))
 
     dealt = mixed.repartition(partitions(mixed.sparkSession), "key").sortWithinPartitions("key")
-    return dealt.mapInArrow(compact(run), "a long, b long")
+    return stage(dealt.mapInArrow(compact(run), "src long, dst long"), "strays")
 
 
 def near_dedup(docs: DataFrame, shingle: int = 5, least: int = LEAST) -> DataFrame:
@@ -340,13 +327,10 @@ def near_dedup(docs: DataFrame, shingle: int = 5, least: int = LEAST) -> DataFra
     if not mixed.isEmpty():
         seen = mixed.select("id").distinct()
         alone = lonely(involved.join(seen.hint("merge"), "id", "left_semi"))
-        refined = refine(involved.join(seen.hint("merge"), "id", "left_semi"))
-        facts = seen.join(refined.hint("merge"), "id").join(sets.select(F.col("rep").alias("id"), "n", "signature").hint("merge"), "id").join(alone.hint("merge"), "id", "left").na.fill(0, ["own"])
-        more = stray_pairs(mixed.join(facts.hint("merge"), "id").select("key", "id", "component", "main", "signature", "fine", "n", "own"), least)
-        more = stage(more.join(pairs, (pairs["a"] == F.least(more["a"], more["b"])) & (pairs["b"] == F.greatest(more["a"], more["b"])), "left_anti"), "strays")
+        facts = seen.join(involved.select("id", "data").hint("merge"), "id").join(sets.select(F.col("rep").alias("id"), "n", "signature").hint("merge"), "id").join(alone.hint("merge"), "id", "left").na.fill(0, ["own"])
+        more = stray_links(mixed.join(facts.hint("merge"), "id").select("key", "id", "component", "main", "signature", "data", "n", "own"), least)
         if not more.isEmpty():
-            links = links.union(verified(involved, more, least))
-            labels = connected_components(links)
+            labels = connected_components(links.union(more))
     named = rows.join(sets.select("h1", "h2", "n", "rep"), ["h1", "h2", "n"], "left").join(labels, F.col("rep") == F.col("id"), "left")
     component = F.coalesce("component", "rep", "doc_id")
     return named.select(real_id("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), real_id(component).alias("component_id"), (F.col("doc_id") == component).alias("kept"))

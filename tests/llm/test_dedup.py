@@ -93,3 +93,17 @@ def test_large_near_group(spark):
         rows.append((i, " ".join(words)))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert found(minhash_dedup.near_dedup(docs, 4), "n_shingles", "component_id", "kept") == brute.near(rows)
+
+
+def test_pair_that_few_minhashes_show(spark):
+    """A pair of exactly 0.8 whose own words hold the minima of many hashes, seen in mixed buckets only: each bucket
+    that it shares has a smaller document, near to both but not near enough."""
+    rng = np.random.default_rng(4)
+    core = [f"c{i}" for i in range(80)]
+    a = [f"p{i}" for i in (2830, 2235, 1828, 1830, 545, 2652, 2769, 938, 474, 229)]
+    b = [f"p{i}" for i in (1039, 2161, 2288, 2113, 175, 2626, 2805, 276, 1753, 1938)]
+    rows = [(k, [*rng.choice(core, 71, replace=False), *(f"j{k}_{i}" for i in range(4))]) for k in range(40)]
+    rows = [(i, " ".join(w)) for i, w in [*rows, (1000, core + a), (1001, core + b)]]
+    expected = brute.near(rows, 1)
+    assert expected[1001][1] == expected[1000][1]
+    assert found(minhash_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), 1), "n_shingles", "component_id", "kept") == expected
