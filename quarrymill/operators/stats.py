@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def bootstrap_interval(margins: DataFrame, resamples: int = 200, low: float = 0.025, high: float = 0.975) -> DataFrame:
+def bootstrap_interval(margins: DataFrame, resamples: int = 10_000, low: float = 0.025, high: float = 0.975) -> DataFrame:
     """low and high of the mean of ``margin`` over resamples drawn by hash: row i of resample b is value
     hash(b, i) mod n. ``margins`` has rn = 0 ... n - 1 and margin; its rows meet each draw by an equi-join."""
     n = margins.agg(F.count("*").alias("n"))

@@ -1,5 +1,7 @@
+import hashlib
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from quarrymill.operators import matching
@@ -101,6 +103,14 @@ def test_equal_windows_count_once(spark, tmp_path):
     assert old["1"] == 3 and got == {"1": 2}
 
 
+def test_bootstrap_against_numpy(spark):
+    margins = [((i * 37) % 23 - 9) / 7 for i in range(12)]
+    draw = lambda b, i: int(hashlib.md5(f"{b}-{i}".encode()).hexdigest()[:8], 16) % 12
+    means = [np.mean([margins[draw(b, i)] for i in range(12)]) for b in range(10_000)]
+    r = stats.bootstrap_interval(spark.createDataFrame(list(enumerate(margins)), "rn long, margin double")).first()
+    assert np.allclose([r["low"], r["high"]], np.quantile(means, [0.025, 0.975]), atol=1e-9)
+
+
 def test_sign_test(spark):
     df = spark.createDataFrame([(0.1,)] * 8 + [(-0.1,)] * 2 + [(0.0,)], "margin double")
     r = stats.sign_test(df).first()
