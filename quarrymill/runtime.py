@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -13,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 _PACKAGE = Path(__file__).resolve().parent
 _shipped: dict[str, str] = {}
+_staged: dict[str, list[str]] = {}
+#: Rows and bytes of an Arrow batch at most: a worker holds some MB of text, however long the texts are.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -20,7 +24,10 @@ def prepare(spark: SparkSession) -> SparkSession:
 
     The archive goes through Spark's own file server, so driver and executors need no common folder.
     """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")  # some MB of text, whatever the rows
+    for key, most in BATCH.items():  # a caller's smaller bounds stay
+        now = int(re.sub(r"\D", "", spark.conf.get(key)) or 0)
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         buffer = io.BytesIO()
@@ -35,9 +42,11 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where the session names none (tests)."""
+    """The folder of ``spark.checkpoint.dir``; a temporary one only where the session names none and runs on one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
         folder = getattr(spark, "_quarrymill_dir", None)
         if folder is None:
             folder = "file://" + tempfile.mkdtemp(prefix="quarrymill-")
@@ -47,7 +56,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, label: str) -> str:
     """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _staged.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
@@ -62,11 +73,12 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Remove a folder of the shared file system."""
+def clean(spark: SparkSession) -> None:
+    """Remove all that this application has staged; results that still read it can't be used any more."""
     jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    for path in _staged.pop(spark.sparkContext.applicationId, []):
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def partitions(spark: SparkSession) -> int:
