@@ -17,8 +17,8 @@ _P = U(0x9E3779B97F4A7C15)
 _Q = U(0xC2B2AE3D27D4EB4F)
 _S33, _S29, _S32 = U(33), U(29), U(32)
 _M1, _M2 = U(0xFF51AFD7ED558CCD), U(0xC4CEB9FE1A85EC53)
-#: Units handled at once; longer documents are cut into overlapping pieces.
-PIECE = 1 << 20
+#: Units handled at once (their arrays stay in a core's cache); longer documents are cut into overlapping pieces.
+PIECE = 1 << 18
 #: The whitespace of the contracts: space and \x09 to \x0D.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrymill.llm import kernels as K
+from quarrymill.llm.dealing import Dealer, by_part, to_owners
 from quarrymill.llm.rows import identified, real_id
 from quarrymill.llm.windows import compact
 from quarrymill.operators.graph import connected_components
@@ -114,26 +115,19 @@ def summaries(docs: DataFrame, k: int) -> DataFrame:
 
 def buckets(sets: DataFrame) -> DataFrame:
     """Staged rows of two kinds: candidate pairs (key null) and the members (a) of buckets of three or more."""
-    spark = sets.sparkSession
-    parts = partitions(spark) * 8
+    parts = partitions(sets.sparkSession)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dealer = Dealer(parts, ["keys", "ids"])
         for b in batches:
             ids = b.column("rep").to_numpy()
             keys = table_keys(np.frombuffer(b"".join(b.column("signature").to_pylist()), np.uint64).reshape(len(ids), -1)).ravel()
-            owner = np.repeat(ids, BANDS * BANDS)
-            part = (keys % np.uint64(parts)).astype(np.int32)
-            by = np.argsort(part, kind="stable")
-            keys, owner, part = keys[by], owner[by], part[by]
-            cuts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-            ends = np.append(cuts[1:], len(part))
-            yield pa.RecordBatch.from_arrays([pa.array(part[cuts], pa.int32()), pa.array([keys[i:j].tobytes() for i, j in zip(cuts, ends)], pa.binary()), pa.array([owner[i:j].tobytes() for i, j in zip(cuts, ends)], pa.binary())], names=["part", "keys", "ids"])
+            if dealer.add(keys, np.repeat(ids, BANDS * BANDS)):
+                yield dealer.packed(dealer.gathered())
+        yield from dealer.rest()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def of(held: list[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
-            if not held:
-                return
-            keys, ids = (np.frombuffer(b"".join(c), t) for c, t in zip(zip(*held), (np.uint64, np.int64)))
+        for keys, ids in by_part(batches, {"keys": np.uint64, "ids": np.int64}):
             by = np.lexsort([ids, keys])
             keys, ids = keys[by], ids[by]
             head = np.append(True, keys[1:] != keys[:-1])
@@ -149,16 +143,7 @@ def buckets(sets: DataFrame) -> DataFrame:
             for i in range(0, len(k), 20_000):
                 yield pa.RecordBatch.from_arrays([pa.array(k[i : i + 20_000]), pa.array(m[i : i + 20_000]), pa.nulls(len(m[i : i + 20_000]), pa.int64())], names=["key", "a", "b"])
 
-        held, now = [], None
-        for b in batches:
-            for part, keys, ids in zip(*(b.column(c).to_pylist() for c in ("part", "keys", "ids"))):
-                if part != now:
-                    yield from of(held)
-                    held, now = [], part
-                held.append((keys, ids))
-        yield from of(held)
-
-    dealt = sets.mapInArrow(deal, "part int, keys binary, ids binary").repartition(partitions(spark), "part").sortWithinPartitions("part")
+    dealt = to_owners(sets.mapInArrow(deal, "part int, keys binary, ids binary"))
     return stage(dealt.mapInArrow(meet, "key long, a long, b long"), "buckets")
 
 
@@ -212,41 +197,27 @@ def verified(sets: DataFrame, pairs: DataFrame, least: int) -> DataFrame:
 
 def lonely(sets: DataFrame) -> DataFrame:
     """id and own: how many of its shingles no other set of ``sets`` (id, data) holds; ids without any are left out."""
-    parts = partitions(sets.sparkSession) * 8
+    parts = partitions(sets.sparkSession)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dealer = Dealer(parts, ["keys", "ids"])
         for b in batches:
+            ids = b.column("id").to_numpy()
             lists = [np.frombuffer(x, np.uint64) for x in b.column("data").to_pylist()]
             for i in range(0, len(lists), 200):
                 group = lists[i : i + 200]
-                values = np.concatenate(group)
-                owner = np.repeat(b.column("id").to_numpy()[i : i + 200], [len(x) for x in group])
-                part = (values % np.uint64(parts)).astype(np.int32)
-                by = np.argsort(part, kind="stable")
-                values, owner, part = values[by], owner[by], part[by]
-                cuts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-                ends = np.append(cuts[1:], len(part))
-                yield pa.RecordBatch.from_arrays([pa.array(part[cuts], pa.int32()), pa.array([values[x:y].tobytes() for x, y in zip(cuts, ends)], pa.binary()), pa.array([owner[x:y].tobytes() for x, y in zip(cuts, ends)], pa.binary())], names=["part", "keys", "ids"])
+                if dealer.add(np.concatenate(group), np.repeat(ids[i : i + 200], [len(x) for x in group])):
+                    yield dealer.packed(dealer.gathered())
+        yield from dealer.rest()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def of(held: list[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
-            if held:
-                values, ids = (np.frombuffer(b"".join(c), t) for c, t in zip(zip(*held), (np.uint64, np.int64)))
-                _, where, times = np.unique(values, return_index=True, return_counts=True)
-                doc, n = np.unique(ids[where[times == 1]], return_counts=True)
-                if len(doc):
-                    yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(n)], names=["id", "own"])
-
-        held, now = [], None
-        for b in batches:
-            for part, keys, ids in zip(*(b.column(c).to_pylist() for c in ("part", "keys", "ids"))):
-                if part != now:
-                    yield from of(held)
-                    held, now = [], part
-                held.append((keys, ids))
-        yield from of(held)
-
-    dealt = sets.select("id", "data").mapInArrow(deal, "part int, keys binary, ids binary").repartition(partitions(sets.sparkSession), "part").sortWithinPartitions("part")
+        for values, ids in by_part(batches, {"keys": np.uint64, "ids": np.int64}):
+            _, where, times = np.unique(values, return_index=True, return_counts=True)
+            doc, n = np.unique(ids[where[times == 1]], return_counts=True)
+            if len(doc):
+                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(n)], names=["id", "own"])
+
+    dealt = to_owners(sets.select("id", "data").mapInArrow(deal, "part int, keys binary, ids binary"))
     return dealt.mapInArrow(compact(count), "id long, own long").groupBy("id").agg(F.sum("own").alias("own"))
 
 

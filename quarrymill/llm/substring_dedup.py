@@ -9,8 +9,9 @@ the smallest document among their rows.
 
 Null and empty texts have no words; they come back with nothing removed. A null doc_id counts as smaller
 than all others (see rows). Texts shorter than a window are
-kept, whatever repeats. Repeated rows with the same text are one class: all but the smallest id lose every
-window. Columns other than doc_id and text are not read.
+kept, whatever repeats. Equal texts are one class: all but the rows of the smallest id lose every window. Rows that
+repeat an id are not smaller than each other: with equal texts they get the same result, with other texts each
+is a document of its own. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from quarrymill.runtime import prepare, table
 
 WIDTH = 13
 UNIT = windows.Unit(words=True, width=WIDTH, gram=7)
+#: Bytes of contents that are indexed together.
+INDEX = 4_000_000
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
 
@@ -92,10 +95,10 @@ def substring_dedup(docs: DataFrame, texts: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, n_spans, kept_sha256, and kept: the words left of a changed text (binary)."""
     prepare(docs.sparkSession)
     docs = identified(docs)
-    cls = windows.classes(docs)
-    staged = windows.candidates(docs, cls, UNIT, _whole)
-    found = windows.members(staged, windows.indexed(staged, earliest, 6_000_000))
-    joined = windows.finish(staged, found, cls, _apply, texts)
+    rows, groups = windows.classes(docs)
+    staged = windows.candidates(docs, groups, UNIT, _whole)
+    found = windows.members(staged, windows.indexed(staged, earliest, INDEX))
+    joined = rows.join(windows.finish(staged, found, groups, _apply, texts), "digest")
     copy = (F.col("doc_id") != F.col("rep_id")) & (F.col("n_units") >= WIDTH)
     return joined.select(
         real_id("doc_id").alias("doc_id"),

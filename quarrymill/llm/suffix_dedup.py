@@ -5,9 +5,10 @@ Burrows-Wheeler transform of the distinct contents and finds by breadth-first ba
 increasing order, all common prefixes below ``WIDTH``. What is still unknown then are the groups of suffixes
 that share ``WIDTH`` bytes or more. A group counts if its contents stand for two occurrences or more.
 
-Null text counts as empty; a null doc_id is one more document, see rows. Equal texts are one class: of two or more copies every byte goes if the text has
-``WIDTH`` bytes at least, and nothing else. Shorter texts are kept. Matches never cross documents. Columns
-other than doc_id and text are not read.
+Null text counts as empty; a null doc_id is one more document, see rows. Equal texts are one class, whatever their
+ids: of two or more copies every byte goes if the text has ``WIDTH`` bytes at least, and nothing else. So rows that
+repeat id and text lose their text, and rows that repeat an id with other texts are documents of their own. Shorter
+texts are kept. Matches never cross documents. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from quarrymill.runtime import prepare, table
 
 WIDTH = 200
 UNIT = windows.Unit(words=False, width=WIDTH, gram=100)
+#: Bytes of contents that are indexed together.
+INDEX = 1_000_000
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
 
@@ -76,16 +79,22 @@ def _apply(text: bytes, doc_id: int, pairs: list) -> tuple:
     return len(text), int(gone.sum()), spans, np.frombuffer(text, np.uint8)[~gone].tobytes()
 
 
-def suffix_dedup(docs: DataFrame, texts: bool = True) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and kept: the bytes left of a changed text."""
+def texts_left(docs: DataFrame, texts: bool = True) -> tuple[DataFrame, DataFrame]:
+    """doc_id and digest of every row; digest, n_bytes, n_removed, n_spans, kept_sha256 and kept of every distinct text."""
     prepare(docs.sparkSession)
     docs = identified(docs)
-    cls = windows.classes(docs)
-    staged = windows.candidates(docs, cls, UNIT, _whole)
-    found = windows.members(staged, windows.indexed(staged, repeated, 1_500_000))
-    joined = windows.finish(staged, found, cls, _apply, texts)
+    rows, groups = windows.classes(docs)
+    staged = windows.candidates(docs, groups, UNIT, _whole)
+    found = windows.members(staged, windows.indexed(staged, repeated, INDEX))
+    done = windows.finish(staged, found, groups, _apply, texts)
     kept = F.when((F.col("n_removed") > 0) & (F.col("n_removed") == F.col("n_units")), F.lit(b"")).otherwise(F.col("kept"))
-    return joined.select(real_id("doc_id").alias("doc_id"), F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256", kept.alias("kept"))
+    return rows, done.select("digest", F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256", kept.alias("kept"))
+
+
+def suffix_dedup(docs: DataFrame, texts: bool = True) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and kept: the bytes left of a changed text."""
+    rows, done = texts_left(docs, texts)
+    return rows.join(done, "digest").select(real_id("doc_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -96,16 +105,15 @@ def query(spark, sf_dir: str) -> DataFrame:
 def stage_function(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: all documents, without their repeated bytes.
 
-    A character that loses some of its bytes goes as a whole; n_chars follows the text where it is a column.
+    What is left depends on the text alone, so rows find it by their text's digest, whatever their ids. A character
+    that loses some of its bytes goes as a whole; n_chars follows the text where it is a column.
     """
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([x.decode("utf-8", "ignore") for x in b.column("kept").to_pylist()], pa.string())], names=["changed_id", "left_text"])
+            yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array([x.decode("utf-8", "ignore") for x in b.column("kept").to_pylist()], pa.string())], names=["changed", "left_text"])
 
-    changed = suffix_dedup(docs.select("doc_id", "text")).where("n_removed > 0").select("doc_id", "kept")
-    changed = changed.dropDuplicates(["doc_id"]).mapInArrow(decode, "changed_id long, left_text string")
-    text = F.coalesce(changed["left_text"], docs["text"])
-    joined = docs.join(changed, docs["doc_id"] == changed["changed_id"], "left")
-    shown = {"text": text, "n_chars": F.coalesce(F.length(changed["left_text"]), docs["n_chars"]) if "n_chars" in docs.columns else None}
+    changed = texts_left(docs.select("doc_id", "text"))[1].where("n_removed > 0").select("digest", "kept").mapInArrow(decode, "changed binary, left_text string")
+    joined = docs.join(changed, F.unhex(F.sha2(docs["text"], 256)) == changed["changed"], "left")
+    shown = {"text": F.coalesce(changed["left_text"], docs["text"]), "n_chars": F.coalesce(F.length(changed["left_text"]), docs["n_chars"]) if "n_chars" in docs.columns else None}
     return joined.select(*[shown[c].cast(docs.schema[c].dataType).alias(c) if c in shown else docs[c] for c in docs.columns])

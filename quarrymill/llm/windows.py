@@ -1,6 +1,7 @@
 """Windows that repeat across a corpus, found exactly: the data flow that substring and suffix-array dedup share.
 
-1. ``classes``: equal texts fall into one class (thin shuffle of digests); only the smallest id goes on.
+1. ``classes``: equal texts fall into one class (thin shuffle of digests); only a row of the smallest id goes on.
+   Classes have numbers of their own, so rows that share a doc_id and differ in text are documents of their own.
 2. ``repeated_segments``: every text is cut into segments (see kernels); anchors seen twice or more are
    candidates. A map task settles anchors that it has seen twice itself and sends one entry of each to the
    anchor's partition, so a passage in every third document costs that partition one entry a map task.
@@ -8,7 +9,7 @@
    these are collapsed within a map task. Documents without candidates have their result here.
 4. An index over the distinct contents of each anchor partition (FM-index or Burrows-Wheeler expansion; the
    caller's) tells which windows count, and the members of each content are joined with that.
-5. ``finish``: spans go back to their documents, and copies take over the result of their class.
+5. ``finish``: spans go back to the texts; rows take over the result of their class by digest.
 """
 
 from __future__ import annotations
@@ -24,10 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrymill.llm import kernels as K
+from quarrymill.llm.dealing import Dealer, by_part, to_owners
 from quarrymill.runtime import partitions, stage
 
-#: Entries that a map task gathers before it sorts them and sends them off.
-FLUSH = 3_000_000
+#: Bytes of distinct contents that a map task gathers before it sends them off.
+CONTENTS = 24_000_000
 
 
 @dataclass(frozen=True)
@@ -79,115 +81,108 @@ def packed_runs(keys: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, byt
             yield int(keys[a]), values[a:b].tobytes()
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, rep_id (smallest id of an equal text), class_size; ``docs`` is what ``identified`` returns."""
-    thin = docs.select("doc_id", F.sha2("text", 256).alias("digest"))
-    thin = stage(thin, "digests")
-    groups = thin.groupBy("digest").agg(F.min("doc_id").alias("rep_id"), F.count("*").alias("class_size"))
-    return stage(thin.join(groups, "digest").select("doc_id", "rep_id", "class_size"), "classes")
+def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Staged: doc_id, digest and key (64-bit hash) of every row's text, and digest, key, class (a number of its own),
+    rep_id (smallest id) and class_size of every distinct text. ``docs`` is what ``identified`` returns."""
+    thin = stage(docs.select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest"), F.xxhash64("text").alias("key")), "digests")
+    groups = thin.groupBy("digest", "key").agg(F.min("doc_id").alias("rep_id"), F.count("*").alias("class_size"))
+    return thin, stage(groups.withColumn("class", F.monotonically_increasing_id()), "classes")
 
 
 def repeated_segments(docs: DataFrame, unit: Unit) -> DataFrame:
-    """doc_id and the numbers (uint32, packed) of its segments whose anchors occur elsewhere too.
+    """key (hash of a text) and the numbers (uint32, packed) of its segments whose anchors occur elsewhere too.
 
-    Of equal texts within a map task only the first is cut.
+    Of equal texts within a map task only the first is cut. Texts whose keys collide share their candidates, of
+    which the index takes no harm.
     """
-    parts = partitions(docs.sparkSession) * 8
-    schema = "part int, doc_id long, anchors binary, docs binary, numbers binary"
-    names = ["part", "doc_id", "anchors", "docs", "numbers"]
-    types = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+    names = ["anchors", "keys", "numbers"]
 
-    def batch(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
-
-    def flush(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        anchor, doc, number, loop = map(np.concatenate, zip(*held))
-        held.clear()
+    def send(dealer: Dealer) -> Iterator[pa.RecordBatch]:
+        anchor, key, number, loop = dealer.gathered()
         by = np.argsort(anchor, kind="stable")
-        anchor, doc, number, loop = anchor[by], doc[by], number[by], loop[by]
+        anchor, key, number, loop = anchor[by], key[by], number[by], loop[by]
         same = np.zeros(len(anchor) + 1, bool)
         same[1:-1] = anchor[1:] == anchor[:-1]
         here = same[:-1] | same[1:] | loop  # settled by this task
         sent = ~same[:-1]  # one entry of each anchor
-        part = (anchor[sent] % np.uint64(parts)).astype(np.int32)
-        by = np.argsort(part, kind="stable")
-        a, d, m, part = anchor[sent][by], doc[sent][by], number[sent][by], part[by]
-        cuts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-        yield batch([(int(part[i]), None, a[i:j].tobytes(), d[i:j].tobytes(), m[i:j].tobytes()) for i, j in zip(cuts, np.append(cuts[1:], len(part)))])
-        doc, number = doc[here], number[here]
-        by = np.argsort(doc, kind="stable")
-        rows = [(doc_id % parts, doc_id, None, None, x) for doc_id, x in packed_runs(doc[by], number[by])]
+        yield with_key(dealer.packed([anchor[sent], key[sent], number[sent]]))
+        key, number = key[here], number[here]
+        by = np.argsort(key, kind="stable")
+        yield from settled(key[by], number[by])
+
+    def with_key(b: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([b.column("part"), pa.nulls(b.num_rows, pa.int64()), *(b.column(c) for c in names)], names=["part", "key", *names])
+
+    def settled(key: np.ndarray, number: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Rows that only pass through the owner of a part."""
+        rows = list(packed_runs(key, number))
+        of = partitions_
         for i in range(0, len(rows), 5000):
-            yield batch(rows[i : i + 5000])
+            keys, numbers = zip(*rows[i : i + 5000])
+            none = pa.nulls(len(keys), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([k % of for k in keys], pa.int32()), pa.array(keys, pa.int64()), none, none, pa.array(numbers, pa.binary())], names=["part", "key", *names])
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        held: list[tuple[np.ndarray, ...]] = []
-        size = 0
+        dealer = Dealer(partitions_, names)
         for b in batches:
             raw, offsets = K.utf8(b.column("text"))
             view = memoryview(np.ascontiguousarray(raw))
             digests = [xxhash.xxh3_128_digest(view[offsets[i] : offsets[i + 1]]) for i in range(len(offsets) - 1)]
             new = np.array([not (d in seen or seen.add(d)) for d in digests], bool)
-            ids = np.asarray(b.column("doc_id").to_numpy(zero_copy_only=False), np.int64)
+            keys = b.column("key").to_numpy()
             for i, j in K.chunks(offsets):
                 row, anchor, _, loop, *_ = cut(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], unit)
                 keep = new[i + row]
-                held.append((anchor[keep], ids[i + row[keep]], numbered(row)[keep].astype(np.uint32), loop[keep]))
-                size += int(keep.sum())
-                if size > FLUSH:
-                    yield from flush(held)
-                    size = 0
-        if size:
-            yield from flush(held)
+                if dealer.add(anchor[keep], keys[i + row[keep]], numbered(row)[keep].astype(np.uint32), loop[keep]):
+                    yield from send(dealer)
+        if dealer.size:
+            yield from send(dealer)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["doc_id", "numbers"])
-
-        def of(held: list[tuple[bytes, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
-            if len(held) > 1:
-                anchor, doc, number = (np.frombuffer(b"".join(c), t) for c, t in zip(zip(*held), (np.uint64, np.int64, np.uint32)))
-                by = np.argsort(anchor, kind="stable")
-                same = np.zeros(len(anchor) + 1, bool)
-                same[1:-1] = anchor[by][1:] == anchor[by][:-1]
-                here = by[same[:-1] | same[1:]]
-                here = here[np.argsort(doc[here], kind="stable")]
-                rows = list(packed_runs(doc[here], number[here]))
-                for i in range(0, len(rows), 5000):
-                    yield out(rows[i : i + 5000])
-
-        held, now = [], None
-        for b in batches:
-            done = []
-            for part, doc_id, a, d, m in zip(*(b.column(c).to_pylist() for c in names)):
-                if part != now:
-                    yield from of(held)
-                    held, now = [], part
-                if doc_id is None:
-                    held.append((a, d, m))
-                else:
-                    done.append((doc_id, m))
-            if done:
-                yield out(done)
-        yield from of(held)
-
-    sent = docs.select("doc_id", "text").mapInArrow(anchors, schema)
-    return sent.repartition(partitions(docs.sparkSession), "part").sortWithinPartitions("part").mapInArrow(settle, "doc_id long, numbers binary")
-
-
-def candidates(docs: DataFrame, cls: DataFrame, unit: Unit, whole: Callable[[bytes, int], tuple]) -> DataFrame:
+        def out(keys: list, numbers: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(numbers, pa.binary())], names=["key", "numbers"])
+
+        def entries(done: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                passed = b.filter(b.column("key").is_valid())
+                if passed.num_rows:
+                    done.append(passed.select(["key", "numbers"]))
+                yield b.filter(b.column("key").is_null())
+
+        done: list[pa.RecordBatch] = []
+        for anchor, key, number in by_part(entries(done), {"anchors": np.uint64, "keys": np.int64, "numbers": np.uint32}):
+            by = np.argsort(anchor, kind="stable")
+            ordered = anchor[by]
+            same = np.zeros(len(anchor) + 1, bool)
+            same[1:-1] = ordered[1:] == ordered[:-1]
+            here = by[same[:-1] | same[1:]]
+            here = here[np.argsort(key[here], kind="stable")]
+            rows = list(packed_runs(key[here], number[here]))
+            for i in range(0, len(rows), 5000):
+                yield out(*zip(*rows[i : i + 5000]))
+            yield from done
+            done.clear()
+        yield from done
+
+    partitions_ = partitions(docs.sparkSession)
+    sent = docs.select("text", F.xxhash64("text").alias("key")).mapInArrow(anchors, "part int, key long, anchors binary, keys binary, numbers binary")
+    return to_owners(sent).mapInArrow(settle, "key long, numbers binary")
+
+
+def candidates(docs: DataFrame, groups: DataFrame, unit: Unit, whole: Callable[[bytes, int], tuple]) -> DataFrame:
     """Staged rows of three kinds: contents (S), their members (M), and texts (T) or finished results (R).
 
     ``whole(text, class_size)``: (n units, n removed, n spans, sha256 of what stays) of a text without
     candidates, or None if its copies alone decide nothing.
     """
-    found = repeated_segments(docs, unit).join(cls.select("doc_id", "rep_id"), "doc_id")
-    lists = found.groupBy("rep_id").agg(F.collect_list("numbers").alias("numbers"))
-    reps = cls.where("doc_id = rep_id").select("rep_id", "class_size").dropDuplicates(["rep_id"]).join(lists, "rep_id", "left")
-    texts = docs.join(reps, F.col("doc_id") == F.col("rep_id")).select("doc_id", "text", "class_size", "numbers")
-    schema = "kind string, anchor long, content long, segment binary, doc_id long, start long, weight long, text string, n_units long, n_removed long, n_spans long, sha string"
-    fields = [("kind", pa.string()), ("anchor", pa.int64()), ("content", pa.int64()), ("segment", pa.binary()), ("doc_id", pa.int64()), ("start", pa.int64()), ("weight", pa.int64()), ("text", pa.string()), ("n_units", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("sha", pa.string())]
+    lists = repeated_segments(docs, unit).groupBy("key").agg(F.collect_list("numbers").alias("numbers"))
+    reps = groups.join(lists, "key", "left").select("digest", "class", "class_size", "rep_id", "numbers")
+    keyed = docs.select(F.col("doc_id").alias("rep_id"), F.unhex(F.sha2("text", 256)).alias("digest"), "text")
+    # rows that repeat id and text meet here twice; a second time changes nothing
+    texts = keyed.join(reps, ["rep_id", "digest"]).select("class", F.col("rep_id").alias("doc_id"), "text", "class_size", "numbers")
+    schema = "kind string, anchor long, content long, segment binary, class long, doc_id long, start long, weight long, text string, n_units long, n_removed long, n_spans long, sha string"
+    fields = [("kind", pa.string()), ("anchor", pa.int64()), ("content", pa.int64()), ("segment", pa.binary()), ("class", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("weight", pa.int64()), ("text", pa.string()), ("n_units", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("sha", pa.string())]
 
     def rows_out(n: int, **columns) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(columns[k], t) if k in columns else pa.nulls(n, t) for k, t in fields], names=[k for k, _ in fields])
@@ -205,16 +200,14 @@ def candidates(docs: DataFrame, cls: DataFrame, unit: Unit, whole: Callable[[byt
 
         for b in batches:
             raw, offsets = K.utf8(b.column("text"))
-            ids = b.column("doc_id").to_pylist()
-            sizes = b.column("class_size").to_pylist()
-            lists = b.column("numbers").to_pylist()
+            ids, numbers_of, sizes, lists = (b.column(c).to_pylist() for c in ("doc_id", "class", "class_size", "numbers"))
             texts: list[int] = []
             results: list[tuple] = []
-            for r, (doc_id, size, numbers) in enumerate(zip(ids, sizes, lists)):
+            for r, (doc_id, number, size, numbers) in enumerate(zip(ids, numbers_of, sizes, lists)):
                 text = raw[offsets[r] : offsets[r + 1]]
                 result = whole(text.tobytes(), size) if not numbers or (size > 1 and not unit.words) else None
                 if result is not None:
-                    results.append((doc_id, *result))
+                    results.append((number, *result))
                 else:
                     texts.append(r)
                 if not numbers:
@@ -231,18 +224,19 @@ def candidates(docs: DataFrame, cls: DataFrame, unit: Unit, whole: Callable[[byt
                     hashes.append(h)
                     if (old := contents.get((x, h))) is None:
                         contents[x, h] = [piece, doc_id, size]
-                        held += len(piece) + 200
+                        held += len(piece) + 500  # with what Python needs to hold it
                     else:
                         old[1], old[2] = min(old[1], doc_id), old[2] + size
-                yield rows_out(len(hashes), kind=["M"] * len(hashes), anchor=anchor, content=np.array(hashes, np.int64), doc_id=np.full(len(hashes), doc_id), start=first)
-                if held > 48_000_000:
+                if hashes:
+                    yield rows_out(len(hashes), **{"kind": ["M"] * len(hashes), "anchor": anchor, "content": np.array(hashes, np.int64), "class": np.full(len(hashes), number), "start": first})
+                if held > CONTENTS:
                     yield from emit()
                     held = 0
             if results:
-                d, n, m, k, sha = zip(*results)
-                yield rows_out(len(results), kind=["R"] * len(results), doc_id=d, n_units=n, n_removed=m, n_spans=k, sha=sha)
+                c, n, m, k, sha = zip(*results)
+                yield rows_out(len(results), **{"kind": ["R"] * len(results), "class": c, "n_units": n, "n_removed": m, "n_spans": k, "sha": sha})
             if texts:
-                yield rows_out(len(texts), kind=["T"] * len(texts), doc_id=[ids[r] for r in texts], text=b.column("text").take(pa.array(texts)))
+                yield rows_out(len(texts), **{"kind": ["T"] * len(texts), "class": [numbers_of[r] for r in texts], "doc_id": [ids[r] for r in texts], "text": b.column("text").take(pa.array(texts))})
         yield from emit()
 
     return stage(texts.mapInArrow(compact(extract), schema), "segments")
@@ -303,29 +297,29 @@ def indexed(staged: DataFrame, search: Callable[[list[bytes], np.ndarray, np.nda
 
 
 def members(staged: DataFrame, spans: DataFrame) -> DataFrame:
-    """doc_id and the list of (start, spans) of its segments."""
-    m = staged.where("kind = 'M'").select("anchor", "content", "doc_id", "start")
-    return m.join(spans, ["anchor", "content"]).groupBy("doc_id").agg(F.collect_list(F.struct("start", "spans")).alias("found"))
+    """class and the list of (start, spans) of its segments."""
+    m = staged.where("kind = 'M'").select("anchor", "content", "class", "start")
+    return m.join(spans, ["anchor", "content"]).groupBy("class").agg(F.collect_list(F.struct("start", "spans")).alias("found"))
 
 
-def finish(staged: DataFrame, found: DataFrame, cls: DataFrame, apply: Callable[[bytes, int, list], tuple], texts: bool) -> DataFrame:
-    """rep_id, n_units, n_removed, n_spans, kept_sha256 and kept, joined with the rows of their class.
+def finish(staged: DataFrame, found: DataFrame, groups: DataFrame, apply: Callable[[bytes, int, list], tuple], texts: bool) -> DataFrame:
+    """A row a distinct text: digest, rep_id, class_size, n_units, n_removed, n_spans, kept_sha256 and kept.
 
-    ``apply(text, doc_id, [(start, spans)])`` gives (n units, n removed, n spans, what stays as bytes).
+    ``apply(text, rep_id, [(start, spans)])`` gives (n units, n removed, n spans, what stays as bytes).
     ``kept`` holds what stays of a changed text (null for others, and throughout unless ``texts``).
     """
-    schema = "doc_id long, n_units long, n_removed long, n_spans long, sha string, kept binary"
+    schema = "class long, n_units long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for doc_id, text, pairs in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "found"))):
+            for number, doc_id, text, pairs in zip(*(b.column(c).to_pylist() for c in ("class", "doc_id", "text", "found"))):
                 n, m, k, kept = apply(text.encode(), doc_id, [(p["start"], p["spans"]) for p in pairs or ()])
-                rows.append((doc_id, n, m, k, hashlib.sha256(kept).hexdigest(), kept if texts and m else None))
+                rows.append((number, n, m, k, hashlib.sha256(kept).hexdigest(), kept if texts and m else None))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (*[pa.int64()] * 4, pa.string(), pa.binary()))], names=["doc_id", "n_units", "n_removed", "n_spans", "sha", "kept"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (*[pa.int64()] * 4, pa.string(), pa.binary()))], names=["class", "n_units", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    left = staged.where("kind = 'T'").select("doc_id", "text").join(found, "doc_id", "left")
-    done = staged.where("kind = 'R'").select("doc_id", "n_units", "n_removed", "n_spans", "sha", F.lit(None).cast("binary").alias("kept"))
-    results = left.mapInArrow(run, schema).unionByName(done).dropDuplicates(["doc_id"])  # rows that repeat
-    return cls.join(results.withColumnsRenamed({"doc_id": "rep_id", "sha": "kept_sha256"}), "rep_id")
+    left = staged.where("kind = 'T'").select("class", "doc_id", "text").join(found, "class", "left")
+    done = staged.where("kind = 'R'").select("class", "n_units", "n_removed", "n_spans", F.col("sha").alias("kept_sha256"), F.lit(None).cast("binary").alias("kept"))
+    results = left.mapInArrow(compact(run), schema).unionByName(done).dropDuplicates(["class"])  # rows that repeat
+    return groups.select("digest", "class", "rep_id", "class_size").join(results, "class").drop("class")
