@@ -27,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrymill.llm.rows import rows_named, text_key
 from quarrymill.llm.windows import compact
 from quarrymill.runtime import partitions, prepare, stage, table
 
@@ -197,8 +198,8 @@ class PatriciaTrie:
 
 def representatives(docs: DataFrame, budget: int = MAP_BYTES) -> DataFrame:
     """Staged rows: one M row a document (with its representative), one T row a representative (with its text)."""
-    schema = "kind string, doc_id long, rep long, digest string, first boolean, size int, hash long, least long, members long, text string"
-    fields = [("kind", pa.string()), ("doc_id", pa.int64()), ("rep", pa.int64()), ("digest", pa.string()), ("first", pa.bool_()), ("size", pa.int32()), ("hash", pa.int64()), ("least", pa.int64()), ("members", pa.int64()), ("text", pa.string())]
+    schema = "kind string, doc_id long, text_key long, rep long, digest string, first boolean, size int, hash long, least long, members long, text string"
+    fields = [("kind", pa.string()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("rep", pa.int64()), ("digest", pa.string()), ("first", pa.bool_()), ("size", pa.int32()), ("hash", pa.int64()), ("least", pa.int64()), ("members", pa.int64()), ("text", pa.string())]
 
     def out(n: int, **columns) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(columns[k], t) if k in columns else pa.nulls(n, t) for k, t in fields], names=[k for k, _ in fields])
@@ -207,18 +208,18 @@ def representatives(docs: DataFrame, budget: int = MAP_BYTES) -> DataFrame:
         number = TaskContext.get().partitionId() << 32
         trie = PatriciaTrie(lambda old, new: old)
         groups: list[list] = []  # representative, least id, members, size, hash, text, row of the least id
-        rows: list[tuple[int | None, int, str]] = []
+        rows: list[tuple[int | None, int, str, int]] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
             for i in range(0, len(rows), 20_000):
                 part = rows[i : i + 20_000]
-                yield out(len(part), kind=["M"] * len(part), doc_id=[r[0] for r in part], rep=[groups[r[1]][0] for r in part], digest=[r[2] for r in part], first=[groups[r[1]][6] == i + j for j, r in enumerate(part)])
+                yield out(len(part), kind=["M"] * len(part), doc_id=[r[0] for r in part], text_key=[r[3] for r in part], rep=[groups[r[1]][0] for r in part], digest=[r[2] for r in part], first=[groups[r[1]][6] == i + j for j, r in enumerate(part)])
             for i in range(0, len(groups), 500):
                 part = groups[i : i + 500]
                 yield out(len(part), kind=["T"] * len(part), rep=[g[0] for g in part], least=[g[1] for g in part], members=[g[2] for g in part], size=[g[3] for g in part], hash=[g[4] for g in part], text=[g[5].decode() for g in part])
 
         for b in batches:
-            for doc_id, text, digest, size, hashed in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "digest", "size", "hash"))):
+            for doc_id, text, digest, size, hashed, own in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "digest", "size", "hash", "text_key"))):
                 key = text.encode()
                 leaf = trie.insert(key, len(groups))
                 least = _NO_ID if doc_id is None else doc_id
@@ -230,7 +231,7 @@ def representatives(docs: DataFrame, budget: int = MAP_BYTES) -> DataFrame:
                     g[2] += 1
                     if least < g[1]:
                         g[1], g[6] = least, len(rows)
-                rows.append((doc_id, leaf.value, digest))
+                rows.append((doc_id, leaf.value, digest, own))
             if trie.size > budget:
                 yield from flush()
                 trie = PatriciaTrie(lambda old, new: old)
@@ -238,8 +239,8 @@ def representatives(docs: DataFrame, budget: int = MAP_BYTES) -> DataFrame:
                 rows.clear()
         yield from flush()
 
-    texts = docs.select("doc_id", normalised(F.col("text")).alias("text"))
-    keyed = texts.select("doc_id", "text", F.sha2("text", 256).alias("digest"), F.octet_length("text").alias("size"), F.xxhash64("text").alias("hash"))
+    texts = docs.select("doc_id", normalised(F.col("text")).alias("text"), text_key().alias("text_key"))
+    keyed = texts.select("doc_id", "text", "text_key", F.sha2("text", 256).alias("digest"), F.octet_length("text").alias("size"), F.xxhash64("text").alias("hash"))
     return stage(keyed.mapInArrow(compact(run), schema), "representatives")
 
 
@@ -272,12 +273,17 @@ def owners(staged: DataFrame, budget: int = OWNER_BYTES) -> DataFrame:
     return reps.repartition(partitions(staged.sparkSession), "size", "hash").mapInArrow(run, "rep long, keep_id long, group_size long, holder boolean")
 
 
-def exact_dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 of every document."""
+def decided(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, keep_id, group_size, kept, text_sha256 of every row; of each group exactly one row is kept."""
     prepare(docs.sparkSession)
     staged = representatives(docs)
-    rows = staged.where("kind = 'M'").select("doc_id", "rep", "digest", "first")
-    return rows.join(owners(staged), "rep").select("doc_id", "keep_id", "group_size", (F.col("first") & F.col("holder")).alias("kept"), F.col("digest").alias("text_sha256"))
+    rows = staged.where("kind = 'M'").select("doc_id", "text_key", "rep", "digest", "first")
+    return rows.join(owners(staged), "rep").select("doc_id", "text_key", "keep_id", "group_size", (F.col("first") & F.col("holder")).alias("kept"), F.col("digest").alias("text_sha256"))
+
+
+def exact_dedup(docs: DataFrame) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 of every document."""
+    return decided(docs).drop("text_key")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -294,6 +300,7 @@ FROM t
 
 
 def stage_function(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents whose row stays."""
-    kept = exact_dedup(docs.select("doc_id", "text")).where("kept").select("doc_id")
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    """Pipeline stage: of equal texts one row stays, one of the smallest id. Ids may repeat: rows are told apart by id
+    and text."""
+    kept = decided(docs.select("doc_id", "text")).where("kept")
+    return rows_named(docs, kept.select("doc_id", "text_key"))

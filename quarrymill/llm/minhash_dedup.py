@@ -15,8 +15,8 @@ similarity s meets in no table with a chance below ``2 * (1 - s**ROWS)**BANDS``:
    share. So no pair that shares a bucket is left out, unless its two sides are one component already.
 
 Null and empty texts and texts of only whitespace have an empty set: they are linked with nothing, not even
-with each other. A null doc_id counts as smaller than all others (see rows). Repeated rows are copies like any other.
-Columns other than doc_id and text are not read.
+with each other. A null doc_id counts as smaller than all others (see rows). Rows that repeat a doc_id are documents of
+their own, with equal texts copies like any other. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from quarrymill.llm import kernels as K
 from quarrymill.llm.dealing import Dealer, by_part, to_owners
-from quarrymill.llm.rows import identified, real_id
+from quarrymill.llm.rows import identified, real_id, rows_named, text_key
 from quarrymill.llm.windows import compact
 from quarrymill.operators.graph import connected_components
 from quarrymill.runtime import partitions, prepare, stage, table
@@ -89,13 +89,13 @@ def table_keys(signature: np.ndarray) -> np.ndarray:
 
 
 def summaries(docs: DataFrame, k: int) -> DataFrame:
-    """Staged: doc_id, n (set size), two halves of the set's digest, and the signature (once a set and task)."""
+    """Staged: doc_id, text_key, n (set size), two halves of the set's digest, and the signature (once a set and task)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for b in batches:
             raw, offsets = K.utf8(b.column("text"))
-            ids = b.column("doc_id")
+            ids, texts = b.column("doc_id"), b.column("text_key")
             for i, j in K.chunks(offsets):
                 hashes, rows = shingle_rows(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k)
                 sets = [np.unique(hashes[a:e]) for a, e in zip(rows[:-1], rows[1:])]
@@ -108,9 +108,10 @@ def summaries(docs: DataFrame, k: int) -> DataFrame:
                     for r, x in zip(new, signatures(flat, np.concatenate([[0], np.cumsum(sizes[new])]))):
                         signature[r] = x.tobytes()
                 halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([ids[i:j].cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(signature, pa.binary())], names=["doc_id", "n", "h1", "h2", "signature"])
+                yield pa.RecordBatch.from_arrays([ids[i:j], texts[i:j], pa.array(sizes, pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(signature, pa.binary())], names=["doc_id", "text_key", "n", "h1", "h2", "signature"])
 
-    return stage(docs.mapInArrow(compact(run), "doc_id long, n long, h1 long, h2 long, signature binary"), "signatures")
+    keyed = docs.select("doc_id", "text", text_key().alias("text_key"))
+    return stage(keyed.mapInArrow(compact(run), "doc_id long, text_key long, n long, h1 long, h2 long, signature binary"), "signatures")
 
 
 def buckets(sets: DataFrame) -> DataFrame:
@@ -120,7 +121,7 @@ def buckets(sets: DataFrame) -> DataFrame:
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dealer = Dealer(parts, ["keys", "ids"])
         for b in batches:
-            ids = b.column("rep").to_numpy()
+            ids = b.column("id").to_numpy()
             keys = table_keys(np.frombuffer(b"".join(b.column("signature").to_pylist()), np.uint64).reshape(len(ids), -1)).ravel()
             if dealer.add(keys, np.repeat(ids, BANDS * BANDS)):
                 yield dealer.packed(dealer.gathered())
@@ -147,10 +148,11 @@ def buckets(sets: DataFrame) -> DataFrame:
     return stage(dealt.mapInArrow(meet, "key long, a long, b long"), "buckets")
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """Staged: id, n and the whole set (sorted uint64, packed) of the documents named in ``ids``."""
-    # the named ids grow with the table, so they are never broadcast
-    rows = docs.withColumnRenamed("doc_id", "id").join(ids.select("id").distinct().hint("merge"), "id")
+def full_sets(docs: DataFrame, sets: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """Staged: id, n and the whole set (sorted uint64, packed) of the sets named in ``ids``, read anew from a text of each."""
+    # the named sets grow with the table, so they are never broadcast
+    wanted = sets.select("id", F.col("rep").alias("doc_id"), "text_key").join(ids.select("id").distinct().hint("merge"), "id", "left_semi")
+    rows = docs.select("doc_id", "text", text_key().alias("text_key")).join(wanted.hint("merge"), ["doc_id", "text_key"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -160,7 +162,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
                 sets = [np.unique(hashes[x:y]) for x, y in zip(rows[:-1], rows[1:])]
                 yield pa.RecordBatch.from_arrays([b.column("id")[i:j], pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["id", "n", "data"])
 
-    return stage(rows.mapInArrow(compact(run), "id long, n long, data binary").dropDuplicates(["id"]), "fullsets")
+    return stage(rows.select("id", "text").mapInArrow(compact(run), "id long, n long, data binary").dropDuplicates(["id"]), "fullsets")
 
 
 def verified(sets: DataFrame, pairs: DataFrame, least: int) -> DataFrame:
@@ -278,16 +280,19 @@ def stray_links(mixed: DataFrame, least: int) -> DataFrame:
     return stage(dealt.mapInArrow(compact(run), "src long, dst long"), "strays")
 
 
-def near_dedup(docs: DataFrame, shingle: int = 5, least: int = LEAST) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id = component_id)."""
-    prepare(docs.sparkSession)
-    docs = identified(docs)
+def components(docs: DataFrame, shingle: int, least: int) -> DataFrame:
+    """doc_id, text_key, n of every row, the number of its component (null for empty sets) and the component's smallest id.
+
+    ``docs`` is what ``identified`` returns. Sets have numbers of their own, so rows that share an id and differ in
+    text are documents of their own.
+    """
     rows = summaries(docs, shingle)
-    filled = rows.where("n > 0")
-    sets = stage(filled.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.max("signature").alias("signature")), "sets")
-    met = buckets(sets.select("rep", "signature"))
+    first = F.min(F.struct("doc_id", "text_key"))
+    sets = rows.where("n > 0").groupBy("h1", "h2", "n").agg(first.alias("first"), F.max("signature").alias("signature"))
+    sets = stage(sets.select("h1", "h2", "n", F.col("first.doc_id").alias("rep"), F.col("first.text_key").alias("text_key"), "signature", F.monotonically_increasing_id().alias("id")), "sets")
+    met = buckets(sets.select("id", "signature"))
     pairs = stage(met.where("key is null").select("a", "b").distinct(), "pairs")
-    involved = full_sets(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")), shingle)
+    involved = full_sets(docs, sets, pairs.select(F.col("a").alias("id")).union(pairs.select("b")), shingle)
     links = verified(involved, pairs, least)
     labels = connected_components(links)
     members = met.where("key is not null").select("key", F.col("a").alias("id"))
@@ -298,13 +303,22 @@ def near_dedup(docs: DataFrame, shingle: int = 5, least: int = LEAST) -> DataFra
     if not mixed.isEmpty():
         seen = mixed.select("id").distinct()
         alone = lonely(involved.join(seen.hint("merge"), "id", "left_semi"))
-        facts = seen.join(involved.select("id", "data").hint("merge"), "id").join(sets.select(F.col("rep").alias("id"), "n", "signature").hint("merge"), "id").join(alone.hint("merge"), "id", "left").na.fill(0, ["own"])
+        facts = seen.join(involved.select("id", "data").hint("merge"), "id").join(sets.select("id", "n", "signature").hint("merge"), "id").join(alone.hint("merge"), "id", "left").na.fill(0, ["own"])
         more = stray_links(mixed.join(facts.hint("merge"), "id").select("key", "id", "component", "main", "signature", "data", "n", "own"), least)
         if not more.isEmpty():
             labels = connected_components(links.union(more))
-    named = rows.join(sets.select("h1", "h2", "n", "rep"), ["h1", "h2", "n"], "left").join(labels, F.col("rep") == F.col("id"), "left")
-    component = F.coalesce("component", "rep", "doc_id")
-    return named.select(real_id("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), real_id(component).alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    labels = stage(labels.join(sets.select("id", "rep"), "id"), "labels")  # linked sets only
+    lowest = labels.groupBy("component").agg(F.min("rep").alias("lowest"))
+    told = sets.join(labels.join(lowest, "component").select("id", "component", "lowest"), "id", "left")
+    told = told.select("h1", "h2", "n", F.coalesce("component", "id").alias("component"), F.coalesce("lowest", "rep").alias("component_id"))
+    return rows.select("doc_id", "text_key", "h1", "h2", "n").join(told, ["h1", "h2", "n"], "left").select("doc_id", "text_key", "n", "component", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def near_dedup(docs: DataFrame, shingle: int = 5, least: int = LEAST) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id = component_id)."""
+    prepare(docs.sparkSession)
+    rows = components(identified(docs), shingle, least)
+    return rows.select(real_id("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), real_id("component_id").alias("component_id"), (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -313,9 +327,12 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage_function(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each component of near duplicates stays (five-word shingles)."""
-    kept = near_dedup(docs.select("doc_id", "text")).where("kept").select("doc_id")
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    """Pipeline stage: one row of each component of near duplicates stays (five-word shingles), one of its smallest id."""
+    prepare(spark)
+    rows = components(identified(docs), 5, LEAST).where("doc_id = component_id")
+    linked = rows.where("component is not null").groupBy("component").agg(F.min(F.struct("doc_id", "text_key")).alias("row")).select("row.doc_id", "row.text_key")
+    names = linked.union(rows.where("component is null").select("doc_id", "text_key"))
+    return rows_named(docs, names.select(real_id("doc_id").alias("doc_id"), "text_key"))
 
 
 SQL = r"""

@@ -185,29 +185,52 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
     return pickle.loads(model[0]["model"])
 
 
+def scorer(model: tuple[np.ndarray, np.ndarray, np.ndarray]):
+    """texts (Arrow column) -> score and P(grade > k) of each."""
+    buckets, values, thresholds = model
+    weights = np.zeros(SIZE, np.float32)
+    weights[buckets] = values
+
+    def score(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        raw, offsets = K.utf8(column)
+        scores = [np.zeros(0)]
+        for i, j in K.chunks(offsets):
+            bucket, value, rows = features(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            sums = np.concatenate([[0.0], np.cumsum(weights[bucket].astype(np.float64) * value)])
+            scores.append(sums[rows[1:]] - sums[rows[:-1]])
+        score = np.concatenate(scores)
+        return score, sigmoid(score[:, None] - thresholds)
+
+    return score
+
+
 def graded(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, score, expected_grade, p_good (P(grade = 2)) and kept of every document."""
     spark = prepare(docs.sparkSession)
     model = spark.sparkContext.broadcast(train(docs, labels, sample))  # SIZE weights at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets, values, thresholds = model.value
-        weights = np.zeros(SIZE, np.float32)
-        weights[buckets] = values
+        of = scorer(model.value)
         for b in batches:
-            raw, offsets = K.utf8(b.column("text"))
-            scores = []
-            for i, j in K.chunks(offsets):
-                bucket, value, rows = features(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                sums = np.concatenate([[0.0], np.cumsum(weights[bucket].astype(np.float64) * value)])
-                scores.append(sums[rows[1:]] - sums[rows[:-1]])
-            score = np.concatenate(scores) if scores else np.zeros(0)
-            tail = sigmoid(score[:, None] - thresholds)
+            score, tail = of(b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(score), pa.array(tail.sum(1)), pa.array(tail[:, -1]), pa.array(tail[:, -1] >= KEEP)], names=["doc_id", "score", "expected_grade", "p_good", "kept"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, expected_grade double, p_good double, kept boolean")
 
 
+def kept(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """The rows whose P(grade = 2) is at least ``KEEP``, with all their columns; each row is judged where it lies."""
+    spark = prepare(docs.sparkSession)
+    model = spark.sparkContext.broadcast(train(docs, labels, sample))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = scorer(model.value)
+        for b in batches:
+            yield b.filter(pa.array(of(b.column("text"))[1][:, -1] >= KEEP))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """Every row of documents: doc_id, expected_grade, p_good, kept."""
     rows = graded(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -215,6 +238,5 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage_function(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents whose P(grade = 2) is at least ``KEEP`` stay."""
-    rejected = graded(docs, table(spark, sf_dir, "labels")).where("not kept").select("doc_id").distinct()
-    return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["doc_id"]), "left_anti")
+    """Pipeline stage: documents whose P(grade = 2) is at least ``KEEP`` stay; rows that share an id are judged each."""
+    return kept(docs, table(spark, sf_dir, "labels"))

@@ -107,3 +107,77 @@ def test_pair_that_few_minhashes_show(spark):
     expected = brute.near(rows, 1)
     assert expected[1001][1] == expected[1000][1]
     assert found(minhash_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), 1), "n_shingles", "component_id", "kept") == expected
+
+
+@pytest.fixture(scope="module")
+def repeated_ids(spark):
+    """Rows that share ids, with equal and with different texts."""
+    rng = np.random.default_rng(12)
+    words = [f"w{k}" for k in range(500)]
+    prose = lambda n: " ".join(rng.choice(words, n))
+    a, b, shared = prose(120), prose(90), prose(60)
+    rows = [(1, a), (1, a), (2, a), (3, b), (3, prose(80)), (4, f"{prose(20)} {shared}"), (4, f"{shared} {prose(30)}"), (5, f"{prose(10)} {shared} {prose(5)}"), (6, ""), (6, None), (7, "few words"), (7, "few words"), (3, b + " x")]
+    return rows, spark.createDataFrame([(i, t, len(t or ""), f"s{k}") for k, (i, t) in enumerate(rows)], "doc_id long, text string, n_chars long, source string").repartition(3)
+
+
+def sorted_rows(df, *columns):
+    return sorted(tuple(r[c] for c in columns) for r in df.collect())
+
+
+def test_repeated_ids_in_operators(repeated_ids):
+    rows, docs = repeated_ids
+    own = list(enumerate(rows))  # every row under a number of its own
+    data = [(t or "").encode() for _, (_, t) in own]
+    plain = brute.suffixes([(k, t) for k, (_, t) in own])
+    assert sorted_rows(suffix_dedup.suffix_dedup(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted((i, *plain[k]) for k, (i, _) in own)
+    words = [d.split() for d in data]
+    first = {}
+    for k, (i, _) in own:
+        for p in range(len(words[k]) - 12):
+            w = tuple(words[k][p : p + 13])
+            first[w] = min(first.get(w, i), i)
+    expected = []
+    for k, (i, _) in own:
+        gone = [False] * len(words[k])
+        for p in range(len(words[k]) - 12):
+            if first[tuple(words[k][p : p + 13])] < i:
+                gone[p : p + 13] = [True] * 13
+        expected.append((i, len(gone), sum(gone), brute.sha(b" ".join(x for x, g in zip(words[k], gone) if not g))))
+    assert sorted_rows(substring_dedup.substring_dedup(docs), "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(expected)
+    near = brute.near([(k, t) for k, (_, t) in own])
+    lowest = {}
+    for k, (i, _) in own:
+        lowest[near[k][1]] = min(lowest.get(near[k][1], i), i)
+    assert sorted_rows(minhash_dedup.near_dedup(docs, 4), "doc_id", "n_shingles", "component_id") == sorted((i, near[k][0], lowest[near[k][1]]) for k, (i, _) in own)
+    exact = {}
+    for i, t in rows:
+        exact.setdefault(" ".join((t or "").split(" ")), []).append(i)
+    assert sorted_rows(exact_dedup.exact_dedup(docs), "doc_id", "keep_id", "group_size") == sorted((i, min(exact[t or ""]), len(exact[t or ""])) for i, t in rows)
+    assert exact_dedup.exact_dedup(docs).where("kept").count() == len(exact)
+
+
+def test_repeated_ids_in_stages(spark, repeated_ids):
+    rows, docs = repeated_ids
+    kept = exact_dedup.stage_function(spark, docs, "")
+    assert kept.columns == docs.columns
+    lowest = {}
+    for i, t in rows:
+        lowest[t or ""] = min(lowest.get(t or "", i), i)
+    assert sorted((r["doc_id"], r["text"] or "") for r in kept.collect()) == sorted((i, t) for t, i in lowest.items())
+    near = brute.near([(k, t) for k, (_, t) in enumerate(rows)], 5)
+    groups = {}
+    for k, (i, t) in enumerate(rows):
+        if near[k][0]:
+            groups.setdefault(near[k][1], []).append(i)
+    got = sorted(r["doc_id"] for r in minhash_dedup.stage_function(spark, docs, "").collect())
+    assert got == sorted([min(g) for g in groups.values()] + [6])  # the empty rows of one id count as one
+    left = suffix_dedup.stage_function(spark, docs, "")
+    assert left.count() == len(rows) and left.columns == docs.columns
+    assert all(r["n_chars"] == len(r["text"] or "") for r in left.collect())
+
+
+def test_exact_small_tries_all_rows(docs, rows):
+    staged = exact_dedup.representatives(docs.select("doc_id", "text"), 3000)
+    owned = exact_dedup.owners(staged, 3000)
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in staged.where("kind = 'M'").join(owned, "rep").collect()}
+    assert got == {i: x[:2] for i, x in brute.exact(rows).items()}
