@@ -1,4 +1,6 @@
+import gzip
 import hashlib
+import random
 import zlib
 from collections import Counter
 
@@ -86,6 +88,25 @@ def test_warc(spark, tmp_path):
     assert warc.archive_pages(pages.limit(0), f"file://{tmp_path}/none").count() == 0
 
 
+def test_warc_long_and_repeated(spark, tmp_path):
+    """Null and repeated page ids, the join without broadcast, archives cut by bytes, payloads of 16 MB and more."""
+    big, long = "b" * 150, "".join(random.Random(1).choices("abcdef <>", k=17_000_000))
+    rows = [(None, big), (5, big), (5, big), (5, "c" * 150), (8, big), (None, "d" * 200), (None, "d" * 200), (20, long), (21, long), (22, None)]
+    pages = spark.createDataFrame([(i, f"u{k}", t) for k, (i, t) in enumerate(rows)], "page_id long, url string, html string").repartition(2)
+    expected = sorted([("-1", 150, "revisit", 5), ("5", 150, "response", None), ("5", 150, "response", None), ("5", 150, "response", None), ("8", 150, "revisit", 5), ("-1", 200, "response", None), ("-1", 200, "response", None), ("20", 17_000_000, "response", None), ("21", 17_000_000, "revisit", 20), ("22", 0, "response", None)], key=str)
+    for sent in (0, warc.SENT):
+        path = f"file://{tmp_path}/{sent}"
+        warc.write_archives(warc.resolved(pages, sent=sent), path, 300)
+        read = warc.read_archives(spark, path)
+        assert read.where("not sound").count() == 0 and read.where("page_id = 20").first()["payload"] == long.encode()
+        headers = read.select("page_id", "record_type", "payload_digest", "refers_to", "payload_bytes")
+        got = [(str(-1 if r["page_id"] is None else r["page_id"]), r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.revisit_sources(headers).collect()]
+        assert sorted(got, key=str) == expected
+        files = list((tmp_path / str(sent)).glob("part-*"))
+        assert len(files) >= 8
+        assert all(gzip.decompress(f.read_bytes()).startswith(b"WARC/1.1\r\n") for f in files)  # any reader takes them
+
+
 def best_by_sums(texts, asked, top=10):
     """(doc_id, score) lists by query for rows (doc_id, text); a null id is the smallest."""
     import math
