@@ -8,12 +8,15 @@
    messages that hold a passage the earliest is its origin, so a common line is one row of that side.
 3. A message replies to the origin of what it quotes: the lowest quote level that has an earlier origin counts,
    there the origin of most characters, then the latest. Deeper levels link a message whose direct quote is lost.
-4. Roots and depths come from pointer doubling over the linked messages alone. ``root_turn, depth, turn`` is
-   the reply order: a thread starts at its root, and every reply comes after what it answers.
-
-Null text counts as empty. Messages without conv_id or turn link nothing. Rows that repeat (conv_id, turn)
-share links and appear each. A quote of a later or the same turn is no link. Messages that quote nothing known
-are roots of depth 0. Columns other than conv_id, turn, role and text are not read.
+4. Roots and depths come from pointer doubling over the linked messages alone. ``depth, turn`` is the reply order of
+   a thread: it starts at its root, and every reply comes after what it answers.
+5. A conversation is a thread put together in reply order, without quotes. Places in a thread come from ranges (see
+   ``operators.ordering``), and long threads go in parts of ``PART`` messages, so no thread meets in one task.
+
+Null text counts as empty. Messages without conv_id or turn link nothing, and each is a conversation of its own. Rows
+that repeat (conv_id, turn) share links and appear each. A quote of a later or the same turn is no link. Messages that
+quote nothing known are roots of depth 0. Lines may end with CRLF, CR or LF; quote levels may be as deep as they
+like. An empty table has no conversations. Columns other than conv_id, turn, role and text are not read.
 """
 
 from __future__ import annotations
@@ -21,10 +24,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrymill.operators.ordering import positions
 from quarrymill.runtime import prepare, stage, table
 
 MARKS = r"^(?:[ \t]*>)+"
 ATTRIBUTION = r"^On .+ wrote:\s*$"
+#: Messages of a conversation in one row at most.
+PART = 200
 
 
 def _line(raw: Column) -> Column:
@@ -96,6 +102,18 @@ def linked_conversations(messages: DataFrame) -> DataFrame:
     return joined.select("conv_id", "turn", "role", F.col("parent_turn").cast("long").alias("parent_turn"), F.coalesce("root_turn", "turn").cast("long").alias("root_turn"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"), "n_quotes", "text", chat.alias("chat"))
 
 
+def conversations(messages: DataFrame, part: int = PART) -> DataFrame:
+    """One row a part of a thread: conv_id, root_turn, part, n_messages, n_quotes, turns, parents (-1: none) and chat."""
+    rows = linked_conversations(messages).select("conv_id", "root_turn", F.col("turn").cast("long").alias("turn"), "depth", "parent_turn", "n_quotes", "chat")
+    placed = positions(rows, ["conv_id", "root_turn"], [F.col("depth"), F.col("turn"), F.col("chat")])
+    lone = F.col("conv_id").isNull() | F.col("turn").isNull()
+    placed = placed.withColumns({"alone": F.when(lone, F.col("position")), "part": F.when(lone, 0).otherwise(F.floor(F.col("position") / part)).cast("int")})
+    # a part has ``part`` messages at most
+    message = F.struct("position", "turn", F.coalesce("parent_turn", F.lit(-1)).alias("parent"), "chat")
+    held = placed.groupBy("conv_id", "root_turn", "alone", "part").agg(F.count("*").alias("n_messages"), F.sum("n_quotes").alias("n_quotes"), F.sort_array(F.collect_list(message)).alias("held"))
+    return held.select("conv_id", "root_turn", "part", "n_messages", "n_quotes", F.col("held.turn").alias("turns"), F.col("held.parent").alias("parents"), F.array_join("held.chat", "").alias("chat"))
+
+
 def query(spark, sf_dir: str) -> DataFrame:
-    """Every message of conversations, in threads."""
-    return linked_conversations(table(spark, sf_dir, "conversations"))
+    """Every message of conversations, in threads put together in reply order."""
+    return conversations(table(spark, sf_dir, "conversations"))

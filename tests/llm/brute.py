@@ -71,3 +71,56 @@ def near(rows, k=4, least=80):
                 x, y = find(a), find(b)
                 parent[max(x, y)] = min(x, y)
     return {i: (len(s), find(i), find(i) == i) for i, s in sets.items()}
+
+
+def conversations(rows):
+    """Threads of messages (conv_id, turn, role, text): {(conv_id, root): [(turn, parent, chat) in reply order]}."""
+
+    def normal(text):
+        return re.sub(r"[ \t\n\x0b\f\r]+", " ", text).strip().lower()
+
+    messages = {}
+    for conv, turn, role, text in rows:
+        lines = []
+        for raw in re.split(r"\r\n|\r|\n", text or ""):
+            level, at = 0, 0
+            while True:
+                k = at
+                while k < len(raw) and raw[k] in " \t":
+                    k += 1
+                if k < len(raw) and raw[k] == ">":
+                    level, at = level + 1, k + 1
+                else:
+                    break
+            lines.append((level, raw[at:]))
+        shown = []
+        for k, (level, content) in enumerate(lines):
+            follows = lines[k + 1][0] if k + 1 < len(lines) else 0
+            shown.append((follows, "") if level == 0 and follows and re.match(r"On .+ wrote:\s*$", content) else (level, content))
+        units, paragraph = set(), []
+        for level, content in [*shown, (0, "")]:
+            if paragraph and (not content.strip(" ") or level != paragraph[0][0]):
+                units.add((paragraph[0][0], normal(" ".join(c for _, c in paragraph))))
+                paragraph = []
+            if content.strip(" "):
+                paragraph.append((level, content))
+        units |= {(level, normal(content)) for level, content in shown}
+        own = re.sub(r"\n{3,}", "\n\n", "\n".join(c for level, c in shown if level == 0)).strip()
+        messages[conv, turn] = ({u for u in units if u[1]}, f"<|{role or 'unknown'}|>\n{own}\n")
+    parent = {}
+    for (conv, turn), (units, _) in messages.items():
+        votes = Counter()
+        for level, unit in units:
+            origin = min((t for (c, t), (other, _) in messages.items() if c == conv and (0, unit) in other), default=turn)
+            if level and origin < turn:
+                votes[level, origin] += len(unit)
+        if votes:
+            level = min(k[0] for k in votes)
+            parent[conv, turn] = max((size, origin) for (k, origin), size in votes.items() if k == level)[1]
+    threads = {}
+    for conv, turn in messages:
+        root, depth = turn, 0
+        while (conv, root) in parent:
+            root, depth = parent[conv, root], depth + 1
+        threads.setdefault((conv, root), []).append((depth, turn))
+    return {k: [(t, parent.get((k[0], t), -1), messages[k[0], t][1]) for _, t in sorted(v)] for k, v in threads.items()}

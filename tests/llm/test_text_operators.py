@@ -4,6 +4,7 @@ import random
 import zlib
 from collections import Counter
 
+import brute
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -216,3 +217,44 @@ def test_quotes(spark):
     assert got[1, 2]["text"] == "Good, see you." and got[1, 4]["text"] == "" and got[2, 0]["text"] == ""
     assert got[1, 1]["chat"] == "<|assistant|>\nMonday is fine.\n" and got[3, 0]["chat"].startswith("<|unknown|>")
     assert quotes.linked_conversations(df.limit(0)).count() == 0
+
+
+def test_conversations_against_plain_version(spark):
+    """Random threads with nested quotes, all line ends, attributions, common lines, deep levels and long texts."""
+    rnd = random.Random(8)
+    rows = []
+    for conv in range(12):
+        said: list[str] = []
+        for turn in range(rnd.randint(1, 25)):
+            lines = []
+            if said and rnd.random() < 0.7:
+                source = rnd.choice(said)
+                if rnd.random() < 0.5:
+                    lines.append("On 3 May, someone wrote:")
+                quoted = source.split("\n")
+                cut = rnd.randint(0, len(quoted) - 1)
+                lines += [">" * rnd.randint(1, 2) + rnd.choice(["", " "]) + x for x in quoted[cut : cut + rnd.randint(1, 6)]]
+            for _ in range(rnd.randint(0, 3)):
+                lines += ["Thanks." if rnd.random() < 0.3 else " ".join(rnd.choices(["Plan", "room", "Monday", "key", "x" * 9], k=rnd.randint(1, 30))), *[""] * rnd.randint(0, 3)]
+            if turn == 5:
+                lines += [">" * 40 + " deep", "word " * 20_000]
+            text = "\n".join(lines)
+            said.append(text)
+            rows.append((conv, turn, rnd.choice(["user", None]), text.replace("\n", rnd.choice(["\n", "\r\n", "\r"]))))
+    expected = brute.conversations(rows)
+    df = spark.createDataFrame([*rows, (None, 1, "user", "a"), (None, 1, "user", "a"), (3, None, "user", "b")], "conv_id long, turn long, role string, text string").repartition(5)
+    for part in (quotes.PART, 3):
+        got: dict = {}
+        lone = 0
+        for r in quotes.conversations(df, part).orderBy("conv_id", "root_turn", "part").collect():
+            assert len(r["turns"]) == r["n_messages"] <= part
+            if r["conv_id"] is None or r["root_turn"] is None:
+                lone += r["n_messages"]
+                assert r["n_messages"] == 1
+                continue
+            held = got.setdefault((r["conv_id"], r["root_turn"]), [[], ""])
+            held[0] += zip(r["turns"], r["parents"])
+            held[1] += r["chat"]
+        assert lone == 3
+        assert got == {k: [[(t, p) for t, p, _ in v], "".join(c for *_, c in v)] for k, v in expected.items()}
+    assert any(len(v) > 3 for v in expected.values())
