@@ -39,20 +39,42 @@ def terms(text: Column | str, stop: tuple[str, ...] = ()) -> Column:
     return T.bound(words, both)
 
 
-def tfidf(docs: DataFrame, least_df: int = 2, most_df: float = 0.98, features: int = 50_000, sublinear: bool = True, stop: tuple[str, ...] = (), id_column: str = "doc_id") -> DataFrame:
-    """(id, term, weight): smooth idf, unit length. The vocabulary is the ``features`` terms of most occurrences.
+def _counts(docs: DataFrame, stop: tuple[str, ...], id_column: str) -> DataFrame:
+    return docs.select(id_column, F.explode(terms("text", stop)).alias("term")).groupBy(id_column, "term").agg(F.count("*").alias("tf"))
 
-    Counts combine before each shuffle; the vocabulary has a fixed bound and is broadcast.
-    """
-    counts = docs.select(id_column, F.explode(terms("text", stop)).alias("term")).groupBy(id_column, "term").agg(F.count("*").alias("tf"))
+
+def _vocabulary(counts: DataFrame, docs: DataFrame, least_df: int, most_df: float, features: int) -> DataFrame:
     n = docs.agg(F.count("*").alias("n"))
-    vocabulary = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).crossJoin(F.broadcast(n)).where((F.col("df") >= least_df) & (F.col("df") <= F.col("n") * F.lit(most_df)))
-    vocabulary = vocabulary.orderBy(F.desc("total"), "term").limit(features)
+    found = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).crossJoin(F.broadcast(n)).where((F.col("df") >= least_df) & (F.col("df") <= F.col("n") * F.lit(most_df)))
+    return found.orderBy(F.desc("total"), "term").limit(features).select("term", "df", "n")
+
+
+def _weighed(counts: DataFrame, vocabulary: DataFrame, sublinear: bool, id_column: str) -> DataFrame:
     idf = F.log((1 + F.col("n")).cast("double") / (1 + F.col("df")).cast("double")) + 1.0
     weight = (1.0 + F.log(F.col("tf").cast("double")) if sublinear else F.col("tf").cast("double")) * idf
     raw = counts.join(F.broadcast(vocabulary), "term").select(id_column, "term", weight.alias("weight"))
-    norm = raw.groupBy(id_column).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    return raw.join(norm, id_column).select(id_column, "term", (F.col("weight") / F.col("norm")).alias("weight"))
+    # a document's terms lie together once; their norm and the terms come from the same row
+    held = raw.groupBy(id_column).agg(F.collect_list(F.struct("term", "weight")).alias("held"), F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+    return held.select(id_column, "norm", F.inline("held")).select(id_column, "term", (F.col("weight") / F.col("norm")).alias("weight"))
+
+
+def vocabulary(docs: DataFrame, least_df: int = 2, most_df: float = 0.98, features: int = 50_000, stop: tuple[str, ...] = (), id_column: str = "doc_id") -> DataFrame:
+    """term, df and n (documents): the ``features`` terms of most occurrences in the documents to fit on."""
+    return _vocabulary(_counts(docs, stop, id_column), docs, least_df, most_df, features)
+
+
+def weigh(docs: DataFrame, vocabulary: DataFrame, sublinear: bool = True, stop: tuple[str, ...] = (), id_column: str = "doc_id") -> DataFrame:
+    """(id, term, weight) of any documents by a fitted vocabulary: smooth idf, unit length."""
+    return _weighed(_counts(docs, stop, id_column), vocabulary, sublinear, id_column)
+
+
+def tfidf(docs: DataFrame, least_df: int = 2, most_df: float = 0.98, features: int = 50_000, sublinear: bool = True, stop: tuple[str, ...] = (), id_column: str = "doc_id") -> DataFrame:
+    """(id, term, weight) of the documents that the vocabulary is fitted on.
+
+    Counts combine before each shuffle, and their exchange is used twice; the vocabulary has a fixed bound and is broadcast.
+    """
+    counts = _counts(docs, stop, id_column)
+    return _weighed(counts, _vocabulary(counts, docs, least_df, most_df, features), sublinear, id_column)
 
 
 def keyphrases(weights: DataFrame, top: int = 3, id_column: str = "doc_id") -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrymill.functions import text as T
@@ -11,25 +11,43 @@ from quarrymill.runtime import stage
 
 
 def near_duplicates(left: DataFrame, right: DataFrame, least: float = 0.5, n: int = 8) -> DataFrame:
-    """left_id, right_id, similarity of all pairs (id, text) with Jaccard of shingles >= ``least``, exactly.
+    """left_id, right_id, similarity of all pairs (id, text) with Jaccard of shingles >= ``least``.
 
-    Prefix filter: shingles are ordered by rarity over both sides; a pair that similar shares one among the
-    first size - ceil(least * size) + 1 of each side. So only those are joined, and common shingles hardly
-    meet. Candidates are then verified on the whole sets.
+    Equal texts are one set, so copies are joined back at the end and never meet each other's shingles. Shingles are
+    64-bit hashes, ordered by rarity over both sides; a pair that similar shares one among the first
+    size - ceil(least * size) + 1 of each side. Only those are joined, where the sizes allow it; the place of the first
+    common one bounds what a pair can share. What is left is verified on the whole sets.
     """
-    both = left.select(F.lit(0).alias("side"), "id", T.char_shingles("text", n).alias("set")).union(right.select(F.lit(1), "id", T.char_shingles("text", n)))
-    sets = stage(both.where(F.size("set") > 0), "shingles")
-    each = sets.select("side", "id", F.size("set").alias("n"), F.explode("set").alias("s")).withColumn("s", F.xxhash64("s"))
-    df = each.groupBy("s").agg(F.count("*").alias("df"))
-    rank = F.row_number().over(Window.partitionBy("side", "id").orderBy("df", "s"))
-    prefix = each.join(df, "s").withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1)
-    a = prefix.where("side = 0").select("s", F.col("id").alias("left_id"), F.col("n").alias("n0"))
-    b = prefix.where("side = 1").select("s", F.col("id").alias("right_id"), F.col("n").alias("n1"))
+    key = T.normalise_key(F.coalesce("text", F.lit("")))
+    rows = left.select(F.lit(0).alias("side"), "id", F.md5(key).alias("set"), key.alias("t")).union(right.select(F.lit(1), "id", F.md5(key), key)).where("t <> ''")
+    members = stage(rows, "texts")
+    hashed = F.transform(T.char_shingles("t", n), lambda g: F.xxhash64(g))
+    sets = members.groupBy("set").agg(F.first("t").alias("t")).select("set", F.array_distinct(hashed).alias("s"))
+    sets = stage(sets.select("set", "s", F.size("s").alias("n")), "shingles")
+    each = sets.select("set", F.explode("s").alias("s"))
+    df = each.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")  # what one set alone holds joins nothing
+    # a set's shingles in one row, rare ones first; those of one set alone are rarest and only take up places
+    shared = each.join(df, "s").groupBy("set").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("shared"))
+    alone = F.col("n") - F.size("shared")
+    most = F.col("n") - F.ceil(F.lit(least) * F.col("n")).cast("int") + 1 - alone
+    prefix = sets.select("set", "n").join(shared, "set").withColumns({"alone": alone, "most": most}).where("most > 0")
+    sides = members.groupBy("set").agg(F.min("side").alias("lowest"), F.max("side").alias("highest"))
+    prefix = prefix.join(sides, "set").select("set", "n", "alone", "lowest", "highest", F.posexplode(F.slice("shared", 1, F.col("most"))).alias("place", "x"))
+    prefix = stage(prefix.select("set", "n", "lowest", "highest", (F.col("place") + F.col("alone")).alias("place"), F.col("x.s").alias("s")), "prefix")
+    a = prefix.where("lowest = 0").select("s", F.col("set").alias("a"), F.col("n").alias("n0"), F.col("place").alias("p0"))
+    b = prefix.where("highest = 1").select("s", F.col("set").alias("b"), F.col("n").alias("n1"), F.col("place").alias("p1"))
     fits = F.least("n0", "n1").cast("double") >= F.greatest("n0", "n1") * F.lit(least)
-    pairs = a.join(b, "s").where(fits).select("left_id", "right_id").distinct()
-    of = lambda side, name: sets.where(F.col("side") == side).select(F.col("id").alias(name), F.col("set").alias(f"{name}_set"))
-    found = pairs.join(of(0, "left_id"), "left_id").join(of(1, "right_id"), "right_id").select("left_id", "right_id", T.jaccard("left_id_set", "right_id_set").alias("similarity"))
-    return found.where(F.col("similarity") >= least)
+    met = a.join(b, "s").where(fits).groupBy("a", "b", "n0", "n1").agg(F.min("p0").alias("p0"), F.min("p1").alias("p1"))
+    # up to the first common shingle none is common, so no more than the shorter rest can be
+    needed = F.lit(least / (1 + least)) * (F.col("n0") + F.col("n1")) - 1e-9
+    pairs = met.where(F.least(F.col("n0") - F.col("p0"), F.col("n1") - F.col("p1")) >= needed)
+    whole = lambda name: sets.select(F.col("set").alias(name), F.col("s").alias(f"{name}_s"))
+    found = pairs.join(whole("a"), "a").join(whole("b"), "b").select("a", "b", T.jaccard("a_s", "b_s").alias("similarity")).where(F.col("similarity") >= least)
+    # a text of both sides is its own pair; it shares every shingle, so the join has found it if any are held twice
+    own = sides.where("lowest < highest").select(F.col("set").alias("a"), F.col("set").alias("b"), F.lit(1.0).alias("similarity"))
+    found = found.where("a <> b").unionByName(own)
+    of = lambda side, name, by: members.where(F.col("side") == side).select(F.col("id").alias(name), F.col("set").alias(by))
+    return found.join(of(0, "left_id", "a"), "a").join(of(1, "right_id", "b"), "b").select("left_id", "right_id", "similarity")
 
 
 def sentence_windows(pages: DataFrame, target: int, least: int = 15, relative: float = 0.1, texts: bool = False) -> DataFrame:

@@ -135,13 +135,14 @@ _NORM = r"trim(regexp_replace(lower(text), '\s+', ' ', 'g'))"
 _SH = "list_distinct(list_transform(range(1, greatest(2, len({0}) - 6)), lambda i: substr({0}, i, 8)))"
 
 
-@register("d14_near_duplicates", rf"""WITH {X.PASSAGES_SQL}, l AS (SELECT item_id AS id, {_SH.format(_NORM)} AS s FROM benchmark), r AS (SELECT DISTINCT example_id AS id, {_SH.format(_NORM)} AS s FROM passages),
+@register("d14_near_duplicates", rf"""WITH {X.PASSAGES_SQL}, ln AS (SELECT item_id AS id, {_NORM} AS t FROM benchmark), rn AS (SELECT DISTINCT example_id AS id, {_NORM} AS t FROM passages),
+l AS (SELECT id, {_SH.format('t')} AS s FROM ln), r AS (SELECT id, {_SH.format('t')} AS s FROM rn),
 le AS (SELECT id, len(s) AS n, unnest(s) AS x FROM l), re AS (SELECT id, len(s) AS n, unnest(s) AS x FROM r), c AS (SELECT le.id AS left_id, re.id AS right_id, le.n AS n0, re.n AS n1, count(*) AS k FROM le JOIN re USING (x) GROUP BY ALL)
-SELECT left_id, right_id, round(k::DOUBLE / (n0 + n1 - k)::DOUBLE, 9) AS similarity FROM c WHERE k::DOUBLE / (n0 + n1 - k)::DOUBLE >= 0.2""")
+SELECT left_id, right_id, round(k::DOUBLE / (n0 + n1 - k)::DOUBLE, 9) AS similarity FROM c WHERE k::DOUBLE / (n0 + n1 - k)::DOUBLE >= 0.5""")
 def near_duplicates(spark, d):
     left = table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("id"), "text")
     right = X.passages(spark, d).select(F.col("example_id").alias("id"), "text")
-    found = G.near_duplicates(left, right, 0.2)
+    found = G.near_duplicates(left, right, 0.5)
     return found.select(F.col("left_id").cast("long").alias("left_id"), "right_id", F.round("similarity", 9).alias("similarity"))
 
 
@@ -208,39 +209,3 @@ def combined(spark, d):
 def joint_resplit(spark, d):
     rows = Q.examples(spark, d).select("document_id").unionByName(table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("document_id")))
     return S.group_splits(rows, strata=F.lit("all"))
-
-
-def _model(spark, d):
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector
-
-    rows = table(spark, d, "embeddings").select("vec_id", array_to_vector("embedding").alias("features"), (F.col("label") < 5).cast("double").alias("label"))
-    n, pos = rows.agg(F.count("*"), F.sum("label")).first()
-    weighted = rows.withColumn("weight", F.when(F.col("label") == 1, n / (2 * max(pos, 1))).otherwise(n / (2 * max(n - pos, 1))))
-    model = LogisticRegression(standardization=False, weightCol="weight", regParam=1.0 / (10.0 * max(n, 1)), maxIter=200).fit(weighted)
-    return model, rows
-
-
-@register("h4_logistic_regression")
-def logistic_regression(spark, d):
-    from pyspark.ml.functions import vector_to_array
-
-    model, rows = _model(spark, d)
-    p = vector_to_array("probability")[1]
-    return model.transform(rows).select("vec_id", F.col("label").cast("int").alias("label"), F.round(p, 6).alias("score"), (p >= 0.5).cast("int").alias("prediction"))
-
-
-@register("h7_top_coefficients")
-def top_coefficients(spark, d):
-    model, _ = _model(spark, d)
-    rows = spark.createDataFrame([(i, float(c)) for i, c in enumerate(model.coefficients)], "feature int, weight double")
-    top = lambda order, side: rows.orderBy(order, "feature").limit(30).withColumn("side", F.lit(side))
-    return top(F.desc("weight"), "positive").union(top(F.col("weight"), "negative"))
-
-
-@register("h8_cross_evaluation")
-def cross_evaluation(spark, d):
-    from quarrymill.operators import metrics as M
-
-    rows = logistic_regression(spark, d).withColumn("test_name", F.when(F.col("vec_id") % 2 == 0, "even").otherwise("odd"))
-    return M.evaluated(rows, 0.5, ("test_name",))

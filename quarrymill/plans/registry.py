@@ -26,7 +26,7 @@ def register(name: str, sql: str | None = None) -> Callable:
 
 
 #: The modules whose queries count.
-_MODULES = ("text_queries", "dataset_queries", "eval_queries", "match_queries", "more_queries", "composed_queries")
+_MODULES = ("text_queries", "dataset_queries", "eval_queries", "match_queries", "more_queries", "composed_queries", "model_queries")
 
 
 def _load() -> None:
