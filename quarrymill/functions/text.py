@@ -48,35 +48,62 @@ def sentences(normal: Column | str) -> Column:
     return F.filter(F.split(_col(normal), SENTENCE_BREAK, -1), lambda s: s != "")
 
 
+def spaced(text: Column) -> Column:
+    """Words of a normalised text that is not empty, by its spaces: no array is made."""
+    return F.length(text) - F.length(F.translate(text, " ", "")) + 1
+
+
 def units(sents: Column | str, most: int) -> Column:
     """Sentences, those of more than ``most`` words cut into slices of ``most``."""
 
-    def cut(sentence: Column) -> Column:
-        return bound(F.split(sentence, " "), lambda words: slices(sentence, words))
+    def slices(sentence: Column) -> Column:
+        return bound(F.split(sentence, " "), lambda words: F.transform(F.sequence(F.lit(0), F.floor((F.size(words) - 1) / most).cast("int")), lambda k: F.array_join(F.slice(words, k * most + 1, F.lit(most)), " ")))
+
+    sents = _col(sents)
+    whole = lambda x: spaced(x) <= most
+    return F.when(F.forall(sents, whole), sents).otherwise(F.flatten(F.transform(sents, lambda x: F.when(whole(x), F.array(x)).otherwise(slices(x)))))
+
 
-    def slices(sentence: Column, words: Column) -> Column:
-        starts = F.sequence(F.lit(0), F.floor((F.size(words) - 1) / most).cast("int"))
-        return F.when(F.size(words) <= most, F.array(sentence)).otherwise(F.transform(starts, lambda k: F.array_join(F.slice(words, k * most + 1, F.lit(most)), " ")))
+def starts(counts: Column, most: int) -> Column:
+    """Places at which greedily filled chunks of at most ``most`` words begin, from the units' word counts."""
+    empty = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("n"), F.lit(0).alias("at"))
 
-    return F.flatten(F.transform(_col(sents), cut))
+    def step(acc: Column, n: Column) -> Column:
+        full = (acc["at"] == 0) | (acc["n"] + n > most)
+        return F.struct(F.when(full, F.concat(acc["starts"], F.array(acc["at"]))).otherwise(acc["starts"]).alias("starts"), F.when(full, n).otherwise(acc["n"] + n).alias("n"), (acc["at"] + 1).alias("at"))
+
+    return F.aggregate(counts, empty, step, lambda acc: acc["starts"])
+
+
+def _cut(parts: Column, begins: Column) -> Column:
+    """The units from each start to the next."""
+    return F.transform(begins, lambda b, i: F.slice(parts, b + 1, F.coalesce(F.get(begins, i + 1), F.size(parts)) - b))
 
 
 def packed(parts: Column | str, most: int) -> Column:
     """Units put together greedily into chunks of at most ``most`` words: an array of arrays of units."""
-    empty = F.struct(F.array().cast("array<array<string>>").alias("done"), F.array().cast("array<string>").alias("now"), F.lit(0).alias("n"))
+    return bound(_col(parts), lambda p: bound(starts(F.transform(p, spaced), most), lambda b: _cut(p, b)))
+
 
-    def step(acc: Column, unit: Column) -> Column:
-        return bound(F.size(F.split(unit, " ")), lambda n: added(acc, unit, n))
+def balanced_starts(begins: Column, sums: Column, least: int, most: int) -> Column:
+    """``begins`` after the last chunk, if under ``least`` words, has joined the one before or taken its last units.
 
-    def added(acc: Column, unit: Column, n: Column) -> Column:
-        full = (acc["n"] > 0) & (acc["n"] + n > most)
-        return F.struct(
-            F.when(full, F.concat(acc["done"], F.array(acc["now"]))).otherwise(acc["done"]).alias("done"),
-            F.when(full, F.array(unit)).otherwise(F.concat(acc["now"], F.array(unit))).alias("now"),
-            F.when(full, n).otherwise(acc["n"] + n).alias("n"),
-        )
+    ``sums``: words before each unit, and in all. Units move as ``rebalanced`` says.
+    """
+    n = F.size(begins)
+    last, before = F.get(begins, n - 1), F.get(begins, n - 2)
+    words = lambda a, b: F.get(sums, b) - F.get(sums, a)
+    ends = F.struct(last.alias("last"), before.alias("before"), words(last, F.size(sums) - 1).alias("tail"), words(before, last).alias("head"))
+
+    def mend(e: Column) -> Column:
+        taken = lambda k: e["tail"] + words(e["last"] - k, e["last"])
+        room = e["last"] - e["before"]
+        tries = F.when(room > 1, F.sequence(F.lit(1), room - 1)).otherwise(F.array().cast("array<int>"))
+        moves = F.size(F.filter(tries, lambda k: (taken(k - 1) < least) & (taken(k) <= most)))
+        start = F.slice(begins, 1, n - 1)
+        return F.when(e["tail"] >= least, begins).when(e["head"] + e["tail"] <= most, start).otherwise(F.concat(start, F.array(e["last"] - moves)))
 
-    return F.aggregate(_col(parts), empty, step, lambda acc: F.when(F.size(acc["now"]) > 0, F.concat(acc["done"], F.array(acc["now"]))).otherwise(acc["done"]))
+    return F.when(n < 2, begins).otherwise(bound(ends, mend))
 
 
 def _words_of(chunk: Column) -> Column:
@@ -109,10 +136,23 @@ def rebalanced(chunks: Column | str, least: int, most: int) -> Column:
 
 def chunk_text(text: Column | str, least: int = 50, most: int = 200) -> Column:
     """Passages of a text: an array of strings. Bounds must satisfy 0 < least <= most."""
+    return chunk_normalised(normalise(text), least, most)
+
+
+def chunk_normalised(normal: Column, least: int = 50, most: int = 200) -> Column:
+    """The same for a text that is normalised already.
+
+    Words are counted once a unit; chunks are found on counts and their sums, and strings are joined last.
+    """
     if not 0 < least <= most:
         raise ValueError("bounds must satisfy 0 < least <= most")
-    chunks = rebalanced(packed(units(sentences(normalise(text)), most), most), least, most)
-    return F.transform(chunks, lambda c: F.array_join(c, " "))
+
+    def chunks(parts: Column, counts: Column) -> Column:
+        sums = F.aggregate(counts, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+        ends = F.struct(starts(counts, most).alias("b"), sums.alias("p"))
+        return bound(ends, lambda e: bound(balanced_starts(e["b"], e["p"], least, most), lambda b: F.transform(_cut(parts, b), lambda c: F.array_join(c, " "))))
+
+    return bound(units(sentences(normal), most), lambda parts: bound(F.transform(parts, spaced), lambda counts: chunks(parts, counts)))
 
 
 def within_bounds(chunks: Column | str, least: int, most: int) -> Column:

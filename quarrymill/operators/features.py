@@ -26,9 +26,10 @@ def strip_accents(text: Column | str) -> Column:
     return F.translate(text, *_accents())
 
 
-def terms(text: Column | str, stop: tuple[str, ...] = ()) -> Column:
-    """Word 1- and 2-grams of two or more letters, digits or underscores a word; lower case, no accents."""
-    words = F.regexp_extract_all(strip_accents(F.lower(F.col(text) if isinstance(text, str) else text)), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
+def terms(text: Column | str, stop: tuple[str, ...] = (), accents: bool = False) -> Column:
+    """Word 1- and 2-grams of two or more letters, digits or underscores a word; lower case, accents only if asked for."""
+    low = F.lower(F.col(text) if isinstance(text, str) else text)
+    words = F.regexp_extract_all(low if accents else strip_accents(low), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
     if stop:
         words = F.filter(words, lambda w: ~w.isin(*stop))
 
@@ -39,8 +40,8 @@ def terms(text: Column | str, stop: tuple[str, ...] = ()) -> Column:
     return T.bound(words, both)
 
 
-def _counts(docs: DataFrame, stop: tuple[str, ...], id_column: str) -> DataFrame:
-    return docs.select(id_column, F.explode(terms("text", stop)).alias("term")).groupBy(id_column, "term").agg(F.count("*").alias("tf"))
+def _counts(docs: DataFrame, stop: tuple[str, ...], id_column: str, accents: bool = False) -> DataFrame:
+    return docs.select(id_column, F.explode(terms("text", stop, accents)).alias("term")).groupBy(id_column, "term").agg(F.count("*").alias("tf"))
 
 
 def _vocabulary(counts: DataFrame, docs: DataFrame, least_df: int, most_df: float, features: int) -> DataFrame:
@@ -68,12 +69,12 @@ def weigh(docs: DataFrame, vocabulary: DataFrame, sublinear: bool = True, stop:
     return _weighed(_counts(docs, stop, id_column), vocabulary, sublinear, id_column)
 
 
-def tfidf(docs: DataFrame, least_df: int = 2, most_df: float = 0.98, features: int = 50_000, sublinear: bool = True, stop: tuple[str, ...] = (), id_column: str = "doc_id") -> DataFrame:
+def tfidf(docs: DataFrame, least_df: int = 2, most_df: float = 0.98, features: int = 50_000, sublinear: bool = True, stop: tuple[str, ...] = (), id_column: str = "doc_id", accents: bool = False) -> DataFrame:
     """(id, term, weight) of the documents that the vocabulary is fitted on.
 
     Counts combine before each shuffle, and their exchange is used twice; the vocabulary has a fixed bound and is broadcast.
     """
-    counts = _counts(docs, stop, id_column)
+    counts = _counts(docs, stop, id_column, accents)
     return _weighed(counts, _vocabulary(counts, docs, least_df, most_df, features), sublinear, id_column)
 
 
@@ -94,3 +95,15 @@ def search(queries: DataFrame, pages: DataFrame, top: int = 10) -> DataFrame:
     hits = asked.join(index, "token").groupBy("query_id", "page_id").agg(F.count("*").alias("hits"))
     place = Window.partitionBy("query_id").orderBy(F.desc("hits"), "page_id")
     return hits.withColumn("place", F.row_number().over(place)).where(F.col("place") <= top)
+
+
+def pool(queries: DataFrame, pages: DataFrame, enough: int = 15, top: int = 10) -> DataFrame:
+    """query_id, page_id, variant (1, 2 ...): pages that the variants find, each with the first variant that does.
+
+    ``queries``: query_id, variants. A variant is asked only if those before have found fewer than ``enough`` pages.
+    """
+    asked = queries.select("query_id", F.posexplode("variants").alias("variant", "query")).select(F.struct("query_id", (F.col("variant") + 1).alias("variant")).alias("query_id"), "query")
+    found = search(asked, pages, top).groupBy(F.col("query_id.query_id").alias("query_id"), "page_id").agg(F.min("query_id.variant").alias("variant"))
+    before = Window.partitionBy("query_id").orderBy("variant").rowsBetween(Window.unboundedPreceding, -1)  # a row a variant
+    seen = found.groupBy("query_id", "variant").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    return found.join(seen.where(F.col("before") < enough).select("query_id", "variant"), ["query_id", "variant"]).select("query_id", "page_id", "variant")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -82,29 +84,44 @@ def greedy_matches(candidates: DataFrame, floor: float) -> DataFrame:
 
     ``candidates``: passage_id, ord, page_id, semantic, score (page_id null for a passage without any), and copy
     and copies (see ``candidate_copies``) where near duplicates of the passage or of accepted pages are to be
-    dropped. The choice is sequential by nature, so the few scored rows of a run go to one task; all scoring is
-    done before.
+    dropped. The choice is sequential by nature: one task takes the scored rows, sorted by Spark, as they stream by,
+    and keeps the pages that are used; all scoring is done before.
     """
     texts = "copies" in candidates.columns
 
-    def walk(part: pd.DataFrame) -> pd.DataFrame:
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         used: set[str] = set()
-        out = []
-        if texts:
-            near = {page: list(copies) for page, copies in zip(part["page_id"], part["copies"]) if copies is not None}
-            part = part.assign(page_id=part["page_id"].where(~part["copy"].astype(bool)))
-        for (_, passage), rows in part.sort_values(["ord", "passage_id"], kind="stable").groupby(["ord", "passage_id"], sort=True):
-            rows = rows[rows["page_id"].notna()]
-            free = rows[~rows["page_id"].isin(used)].sort_values(["score", "page_id"], ascending=[False, True], kind="stable")
-            good = free[free["semantic"] >= floor]
-            if len(good):
-                page, score = good.iloc[0]["page_id"], good.iloc[0]["score"]
-                used.add(page)
-                if texts:
-                    used.update(near.get(page, ()))
-                out.append((passage, page, float(score), "matched"))
-            else:
-                out.append((passage, None, None, "below_floor" if len(free) else "no_candidates"))
-        return pd.DataFrame(out, columns=["passage_id", "page_id", "score", "reason"])
-
-    return candidates.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(lambda part: walk(part), "passage_id string, page_id string, score double, reason string")
+        now, found, free = None, None, 0
+        out: list[tuple] = []
+
+        def close() -> None:
+            if now is not None:
+                out.append((now[1], *(found or (None, None)), "matched" if found else "below_floor" if free else "no_candidates"))
+
+        def batch() -> pa.RecordBatch:
+            columns = list(zip(*out)) or [()] * 4
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.float64(), pa.string()))], names=["passage_id", "page_id", "score", "reason"])
+
+        for b in batches:
+            copied = b.column("copy").to_pylist() if texts else [False] * b.num_rows
+            near = b.column("copies").to_pylist() if texts else [None] * b.num_rows
+            for order, passage, page, semantic, score, copy, copies in zip(*(b.column(c).to_pylist() for c in ("ord", "passage_id", "page_id", "semantic", "score")), copied, near):
+                if (order, passage) != now:
+                    close()
+                    now, found, free = (order, passage), None, 0
+                if page is None or copy or (page in used and (found is None or page != found[0])):
+                    continue
+                free += 1
+                if found is None and semantic is not None and semantic >= floor:
+                    found = page, float(score)
+                    used.add(page)
+                    used.update(copies or ())
+            if len(out) > 5000:
+                yield batch()
+        close()
+        yield batch()
+
+    columns = ["ord", "passage_id", "page_id", "semantic", "score", *(["copy", "copies"] if texts else [])]
+    ordered = candidates.select(columns).repartition(1).sortWithinPartitions("ord", "passage_id", F.desc("score"), "page_id")
+    return ordered.mapInArrow(walk, "passage_id string, page_id string, score double, reason string")

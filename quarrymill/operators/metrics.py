@@ -1,15 +1,17 @@
 """Classifier metrics over (label, score) rows, overall or by groups.
 
 Rows are first summed up by distinct score, with map-side combination, so the running sums below work on one
-row a distinct score; ``digits`` rounds scores and so bounds that number whatever the input. Undefined values
-are null, never NaN.
+row a distinct score, by ranges of scores; ``digits`` rounds scores. Undefined values are null, never NaN.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrymill.operators.ordering import positions
+from quarrymill.runtime import stage
+
 SPLITS = ("train", "validation", "test")
 
 
@@ -36,12 +38,21 @@ def by_score(rows: DataFrame, by: tuple[str, ...] = (), digits: int | None = Non
     return rows.withColumn("score", score).groupBy(*by, "score").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("n"))
 
 
+def cuts(rows: DataFrame, by: tuple[str, ...] = (), digits: int | None = None) -> DataFrame:
+    """Distinct scores with p and n, tp and fp (positives and negatives of this score or more) and all_p and all_n.
+
+    The sums run over ranges of scores (see ``operators.ordering``), so neither a group nor the whole meets in a task.
+    """
+    scores = stage(by_score(rows, by, digits), "scores")
+    summed = positions(scores, list(by), [F.desc("score")], "place", {"tp": "p", "fp": "n"})
+    summed = summed.withColumns({"tp": F.col("tp") + F.col("p"), "fp": F.col("fp") + F.col("n")}).drop("place")
+    totals = scores.groupBy(*by).agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
+    return summed.join(totals, list(by)) if by else summed.crossJoin(F.broadcast(totals))
+
+
 def ranking_metrics(rows: DataFrame, by: tuple[str, ...] = (), digits: int | None = None) -> DataFrame:
     """roc_auc (ties count half), average_precision (ties as one step); null if a class is missing."""
-    scores = by_score(rows, by, digits)
-    up = Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    down = Window.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = scores.withColumns({"below": F.sum("n").over(up) - F.col("n"), "tp": F.sum("p").over(down), "fp": F.sum("n").over(down)})
+    ranked = cuts(rows, by, digits).withColumn("below", F.col("all_n") - F.col("fp"))
     p, n = F.sum("p"), F.sum("n")
     wins = F.sum(F.col("p") * (F.col("below") + F.col("n").cast("double") / F.lit(2.0)))
     steps = F.sum(F.col("p") * F.col("tp").cast("double") / (F.col("tp") + F.col("fp")).cast("double"))
@@ -54,17 +65,13 @@ def brier(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return rows.groupBy(*by).agg(F.avg(F.pow(F.col("score") - F.col("label"), F.lit(2.0))).alias("brier_score"))
 
 
-def select_threshold(rows: DataFrame) -> DataFrame:
+def select_threshold(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """threshold and f1: the lowest of the scores at which f1 of ``score >= threshold`` is greatest; 0.5 without rows."""
-    scores = by_score(rows)
-    down = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    total = scores.agg(F.sum("p").alias("all_p"))
-    cut = scores.withColumns({"tp": F.sum("p").over(down), "fp": F.sum("n").over(down)}).crossJoin(F.broadcast(total))
     least = lambda c: F.greatest(c.cast("double"), F.lit(1e-12))
     precision, recall = F.col("tp") / least(F.col("tp") + F.col("fp")), F.col("tp") / least(F.col("all_p"))
-    found = cut.select("score", (2.0 * precision * recall / least(precision + recall)).alias("f1"))
-    best = found.agg(F.max_by(F.struct(F.col("score").alias("threshold"), "f1"), F.struct(F.round("f1", 12), -F.col("score"))).alias("b"))
-    return best.select(F.coalesce("b.threshold", F.lit(0.5)).alias("threshold"), F.col("b.f1").alias("f1"))
+    found = cuts(rows, by).select(*by, "score", (2.0 * precision * recall / least(precision + recall)).alias("f1"))
+    best = found.groupBy(*by).agg(F.max_by(F.struct(F.col("score").alias("threshold"), "f1"), F.struct(F.round("f1", 12), -F.col("score"))).alias("b"))
+    return best.select(*by, F.coalesce("b.threshold", F.lit(0.5)).alias("threshold"), F.col("b.f1").alias("f1"))
 
 
 def sliced(rows: DataFrame) -> DataFrame:

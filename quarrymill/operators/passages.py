@@ -14,9 +14,10 @@ def chunk_documents(docs: DataFrame, least: int = 50, most: int = 200, id_column
     Documents without id or text, or under ``least`` words, give none; passages out of bounds are dropped.
     Rows that repeat (document, index, text) are one.
     """
-    whole = T.normalise("text")
-    rows = docs.where(F.col(id_column).isNotNull() & F.col("text").isNotNull()).where(T.word_count(whole) >= least)
-    rows = rows.withColumn("_chunks", T.chunk_text("text", least, most)).drop("text")
+    # the text is normalised once, in the row; short ones give no chunks
+    chunks = T.bound(T.normalise("text"), lambda t: F.when((t != "") & (T.spaced(t) >= least), T.chunk_normalised(t, least, most)))
+    rows = docs.where(F.col(id_column).isNotNull() & F.col("text").isNotNull())
+    rows = rows.withColumn("_chunks", chunks).drop("text")
     rows = rows.select("*", F.posexplode("_chunks").alias("chunk_index", "text")).drop("_chunks")
     rows = rows.withColumn("word_count", T.word_count("text")).where(F.col("word_count").between(least, most))
     rows = rows.withColumn("example_id", T.stable_id(id_column, "chunk_index", "text"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,26 +22,29 @@ def balanced(sizes: DataFrame, ratios: Mapping[str, float] = RATIOS) -> DataFram
     """stratum, document_id, split from (stratum, document_id, size).
 
     In each stratum documents come by size, largest first, ties in hash order; each goes to the split with
-    the least (10 * overflow + fill, count, name). That is a sequence by nature: one task a stratum walks thin
-    rows (id and size), with three counts of state. Strata run in parallel.
+    the least (10 * overflow + fill, count, name). That is a sequence by nature: one task a stratum takes thin rows
+    (id and size), sorted by Spark, as they stream by; it keeps three counts. Strata run in parallel.
     """
     names = sorted(ratios)
 
-    def walk(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["size", "rank"], ascending=[False, True], kind="stable")
-        total = int(part["size"].sum())
-        targets = {s: total * ratios[s] for s in names}
-        floor = {s: max(targets[s], 1.0) for s in names}
-        counts = dict.fromkeys(names, 0)
-        chosen = []
-        for size in part["size"].tolist():
-            best = min(names, key=lambda s: (max(0.0, counts[s] + size - targets[s]) / floor[s] * 10.0 + (counts[s] + size) / floor[s], counts[s], s))
-            counts[best] += size
-            chosen.append(best)
-        return part[["stratum", "document_id"]].assign(split=chosen)
-
-    ranked = sizes.select("stratum", "document_id", "size", T.rank_key("split", "document_id").alias("rank"))
-    return ranked.groupBy("stratum").applyInPandas(walk, "stratum string, document_id string, split string")
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, counts, targets, floor = object(), {}, {}, {}
+        for b in batches:
+            chosen = []
+            for stratum, size, total in zip(*(b.column(c).to_pylist() for c in ("stratum", "size", "total"))):
+                if stratum != now:
+                    now, counts = stratum, dict.fromkeys(names, 0)
+                    targets = {s: total * ratios[s] for s in names}
+                    floor = {s: max(targets[s], 1.0) for s in names}
+                best = min(names, key=lambda s: (max(0.0, counts[s] + size - targets[s]) / floor[s] * 10.0 + (counts[s] + size) / floor[s], counts[s], s))
+                counts[best] += size
+                chosen.append(best)
+            yield pa.RecordBatch.from_arrays([b.column("stratum"), b.column("document_id"), pa.array(chosen, pa.string())], names=["stratum", "document_id", "split"])
+
+    totals = sizes.groupBy("stratum").agg(F.sum("size").alias("total"))
+    ranked = sizes.select("stratum", F.col("document_id").cast("string").alias("document_id"), "size", T.rank_key("split", "document_id").alias("rank")).join(totals, "stratum")
+    dealt = ranked.repartition("stratum").sortWithinPartitions("stratum", F.desc("size"), "rank")
+    return dealt.mapInArrow(walk, "stratum string, document_id string, split string")
 
 
 def group_splits(rows: DataFrame, ratios: Mapping[str, float] = RATIOS, strata: Column | None = None) -> DataFrame:

@@ -6,9 +6,11 @@ import math
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrymill.operators.ordering import positions
+
 
 def bootstrap_interval(margins: DataFrame, resamples: int = 10_000, low: float = 0.025, high: float = 0.975) -> DataFrame:
     """low and high of the mean of ``margin`` over resamples drawn by hash: row i of resample b is value
@@ -34,17 +36,37 @@ def sign_test(margins: DataFrame, tie: float = 1e-9) -> DataFrame:
     return counts.mapInArrow(run, "wins long, losses long, p double")
 
 
-def signed_rank(margins: DataFrame) -> DataFrame:
-    """n, w_plus and the tie-corrected z of Wilcoxon's test; zero margins are dropped."""
+def exact_tail(w: float, n: int) -> float:
+    """P(W >= w) of the signed-rank sum of n untied differences, by counting the sets of ranks of each sum."""
+    ways = [1]
+    for rank in range(1, n + 1):
+        ways = [(ways[k] if k < len(ways) else 0) + (ways[k - rank] if k >= rank else 0) for k in range(len(ways) + rank)]
+    return sum(ways[max(0, math.ceil(w)) :]) / 2.0**n
+
+
+def signed_rank(margins: DataFrame, exact: int = 50) -> DataFrame:
+    """n, w_plus, the tie-corrected z and the one-sided p (greater) of Wilcoxon's test; zero margins are dropped.
+
+    p is exact for up to ``exact`` differences without ties and zeros, and normal otherwise.
+    """
     sizes = margins.where("margin <> 0").select(F.abs("margin").alias("size"), (F.col("margin") > 0).cast("long").alias("up"))
     tied = sizes.groupBy("size").agg(F.count("*").alias("t"), F.sum("up").alias("up"))  # one row a distinct size
-    before = Window.orderBy("size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = tied.withColumn("rank", F.sum("t").over(before) - (F.col("t") - 1).cast("double") / F.lit(2.0))
+    ranked = positions(tied, [], [F.col("size")], "place", {"before": "t"}).withColumn("rank", F.col("before") + (F.col("t") + 1).cast("double") / F.lit(2.0))
     n = F.sum("t").cast("double")
     w = F.sum(F.col("rank") * F.col("up"))
     ties = F.sum(F.pow(F.col("t").cast("double"), F.lit(3.0)) - F.col("t"))
     spread = F.sqrt((n * (n + 1) * (2 * n + 1) - ties / F.lit(2.0)) / F.lit(24.0))
-    return ranked.agg(F.sum("t").alias("n"), w.alias("w_plus"), ((w - n * (n + 1) / F.lit(4.0)) / spread).alias("z"))
+    counted = ranked.agg(F.sum("t").alias("n"), w.alias("w_plus"), ((w - n * (n + 1) / F.lit(4.0)) / spread).alias("z"), (F.max("t") > 1).alias("tied"))
+    zeros = margins.agg(F.count_if(F.col("margin") == 0).alias("zeros"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            p = []
+            for count, w_plus, z, tie, zero in zip(*(b.column(c).to_pylist() for c in ("n", "w_plus", "z", "tied", "zeros"))):
+                p.append(None if not count else exact_tail(w_plus, count) if count <= exact and not tie and not zero else 0.5 * math.erfc(z / math.sqrt(2)))
+            yield pa.RecordBatch.from_arrays([b.column("n"), b.column("w_plus"), b.column("z"), pa.array(p, pa.float64())], names=["n", "w_plus", "z", "p"])
+
+    return counted.crossJoin(zeros).mapInArrow(run, "n long, w_plus double, z double, p double")  # two single rows
 
 
 def quantiles(rows: DataFrame, column: str) -> DataFrame:

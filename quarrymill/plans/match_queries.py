@@ -17,8 +17,8 @@ from quarrymill.runtime import stage, table
 _STOP = "[" + ", ".join(f"'{w}'" for w in E.STOP_WORDS) + "]"
 
 
-def _tfidf_sql(source: str, stop: str, least: int, most: float, sublinear: bool) -> str:
-    words = "regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}_]{2,}')"
+def _tfidf_sql(source: str, stop: str, least: int, most: float, sublinear: bool, accents: bool = False) -> str:
+    words = f"regexp_extract_all({'lower(text)' if accents else 'strip_accents(lower(text))'}, '[\\p{{L}}\\p{{N}}_]{{2,}}')"
     if stop:
         words = f"list_filter({words}, lambda x: NOT list_contains({stop}, x))"
     tf = "1.0::DOUBLE + ln(tf::DOUBLE)" if sublinear else "tf::DOUBLE"
@@ -41,12 +41,15 @@ def strip_accents(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(E.strip_accents(F.lower("text"))).alias("plain"))
 
 
-_KEYS = f"""{_tfidf_sql('documents', _STOP, 1, 0.9, False)}, ko AS (SELECT doc_id, list(term ORDER BY -round(weight, 9), term) AS o FROM tz GROUP BY 1),
+_PHRASES = """ko AS (SELECT doc_id, list(term ORDER BY -round(weight, 9), term) AS o FROM tz GROUP BY 1),
 kp AS (SELECT doc_id, list_reduce(list_transform(o, lambda x: [x]), lambda a, b: CASE WHEN len(a) >= 3 OR len(list_filter(a, lambda k: contains(k, b[1]) OR contains(b[1], k))) > 0 THEN a ELSE list_concat(a, b) END) AS phrases FROM ko)"""
+_VARIANTS = """v AS (SELECT doc_id, list_filter(list_concat([CASE WHEN len(phrases) >= 3 THEN array_to_string(phrases[1:3], ' ') END, CASE WHEN len(phrases) >= 2 THEN array_to_string(phrases[1:2], ' ') END], phrases[1:3]), lambda x: x IS NOT NULL AND x <> '') AS v FROM kp),
+f AS (SELECT doc_id, v, list_filter(range(1, len(v) + 1), lambda i: list_position(v, v[i]) = i) AS keep FROM v)"""
+_KEYS = f"{_tfidf_sql('documents', _STOP, 1, 0.9, False, True)}, {_PHRASES}"
 
 
 def _keyphrases(spark, d):
-    return E.keyphrases(E.tfidf(X.source_documents(spark, d), 1, 0.9, sublinear=False, stop=E.STOP_WORDS))
+    return E.keyphrases(E.tfidf(X.source_documents(spark, d), 1, 0.9, sublinear=False, stop=E.STOP_WORDS, accents=True))
 
 
 @register("g10_keyphrases", f"WITH {_KEYS} SELECT doc_id, array_to_string(phrases, '|') AS phrases FROM kp")
@@ -54,8 +57,7 @@ def keyphrases(spark, d):
     return _keyphrases(spark, d).select("doc_id", F.array_join("phrases", "|").alias("phrases"))
 
 
-@register("g12_query_variants", f"""WITH {_KEYS}, v AS (SELECT doc_id, list_filter(list_concat([CASE WHEN len(phrases) >= 3 THEN array_to_string(phrases[1:3], ' ') END, CASE WHEN len(phrases) >= 2 THEN array_to_string(phrases[1:2], ' ') END], phrases[1:3]), lambda x: x IS NOT NULL AND x <> '') AS v FROM kp),
-f AS (SELECT doc_id, v, list_filter(range(1, len(v) + 1), lambda i: list_position(v, v[i]) = i) AS keep FROM v) SELECT doc_id, array_to_string(list_transform(keep, lambda i: v[i])[1:4], '|') AS variants FROM f""")
+@register("g12_query_variants", f"WITH {_KEYS}, {_VARIANTS} SELECT doc_id, array_to_string(list_transform(keep, lambda i: v[i])[1:4], '|') AS variants FROM f")
 def query_variants(spark, d):
     return _keyphrases(spark, d).select("doc_id", F.array_join(T.query_variants("phrases", F.lit(None).cast("string")), "|").alias("variants"))
 

@@ -82,24 +82,29 @@ def near_duplicate(spark, d):
     return _pair_similarity(spark, d).select("candidate_id", (F.col("s") >= 0.5).alias("near_duplicate"))
 
 
-@register("g11_keyphrase_weights", f"WITH {MQ._tfidf_sql('documents', MQ._STOP, 1, 0.9, False)} SELECT doc_id, max_by(term, (round(weight, 9), term)) AS term, round(max(weight), 6) AS weight FROM tz GROUP BY 1")
+@register("g11_keyphrase_weights", f"WITH {MQ._tfidf_sql('documents', MQ._STOP, 1, 0.9, False, True)} SELECT doc_id, max_by(term, (round(weight, 9), term)) AS term, round(max(weight), 6) AS weight FROM tz GROUP BY 1")
 def keyphrase_weights(spark, d):
     from quarrymill.operators import features as E
 
-    w = E.tfidf(X.source_documents(spark, d), 1, 0.9, sublinear=False, stop=E.STOP_WORDS)
+    w = E.tfidf(X.source_documents(spark, d), 1, 0.9, sublinear=False, stop=E.STOP_WORDS, accents=True)
     return w.groupBy("doc_id").agg(F.max_by("term", F.struct(F.round("weight", 9), "term")).alias("term"), F.round(F.max("weight"), 6).alias("weight"))
 
 
-_POOL = f"""{MQ._SEARCH}, pv AS (SELECT query_id, page_id, place, (place - 1) // 4 AS variant FROM found), cum AS (SELECT query_id, variant, coalesce(sum(count(*)) OVER (PARTITION BY query_id ORDER BY variant ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM pv GROUP BY query_id, variant)"""
+_POOL = f"""{X.PAGES_SQL}, {MQ._tfidf_sql("(SELECT item_id AS doc_id, text FROM benchmark)", MQ._STOP, 1, 0.9, False, True)}, {MQ._PHRASES}, {MQ._VARIANTS},
+vq AS (SELECT doc_id AS query_id, unnest(list_transform(keep, lambda i: v[i])[1:4]) AS q, generate_subscripts(list_transform(keep, lambda i: v[i])[1:4], 1) AS variant FROM f),
+vt AS (SELECT query_id, variant, unnest(list_distinct(regexp_extract_all(lower(q), '[a-z0-9]+'))) AS token FROM vq), pt AS (SELECT page_id, unnest(list_distinct(regexp_extract_all(lower(extract), '[a-z0-9]+'))) AS token FROM pg),
+vh AS (SELECT query_id, variant, page_id, count(*) AS hits FROM vt JOIN pt USING (token) GROUP BY ALL), vp AS (SELECT * FROM vh QUALIFY row_number() OVER (PARTITION BY query_id, variant ORDER BY hits DESC, page_id) <= 10),
+pv AS (SELECT query_id, page_id, min(variant) AS variant FROM vp GROUP BY ALL), cum AS (SELECT query_id, variant, coalesce(sum(count(*)) OVER (PARTITION BY query_id ORDER BY variant ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM pv GROUP BY query_id, variant)"""
 
 
-@register("g13_candidate_pool", f"WITH {_POOL} SELECT query_id, page_id, variant::INTEGER AS variant FROM pv JOIN cum USING (query_id, variant) WHERE before < 8")
+@register("g13_candidate_pool", f"WITH {_POOL} SELECT query_id, page_id, variant::INTEGER AS variant FROM pv JOIN cum USING (query_id, variant) WHERE before < 15")
 def candidate_pool(spark, d):
-    """Pages of the search variants in turn, until a query has seen 8."""
-    pages = MQ._found(spark, d).select("query_id", "page_id", F.floor((F.col("place") - 1) / 4).cast("int").alias("variant"))
-    before = Window.partitionBy("query_id").orderBy("variant").rowsBetween(Window.unboundedPreceding, -1)
-    seen = pages.groupBy("query_id", "variant").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    return pages.join(seen.where("before < 8").select("query_id", "variant"), ["query_id", "variant"]).select("query_id", "page_id", "variant")
+    """Pages that a text's query variants find, one variant after the other, until 15 pages have been seen."""
+    from quarrymill.operators import features as E
+
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    phrases = E.keyphrases(E.tfidf(items, 1, 0.9, sublinear=False, stop=E.STOP_WORDS, accents=True))
+    return E.pool(phrases.select(F.col("doc_id").alias("query_id"), T.query_variants("phrases", F.lit(None).cast("string")).alias("variants")), X.pages(spark, d))
 
 
 @register("g16_page_candidates", f"""WITH {MQ._WIN}, c AS (SELECT a.page_id, a.i AS f, b.i AS l FROM ps a JOIN ps b ON a.page_id = b.page_id AND a.i <= b.i AND b.p - a.p + a.n BETWEEN 85 AND 115)
