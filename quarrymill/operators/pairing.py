@@ -12,10 +12,17 @@ def first_by(rows: DataFrame, keys: list[str], *order: Column | str) -> DataFram
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
 
 
-def complete_pairs(rows: DataFrame, key: str = "candidate_id", order: str = "ord") -> DataFrame:
-    """key, positive and negative example_id of the keys that have both; the last row of a (key, label) counts."""
+def complete_pairs(rows: DataFrame, key: str = "candidate_id", order: str = "ord", strict: bool = False) -> DataFrame:
+    """key, positive and negative example_id of the keys that have both; the last row of a (key, label) counts.
+
+    With ``strict`` a key that lacks one of them raises; the error names a few.
+    """
     last = rows.groupBy(key, "label").agg(F.max_by("example_id", order).alias("example_id"))
-    return last.groupBy(key).agg(F.max(F.when(F.col("label") == 1, F.col("example_id"))).alias("positive"), F.max(F.when(F.col("label") == 0, F.col("example_id"))).alias("negative")).where("positive is not null and negative is not null")
+    wide = last.groupBy(key).agg(F.max(F.when(F.col("label") == 1, F.col("example_id"))).alias("positive"), F.max(F.when(F.col("label") == 0, F.col("example_id"))).alias("negative"))
+    lacking = F.col("positive").isNull() | F.col("negative").isNull()
+    if strict and (found := wide.where(lacking).orderBy(key).limit(5).collect()):
+        raise ValueError(f"incomplete pairs, among them {', '.join(str(r[key]) for r in found)}")
+    return wide.where(~lacking)
 
 
 def zipped(left: DataFrame, right: DataFrame, by: list[str], left_order: Column, right_order: Column) -> DataFrame:

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarrymill.functions import text as T
 from quarrymill.operators import metrics as M
 from quarrymill.operators import pairing as R
 from quarrymill.operators import stats
+from quarrymill.operators.ordering import positions
 from quarrymill.plans import fixtures as X
 from quarrymill.plans.registry import register
-from quarrymill.runtime import new_path, table
+from quarrymill.runtime import new_path, stage, table
 
 _S = X.scored_sql()
 _D = "ds AS (SELECT score, sum(label)::BIGINT AS p, sum(1 - label)::BIGINT AS n FROM scored GROUP BY 1)"
@@ -66,13 +66,15 @@ def slices(spark, d):
 _GRID = f"grid AS (SELECT c, doc_id, label, round({X.HASH_SQL.format('(c || doc_id)')} + label * c / 20.0::DOUBLE, 3) AS score FROM scored, (SELECT unnest([1, 2, 4, 8]) AS c))"
 
 
-@register("f8_model_selection", f"""WITH {_S}, {_GRID}, g AS (SELECT c, score, sum(label) AS p, sum(1 - label) AS n FROM grid GROUP BY ALL), r AS (SELECT *, sum(n) OVER (PARTITION BY c ORDER BY score) - n AS below FROM g)
-SELECT c, round(sum(p * (below + n / 2.0::DOUBLE)) / (sum(p)::DOUBLE * sum(n)::DOUBLE), 9) AS roc_auc FROM r GROUP BY c ORDER BY round(roc_auc, 9) DESC, c LIMIT 1""")
+@register("f8_model_selection", f"""WITH {_S}, {_GRID}, g AS (SELECT c, score, sum(label) AS p, sum(1 - label) AS n FROM grid GROUP BY ALL), r AS (SELECT *, sum(n) OVER (PARTITION BY c ORDER BY score) - n AS below, sum(p) OVER (PARTITION BY c ORDER BY score DESC) AS tp, sum(n) OVER (PARTITION BY c ORDER BY score DESC) AS fp, sum(p) OVER (PARTITION BY c) AS ap FROM g),
+a AS (SELECT c, round(sum(p * (below + n / 2.0::DOUBLE)) / (sum(p)::DOUBLE * sum(n)::DOUBLE), 9) AS roc_auc, round(max(2.0::DOUBLE * tp / (tp + fp + ap)), 9) AS f1 FROM r GROUP BY c) SELECT c, roc_auc, f1 FROM a ORDER BY roc_auc DESC, f1 DESC, c LIMIT 1""")
 def model_selection(spark, d):
+    """The best of four by (roc_auc, f1 at the best threshold, smallest c)."""
     rows = X.scored(spark, d).withColumn("c", F.explode(F.array(*[F.lit(k) for k in (1, 2, 4, 8)])))
     rows = rows.withColumn("score", F.round(T.hash_unit(F.concat("c", "doc_id")) + F.col("label") * F.col("c") / F.lit(20.0), 3))
-    found = M.ranking_metrics(rows, ("c",)).select("c", F.round("roc_auc", 9).alias("roc_auc"))
-    return found.orderBy(F.desc("roc_auc"), "c").limit(1)
+    auc = M.ranking_metrics(rows, ("c",)).select("c", F.round("roc_auc", 9).alias("roc_auc"))
+    f1 = M.select_threshold(rows, ("c",)).select("c", F.round("f1", 9).alias("f1"))
+    return auc.join(f1, "c").orderBy(F.desc("roc_auc"), F.desc("f1"), "c").limit(1)
 
 
 @register("d13_error_rows", f"WITH {_S} SELECT doc_id, label, score FROM scored WHERE label <> (score >= 0.5)::INTEGER")
@@ -139,10 +141,29 @@ def common_candidates(spark, d):
     return model_margins(spark, d).where("margin > -0.3").groupBy("candidate_id").agg(F.count_distinct("k").alias("n")).where("n = 3").select("candidate_id")
 
 
-@register("h12_consensus", f"{_MODELS}, g AS (SELECT candidate_id, bool_and(margin > 0) AS up, bool_and(margin < 0) AS down, round(avg(margin), 9) AS mean FROM mm GROUP BY 1) SELECT candidate_id, CASE WHEN up THEN 'all_positive' ELSE 'all_negative' END AS kind, mean FROM g WHERE up OR down")
+_RECORDS = "g AS (SELECT candidate_id, bool_and(margin > 0) AS up, bool_and(margin < 0) AS down, round(avg(margin), 9) AS mean, round(sum(abs(margin)), 9) AS spread FROM mm GROUP BY 1)"
+
+
+def _records(spark, d):
+    return model_margins(spark, d).groupBy("candidate_id").agg(F.every(F.col("margin") > 0).alias("up"), F.every(F.col("margin") < 0).alias("down"), F.round(F.avg("margin"), 9).alias("mean"), F.round(F.sum(F.abs("margin")), 9).alias("spread"))
+
+
+@register("h12_consensus", f"{_MODELS}, {_RECORDS} SELECT candidate_id, CASE WHEN up THEN 'all_positive' ELSE 'all_negative' END AS kind, mean FROM g WHERE up OR down")
 def consensus(spark, d):
-    g = model_margins(spark, d).groupBy("candidate_id").agg(F.every(F.col("margin") > 0).alias("up"), F.every(F.col("margin") < 0).alias("down"), F.round(F.avg("margin"), 9).alias("mean"))
-    return g.where("up or down").select("candidate_id", F.when(F.col("up"), "all_positive").otherwise("all_negative").alias("kind"), "mean")
+    return _records(spark, d).where("up or down").select("candidate_id", F.when(F.col("up"), "all_positive").otherwise("all_negative").alias("kind"), "mean")
+
+
+@register("h12_consensus_picks", f"""{_MODELS}, {_RECORDS}, k AS (SELECT candidate_id, CASE WHEN up THEN 'all_positive' ELSE 'all_negative' END AS kind, mean FROM g WHERE up OR down), o AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY mean, candidate_id) - 1 AS place, count(*) OVER (PARTITION BY kind) AS n FROM k)
+SELECT kind, candidate_id FROM o WHERE n < 2 OR place IN (n // 2 - 1, n // 2) UNION ALL SELECT 'near_tie', candidate_id FROM (SELECT candidate_id FROM g ORDER BY spread, candidate_id LIMIT 1)""")
+def consensus_picks(spark, d):
+    """The two around the median mean margin of the candidates on which all models agree, and the one nearest to a tie."""
+    records = stage(_records(spark, d), "records")
+    agreed = records.where("up or down").select("candidate_id", F.when(F.col("up"), "all_positive").otherwise("all_negative").alias("kind"), "mean")
+    sizes = agreed.groupBy("kind").agg(F.count("*").alias("n"))
+    placed = positions(agreed, ["kind"], [F.col("mean"), F.col("candidate_id")], "place").join(F.broadcast(sizes), "kind")  # two kinds
+    half = F.floor(F.col("n") / 2)
+    picks = placed.where((F.col("n") < 2) | F.col("place").isin(half - 1, half)).select("kind", "candidate_id")
+    return picks.unionByName(records.orderBy("spread", "candidate_id").limit(1).select(F.lit("near_tie").alias("kind"), "candidate_id"))
 
 
 @register("h9_unique_scoring", f"WITH t AS (SELECT DISTINCT md5(text) AS h FROM documents) SELECT d.doc_id, round({X.HASH_SQL.format('md5(d.text)')}, 9) AS score FROM documents d JOIN t ON t.h = md5(d.text)")
@@ -152,12 +173,35 @@ def unique_scoring(spark, d):
     return docs.join(scores, "h").select("doc_id", "score")
 
 
-@register("h13_result_matrix", f"WITH {_S}, n AS (SELECT ('mix_' || CASE WHEN doc_id % 2 = 0 THEN 'tfidf' ELSE 'vec' END || '_on_' || coalesce(negative_type, 'own')) AS name, label, score FROM scored) SELECT regexp_extract(name, '^(.*)_(tfidf|vec)_on_(.*)$', 1) AS train, regexp_extract(name, '^(.*)_(tfidf|vec)_on_(.*)$', 2) AS model, regexp_extract(name, '^(.*)_(tfidf|vec)_on_(.*)$', 3) AS test, printf('%.4f', avg((label = (score >= 0.5)::INTEGER)::INTEGER)) AS accuracy FROM n GROUP BY ALL")
+#: Names shown for the keys of result names, and the tests that the combined model is reported on.
+_TRAINED = {"easy": "Easy", "combined": "Combined"}
+_KINDS = {"tfidf": "TF-IDF", "vec": "Vectors"}
+_TESTED = {"easy": "Easy", "hybrid": "Hybrid", "topic": "Topic", "preference": "Preference"}
+_COMBINED_TESTS = ("easy", "topic", "preference")
+_PATTERN = "^(.*)_([^_]*)_on_(.*)$"
+_NAME = "CASE WHEN doc_id % 3 = 0 THEN 'combined' ELSE 'easy' END || '_' || CASE WHEN doc_id % 2 = 0 THEN 'tfidf' ELSE 'vec' END || '_on_' || (['easy', 'hybrid', 'topic', 'preference', 'other'])[1 + doc_id % 5]"
+
+
+def _named(names: dict[str, str], column: str) -> str:
+    return f"coalesce(CASE {column} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in names.items()) + f" END, {column})"
+
+
+@register("h13_result_matrix", f"""WITH {_S}, n AS (SELECT {_NAME} AS name, label, score FROM scored), k AS (SELECT regexp_extract(name, '{_PATTERN}', 1) AS tr, regexp_extract(name, '{_PATTERN}', 2) AS mo, regexp_extract(name, '{_PATTERN}', 3) AS te, label, score FROM n),
+q AS (SELECT * FROM k WHERE tr <> 'combined' OR te IN {_COMBINED_TESTS}), c AS (SELECT tr, mo, te, count(*) AS n, count(*) FILTER (label = (score >= 0.5)::INTEGER) AS hits, count(*) FILTER (score >= 0.5 AND label = 0) AS fp, count(*) FILTER (score < 0.5 AND label = 1) AS fn, count(*) FILTER (score >= 0.5 AND label = 1) AS tp FROM q GROUP BY ALL),
+r AS (SELECT tr, mo, te, score, sum(label) AS p, sum(1 - label) AS m FROM q GROUP BY ALL), b AS (SELECT *, sum(m) OVER (PARTITION BY tr, mo, te ORDER BY score) - m AS below FROM r), a AS (SELECT tr, mo, te, CASE WHEN sum(p) > 0 AND sum(m) > 0 THEN sum(p * (below + m / 2.0::DOUBLE)) / (sum(p)::DOUBLE * sum(m)::DOUBLE) END AS auc FROM b GROUP BY ALL)
+SELECT {_named(_TRAINED, 'tr')} AS training_dataset, {_named(_KINDS, 'mo')} AS model, {_named(_TESTED, 'te')} AS test_dataset, n, printf('%.4f', hits / n::DOUBLE) AS accuracy, printf('%.4f', CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE 2 * tp / (2 * tp + fp + fn)::DOUBLE END) AS f1, printf('%.4f', auc) AS roc_auc FROM c JOIN a USING (tr, mo, te)""")
 def result_matrix(spark, d):
-    name = F.concat(F.lit("mix_"), F.when(F.col("doc_id") % 2 == 0, "tfidf").otherwise("vec"), F.lit("_on_"), F.coalesce("negative_type", F.lit("own")))
-    part = lambda i: F.regexp_extract("name", "^(.*)_(tfidf|vec)_on_(.*)$", i)
-    rows = X.scored(spark, d).select(name.alias("name"), "label", "score").select(part(1).alias("train"), part(2).alias("model"), part(3).alias("test"), (F.col("label") == (F.col("score") >= 0.5).cast("int")).cast("int").alias("hit"))
-    return rows.groupBy("train", "model", "test").agg(F.format_string("%.4f", F.avg("hit")).alias("accuracy"))
+    """Metrics by (training set, model, test set), which the name of a result gives; a combined model counts on three tests."""
+    tests = F.array(*[F.lit(t) for t in (*_TESTED, "other")])
+    name = F.concat(F.when(F.col("doc_id") % 3 == 0, "combined").otherwise("easy"), F.lit("_"), F.when(F.col("doc_id") % 2 == 0, "tfidf").otherwise("vec"), F.lit("_on_"), F.get(tests, (F.col("doc_id") % 5).cast("int")))
+    part = lambda i: F.regexp_extract("name", _PATTERN, i)
+    rows = X.scored(spark, d).select(name.alias("name"), "label", "score").select(part(1).alias("training_dataset"), part(2).alias("model"), part(3).alias("test_dataset"), "label", "score")
+    keys = ("training_dataset", "model", "test_dataset")
+    rows = rows.where((F.col("training_dataset") != "combined") | F.col("test_dataset").isin(*_COMBINED_TESTS))
+    shown = lambda names, c: F.coalesce(F.get(F.map_values(F.map_filter(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), lambda k, _: k == F.col(c))), 0), F.col(c)).alias(c)
+    number = lambda c: F.when(F.col(c).isNotNull(), F.format_string("%.4f", F.col(c))).alias(c)
+    found = M.evaluated(rows, 0.5, keys)
+    return found.select(shown(_TRAINED, keys[0]), shown(_KINDS, keys[1]), shown(_TESTED, keys[2]), "n", number("accuracy"), number("f1"), number("roc_auc"))
 
 
 @register("e7_quantiles", f"WITH {_S} SELECT " + ", ".join(f"round(quantile_cont(score, {q})::DOUBLE, 9) AS {k}" for k, q in (("min", 0), ("p10", 0.1), ("p25", 0.25), ("median", 0.5), ("p75", 0.75), ("p90", 0.9), ("max", 1))) + ", round(avg(score), 9) AS mean FROM scored")
@@ -173,24 +217,21 @@ def weak_rows(spark, d):
     return rows.crossJoin(F.broadcast(cut)).where("score <= cut").select("doc_id", "score")
 
 
-@register("e16_source_metrics", f"WITH {_S}, j AS (SELECT d.lang, s.* FROM scored s JOIN documents d USING (doc_id)) SELECT lang, count(*) AS n, round(avg((label = (score >= 0.5)::INTEGER)::INTEGER), 9) AS accuracy FROM j GROUP BY 1")
+@register("e16_source_metrics", f"""WITH {_S}, j AS (SELECT d.lang, s.* FROM scored s JOIN documents d USING (doc_id)), c AS (SELECT lang, count(*) AS n, count(*) FILTER (score < 0.5 AND label = 0) AS tn, count(*) FILTER (score >= 0.5 AND label = 0) AS fp, count(*) FILTER (score < 0.5 AND label = 1) AS fn, count(*) FILTER (score >= 0.5 AND label = 1) AS tp, avg((score - label) * (score - label)) AS br FROM j GROUP BY 1),
+dd AS (SELECT lang, score, sum(label) AS p, sum(1 - label) AS n FROM j GROUP BY ALL), r AS (SELECT *, sum(n) OVER (PARTITION BY lang ORDER BY score) - n AS below, sum(p) OVER (PARTITION BY lang ORDER BY score DESC) AS tp, sum(n) OVER (PARTITION BY lang ORDER BY score DESC) AS fp FROM dd),
+a AS (SELECT lang, CASE WHEN sum(p) > 0 AND sum(n) > 0 THEN sum(p * (below + n / 2.0::DOUBLE)) / (sum(p)::DOUBLE * sum(n)::DOUBLE) END AS auc, CASE WHEN sum(p) > 0 THEN sum(p * tp::DOUBLE / (tp + fp)::DOUBLE) / sum(p)::DOUBLE END AS ap FROM r GROUP BY 1)
+SELECT lang, n, tn, fp, fn, tp, round((tp + tn) / n::DOUBLE, 9) AS accuracy, round(CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp)::DOUBLE END, 9) AS "precision", round(CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn)::DOUBLE END, 9) AS recall, round(CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE 2 * tp / (2 * tp + fp + fn)::DOUBLE END, 9) AS f1, round(auc, 9) AS roc_auc, round(ap, 9) AS average_precision, round(br, 9) AS brier_score FROM c JOIN a USING (lang)""")
 def source_metrics(spark, d):
     rows = X.scored(spark, d).join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
-    return M.point_metrics(M.confusion(rows, 0.5, ("lang",))).select("lang", "n", F.round("accuracy", 9).alias("accuracy"))
+    m = M.evaluated(rows, 0.5, ("lang",))
+    return m.select("lang", "n", "tn", "fp", "fn", "tp", *[F.round(c, 9).alias(c) for c in ("accuracy", "precision", "recall", "f1", "roc_auc", "average_precision", "brier_score")])
 
 
 @register("i1_bootstrap", f"""{_SCORES}, v AS (SELECT margin, row_number() OVER (ORDER BY candidate_id) - 1 AS rn FROM m), n AS (SELECT count(*) AS n FROM v),
-dr AS (SELECT b, ('0x' || substr(md5(b || '-' || rn), 1, 8))::UBIGINT::BIGINT % n AS at FROM v, n, range(100) t(b)), me AS (SELECT b, avg(v.margin) AS mean FROM dr JOIN v ON v.rn = dr.at GROUP BY b)
+dr AS (SELECT b, ('0x' || substr(md5(b || '-' || rn), 1, 8))::UBIGINT::BIGINT % n AS at FROM v, n, range(10000) t(b)), me AS (SELECT b, avg(v.margin) AS mean FROM dr JOIN v ON v.rn = dr.at GROUP BY b)
 SELECT round(quantile_cont(mean, 0.025), 8) AS low, round(quantile_cont(mean, 0.975), 8) AS high FROM me""")
 def bootstrap(spark, d):
-    rows = pair_scores(spark, d).select("margin", (F.row_number().over(Window.orderBy("candidate_id")) - 1).cast("long").alias("rn"))
-    return stats.bootstrap_interval(rows, 100).select(F.round("low", 8).alias("low"), F.round("high", 8).alias("high"))
-
-
-@register("i1_whole_bootstrap")
-def whole_bootstrap(spark, d):
-    """As ``i1_bootstrap``, with 10,000 resamples in place of the 100 of its SQL twin."""
-    rows = pair_scores(spark, d).select("margin", (F.row_number().over(Window.orderBy("candidate_id")) - 1).cast("long").alias("rn"))
+    rows = positions(pair_scores(spark, d).select("candidate_id", "margin"), [], [F.col("candidate_id")], "rn").select("margin", "rn")
     return stats.bootstrap_interval(rows).select(F.round("low", 8).alias("low"), F.round("high", 8).alias("high"))
 
 
@@ -199,10 +240,15 @@ def sign_test(spark, d):
     return stats.sign_test(pair_scores(spark, d)).select("wins", "losses", F.round("p", 9).alias("p"))
 
 
+_Z = "(w - n * (n + 1) / 4) / sqrt((n * (n + 1) * (2 * n + 1) - ties / 2) / 24)"
+# the normal tail by Simpson's rule over [0, z]; exact for few untied differences is tested in Python
+_TAIL = "0.5::DOUBLE - (SELECT sum((CASE WHEN k IN (0, 2000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * exp(-(z * k / 2000.0::DOUBLE) * (z * k / 2000.0::DOUBLE) / 2)) * z / 6000.0::DOUBLE / sqrt(2 * pi()) FROM range(2001) t(k))"
+
+
 @register("i3_signed_rank", f"""{_SCORES}, a AS (SELECT abs(margin) AS x, count(*) AS t, count(*) FILTER (margin > 0) AS up FROM m WHERE margin <> 0 GROUP BY 1), r AS (SELECT *, sum(t) OVER (ORDER BY x) - (t - 1) / 2.0::DOUBLE AS rk FROM a),
-s AS (SELECT sum(t)::DOUBLE AS n, sum(rk * up) AS w, sum(t * t * t - t)::DOUBLE AS ties FROM r) SELECT n::BIGINT AS n, round(w, 6) AS w_plus, round((w - n * (n + 1) / 4) / sqrt((n * (n + 1) * (2 * n + 1) - ties / 2) / 24), 8) AS z FROM s""")
+s AS (SELECT sum(t)::DOUBLE AS n, sum(rk * up) AS w, sum(t * t * t - t)::DOUBLE AS ties FROM r), y AS (SELECT n, w, {_Z} AS z FROM s) SELECT n::BIGINT AS n, round(w, 6) AS w_plus, round(z, 8) AS z, round({_TAIL}, 8) AS p FROM y""")
 def signed_rank(spark, d):
-    return stats.signed_rank(pair_scores(spark, d)).select("n", F.round("w_plus", 6).alias("w_plus"), F.round("z", 8).alias("z"))
+    return stats.signed_rank(pair_scores(spark, d), exact=0).select("n", F.round("w_plus", 6).alias("w_plus"), F.round("z", 8).alias("z"), F.round("p", 8).alias("p"))
 
 
 @register("i4_margin_correlation", f"{_SCORES} SELECT round(corr(margin, len(target_answer) - len(dispreferred_answer)), 9) AS correlation FROM m")
@@ -243,3 +289,31 @@ def csv_matrix(spark, d):
     path = new_path(spark, "csv")
     jsonl.write_csv(rows, path)
     return spark.read.option("header", True).schema("test string, mean_score string").csv(path)
+
+
+@register("a6_shards", "SELECT doc_id, lang FROM documents WHERE lang IN ('en', 'fr')")
+def shards(spark, d):
+    """Shards of one dataset in folders of their own, read as one by a pattern."""
+    from quarrymill.sources import jsonl
+
+    rows = table(spark, d, "documents").select("doc_id", "lang")
+    path = new_path(spark, "shards")
+    for lang in ("en", "fr"):
+        jsonl.write_jsonl(rows.where(F.col("lang") == lang), f"{path}/shard-{lang}")
+    return jsonl.read_jsonl(spark, [f"{path}/shard-*"], rows.schema)
+
+
+@register("a17_report", f"WITH {_S} SELECT '| kind | rows |\n| --- | --- |\n' || string_agg('| ' || kind || ' | ' || n || ' |\n', '' ORDER BY kind) AS report FROM (SELECT coalesce(negative_type, 'own') AS kind, count(*) AS n FROM scored GROUP BY 1)".replace("\\n", "\n"))
+def report(spark, d):
+    """Counts by kind as a Markdown table in one row."""
+    from quarrymill.sources import jsonl
+
+    rows = X.scored(spark, d).groupBy(F.coalesce("negative_type", F.lit("own")).alias("kind")).agg(F.count("*").alias("rows")).orderBy("kind")
+    return spark.createDataFrame([(jsonl.markdown(rows),)], "report string")
+
+
+@register("c5_hash_order", "SELECT doc_id, row_number() OVER (ORDER BY sha256('42' || chr(0) || 'shuffle' || chr(0) || doc_id)) - 1 AS place FROM documents")
+def hash_order(spark, d):
+    """Places of a whole table in hash order: the shuffle that needs no generator, without one task that holds all."""
+    rows = table(spark, d, "documents").select("doc_id").withColumn("key", T.rank_key("shuffle", "doc_id"))
+    return positions(rows, [], [F.col("key"), F.col("doc_id")], "place").select("doc_id", "place")

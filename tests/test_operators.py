@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quarrymill.operators import matching
@@ -10,6 +11,7 @@ from quarrymill.operators import pairing as R
 from quarrymill.operators import splits as S
 from quarrymill.operators import stats
 from quarrymill.operators.graph import connected_components
+from quarrymill.operators.ordering import positions
 from quarrymill.plans import registry
 from quarrymill.sources import jsonl
 
@@ -126,3 +128,35 @@ def test_decision_log_is_idempotent(spark, tmp_path):
     lines = spark.createDataFrame([('{"a": 1}',), ("{bad",), ("",), (None,)], "value string")
     assert tuple(jsonl.count_malformed(lines).first()) == (2, 1)
     assert jsonl.markdown(rows.orderBy("n")).splitlines()[2] == "| a | 1 |"
+
+
+def test_incomplete_pairs_raise(spark):
+    rows = spark.createDataFrame([("c", 1, "x", 1), ("c", 0, "z", 1), ("d", 1, "w", 1)], "candidate_id string, label int, example_id string, ord int")
+    with pytest.raises(ValueError, match="among them d"):
+        R.complete_pairs(rows, strict=True)
+    assert R.complete_pairs(rows.where("candidate_id = 'c'"), strict=True).count() == 1
+
+
+def test_signed_rank_exact_and_normal(spark):
+    margins = [0.3, -0.1, 0.7, 0.2, 0.9, -0.4, 0.5]
+    ranks = {m: r for r, m in enumerate(sorted(margins, key=abs), 1)}
+    w = sum(ranks[m] for m in margins if m > 0)
+    sums = [sum(k + 1 for k in range(7) if b >> k & 1) for b in range(128)]
+    r = stats.signed_rank(spark.createDataFrame([(m,) for m in margins], "margin double")).first()
+    assert r["w_plus"] == w and r["p"] == sum(s >= w for s in sums) / 128
+    tied = stats.signed_rank(spark.createDataFrame([(m,) for m in [*margins, 0.7, 0.0]], "margin double")).first()
+    assert tied["n"] == 8 and 0 < tied["p"] < 0.2
+
+
+def test_positions_and_sums_within_groups(spark):
+    random.seed(4)
+    rows = [(random.choice(["a", "a", "a", "b", None]), random.randint(0, 10_000), random.randint(1, 9)) for _ in range(900)]
+    df = spark.createDataFrame(rows, "g string, k int, v int").withColumn("u", F.monotonically_increasing_id()).repartition(5)
+    for group in ([], ["g"]):
+        got = positions(df, group, [F.desc("k"), F.col("u")], sums={"before": "v"}).collect()
+        assert len(got) == 900
+        held: dict = {}
+        for r in sorted(got, key=lambda r: (-r["k"], r["u"])):
+            n, s = held.get(r["g"] if group else 0, (0, 0))
+            assert (r["position"], r["before"]) == (n, s)
+            held[r["g"] if group else 0] = n + 1, s + r["v"]

@@ -9,7 +9,7 @@ from quarrymill.plans import registry
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-CHOSEN = ["b7_rebalanced", "b10_passages", "b12_page_strata", "e1_split_summary", "f6_threshold", "f7_slices", "d7_nearest_lengths", "j4_component_splits", "j5_components", "j10_hybrid", "j14_combined", "g10_keyphrases", "g17_greedy_matches", "h1_tfidf", "i3_signed_rank"]
+CHOSEN = ["b7_rebalanced", "b10_passages", "b12_page_strata", "e1_split_summary", "f6_threshold", "f7_slices", "d7_nearest_lengths", "j4_component_splits", "j5_components", "j10_hybrid", "j14_combined", "g10_keyphrases", "g17_greedy_matches", "h1_tfidf", "i3_signed_rank", "j13_combined", "j14_combined_pure", "j16_leakage", "j17_experiment_checks", "a14_stored_model", "h8_fixed_cross_evaluation", "h13_result_matrix", "g13_candidate_pool", "d14_near_duplicates"]
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
