@@ -48,7 +48,7 @@ class Dealer:
     def packed(self, columns: list[np.ndarray]) -> pa.RecordBatch:
         """A row for each part: ``part`` and the entries of each column as bytes."""
         part = (columns[0] % np.uint64(self.parts)).astype(np.int32)
-        by = np.argsort(part, kind="stable")
+        by = np.argsort(part)
         part = part[by]
         first, end = cuts(part)
         packed = []

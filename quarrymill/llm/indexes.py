@@ -20,7 +20,7 @@ def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
     for j in range(1, have):
         key <<= np.uint64(bits)
         key |= padded[j : j + n]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)  # which of equal suffixes comes first does not matter
     key = key[order]
     fresh = np.ones(n, bool)
     fresh[1:] = key[1:] != key[:-1]
@@ -38,7 +38,7 @@ def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
         at = order[slots]
         second = rank[np.minimum(at + have, n)] + 1
         both = heads[slots] * (n + 1) + second
-        by = np.argsort(both, kind="stable")
+        by = np.argsort(both)
         order[slots] = at[by]
         both = both[by]
         new = np.ones(len(slots), bool)
@@ -96,14 +96,15 @@ class Wavelet:
 
     def extensions(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Symbol and interval of every non-empty backward extension of the intervals [lo, hi)."""
-        symbol = np.zeros(len(lo), np.int64)
+        symbol = np.zeros(len(lo), np.int32)
         for words, counts, zeros in self.levels:
-            a, b = self._ones(words, counts, lo), self._ones(words, counts, hi)
+            both = self._ones(words, counts, np.concatenate([lo, hi]))
+            a, b = both[: len(lo)], both[len(lo) :]
             left, right = (hi - lo) > (b - a), b > a
             symbol <<= 1
             symbol = np.concatenate([symbol[left], symbol[right] | 1])
-            lo, hi = np.concatenate([(lo - a)[left], zeros + a[right]]), np.concatenate([(hi - b)[left], zeros + b[right]])
-        shift = self.smaller[symbol] - self.bottom[symbol]
+            lo, hi = np.concatenate([(lo - a)[left], a[right] + np.int32(zeros)]), np.concatenate([(hi - b)[left], b[right] + np.int32(zeros)])
+        shift = (self.smaller[symbol] - self.bottom[symbol]).astype(lo.dtype)
         return symbol, lo + shift, hi + shift
 
 
@@ -127,6 +128,48 @@ def transform(symbols: np.ndarray, depth: int, top: int) -> tuple[np.ndarray, np
     return order, marked, Wavelet(marked[order - 1], top + 1)
 
 
+def fewest(values: np.ndarray) -> np.ndarray:
+    """The same numbers in the smallest unsigned type that holds them."""
+    most = int(values.max()) if len(values) else 0
+    return values.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32)
+
+
+class FmIndex:
+    """Compressed index over parts that a 0 ends each: the wavelet matrix of their Burrows-Wheeler transform, and the
+    number of the part that each row begins in, in the fewest bytes. The suffix order is not kept."""
+
+    def __init__(self, symbols: np.ndarray, part: np.ndarray, depth: int, top: int):
+        order, _, self.wavelet = transform(symbols, depth, top)
+        self.part = fewest(part[order[1:]])  # the first row is the end mark's
+
+    def statistics(self, stream: np.ndarray, ends: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Matching statistics of a stream at some of its places, up to ``most``.
+
+        For each place: how many symbols that end there occur at two places of the index or more, found by backward
+        search; a search whose interval shrinks to one row stops. And the intervals of those that reach ``most``,
+        as rows of ``part``.
+        """
+        reach = np.zeros(len(ends), np.uint8)
+        alive = np.arange(len(ends))
+        lo, hi = np.zeros(len(ends), np.int64), np.full(len(ends), len(self.part) + 1, np.int64)
+        for back in range(most):
+            lo, hi = self.wavelet.extend(stream[ends[alive] - back].astype(np.int64) + 1, lo, hi)
+            more = hi - lo > 1
+            alive, lo, hi = alive[more], lo[more], hi[more]
+            reach[alive] += 1
+        return reach, lo - 1, hi - 1
+
+    def least(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """The smallest part among the rows of each interval."""
+        if not len(lo):
+            return lo
+        first, back = np.unique(lo, return_inverse=True)
+        end = np.zeros(len(first), np.int64)
+        end[back] = hi
+        padded = np.append(self.part, self.part[-1:])
+        return np.minimum.reduceat(padded, np.stack([first, end], 1).ravel())[::2][back].astype(np.int64)
+
+
 def common_prefix_groups(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffix order, and a flag where a suffix shares fewer than ``depth`` symbols with the one before.
 
@@ -141,7 +184,7 @@ def common_prefix_groups(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, n
     order, _, wavelet = transform(symbols, depth, top)
     known = np.zeros(n + 2, bool)
     known[0] = known[n + 1] = True
-    lo, hi, length = np.zeros(1, np.int64), np.full(1, n + 1, np.int64), 0
+    lo, hi, length = np.zeros(1, np.int32), np.full(1, n + 1, np.int32), 0
     while length < depth and len(lo):
         _, lo, hi = wavelet.extensions(lo, hi)
         fresh = ~known[hi]

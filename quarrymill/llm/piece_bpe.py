@@ -7,7 +7,8 @@ is taken, shorter prefixes are tried next, and a place from which nothing fits i
 that no place fails twice. Compatibility is found by re-merging the pair and remembered.
 
 No piece of such a vocabulary holds a space mark after another character, so words are encoded one by one and
-remembered. This is checked when the model is loaded; otherwise whole texts are encoded at once.
+remembered, and so are the marks behind them where no piece holds a letter and that mark side by side. This is checked
+when the model is loaded; otherwise whole texts are encoded at once.
 Characters outside the vocabulary are single symbols that fall back to bytes.
 
 Null counts as empty; empty texts have no ids. Very long words are encoded but not remembered. Rows are
@@ -27,7 +28,9 @@ from quarrymill.runtime import prepare, table
 
 SPACE = "▁"
 #: Words that a Python worker remembers, the longest of them, and pairs of pieces.
-CACHED, LONGEST, PAIRS = 300_000, 64, 1_000_000
+CACHED, LONGEST, PAIRS = 500_000, 64, 1_000_000
+#: Marks that often follow a word.
+MARKS = ".,;:!?)(\"'|*%"
 _loaded: dict[str, "PieceModel"] = {}
 
 
@@ -63,7 +66,11 @@ class PieceModel:
         self.automaton.make_automaton()
         self.by_words = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         lines = "" if any("\n" in p for p in self.ids) else "\n"
-        self.words = re.compile(f"{SPACE}+[^{SPACE}{lines}]*|[^{SPACE}{lines}]+" + ("|\n" if lines else ""))
+        # no merge crosses a place whose two characters no piece holds side by side: marks behind a letter begin anew
+        beside = {p[k + 1] for p in self.ids for k in range(len(p) - 1) if p[k].isascii() and p[k].isalpha()}
+        marks = re.escape("".join(c for c in MARKS if c not in beside))
+        early = f"{SPACE}*+[A-Za-z]++(?=[{marks}])|" if marks else ""
+        self.words = re.compile(f"{early}{SPACE}+[^{SPACE}{lines}]*|[^{SPACE}{lines}]+" + ("|\n" if lines else ""))
         self.compatible: dict[tuple[str, str], bool] = {}
         self.alone: dict[str, bool] = {}
         self.cache: dict[str, tuple[int, str, str]] = {}

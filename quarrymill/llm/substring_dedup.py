@@ -1,11 +1,11 @@
 """Substring dedup: word windows that an earlier document has too are removed.
 
-A window is ``WIDTH`` consecutive words of one document. Candidates (see windows) are dealt by anchor; each
-partition indexes the distinct contents in FM-indexes: the Burrows-Wheeler transform over word numbers, kept
-in a wavelet matrix of packed bits. All contents are streamed against it by backward search: an interval is
-extended to the left word by word, which gives the matching statistics up to the threshold; a search whose
-interval shrinks to one row matches nothing but itself and stops. Intervals that reach the threshold report
-the smallest document among their rows.
+A window is ``WIDTH`` consecutive words of one document. The stretches of documents that may repeat (see windows) are
+dealt by anchor, so all copies of a window are in one shard. Each shard keeps a compressed FM-index over word numbers:
+the Burrows-Wheeler transform in a wavelet matrix of packed bits, and the document of every row in the fewest bytes.
+The documents' stretches stream past it, and backward search gives the matching statistics of each place, up to the
+threshold: how many words that end there occur twice. Intervals at the threshold report the smallest document
+among their rows.
 
 Null and empty texts have no words; they come back with nothing removed. A null doc_id counts as smaller
 than all others (see rows). Texts shorter than a window are
@@ -31,35 +31,37 @@ WIDTH = 13
 UNIT = windows.Unit(words=True, width=WIDTH, gram=7)
 #: Bytes of contents that are indexed together.
 INDEX = 4_000_000
+#: Windows that are searched together.
+STREAM = 1 << 17
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
 
 def earliest(contents: list[bytes], ids: np.ndarray, weights: np.ndarray) -> list[bytes | None]:
     """For each content the runs (first window, last window, smallest id that has them), packed as int64."""
+    by = np.argsort(ids, kind="stable")  # the smallest number of a content is then the smallest id
+    found = _earliest([contents[k] for k in by], ids[by], weights[by])
+    out: list[bytes | None] = [None] * len(contents)
+    for k, x in zip(by, found):
+        out[k] = x
+    return out
+
+
+def _earliest(contents: list[bytes], ids: np.ndarray, weights: np.ndarray) -> list[bytes | None]:
     lists = [c.split() for c in contents]
     lengths = np.array([len(x) for x in lists])
     flat = pa.array([w for x in lists for w in x], pa.binary()).dictionary_encode()
-    numbers = flat.indices.to_numpy().astype(np.int64) + 1
+    numbers = flat.indices.to_numpy().astype(np.int32) + 1
     starts = np.concatenate([[0], np.cumsum(lengths + 1)])
     of = np.repeat(np.arange(len(contents)), lengths + 1)
-    symbols = np.zeros(starts[-1], np.int64)
+    symbols = np.zeros(starts[-1], np.int32)
     symbols[np.arange(len(numbers)) + np.repeat(np.arange(len(contents)), lengths)] = numbers
-    order, marked, fm = indexes.transform(symbols, WIDTH, len(flat.dictionary))
-    place = np.arange(len(symbols))
-    at = np.flatnonzero(starts[of + 1] - 1 - place >= WIDTH)
+    index = indexes.FmIndex(symbols, of, WIDTH, len(flat.dictionary))
+    at = np.flatnonzero(starts[of + 1] - 1 - np.arange(len(symbols)) >= WIDTH)
     smallest = ids[of[at]]
-    alive = np.arange(len(at))
-    lo, hi = np.zeros(len(at), np.int64), np.full(len(at), len(marked), np.int64)
-    for j in range(WIDTH - 1, -1, -1):
-        lo, hi = fm.extend(marked[at[alive] + j].astype(np.int64), lo, hi)
-        more = hi - lo > 1
-        alive, lo, hi = alive[more], lo[more], hi[more]
-    if len(alive):
-        first, back = np.unique(lo, return_inverse=True)
-        end = np.zeros(len(first), np.int64)
-        end[back] = hi
-        holders = np.concatenate([[0], ids[of[order[1:]]], [0]])  # no window reaches the end mark's row
-        smallest[alive] = np.minimum.reduceat(holders, np.stack([first, end], 1).ravel())[::2][back]
+    for i in range(0, len(at), STREAM):  # the contents stream past their shard's index
+        some = at[i : i + STREAM]
+        reach, lo, hi = index.statistics(symbols, some + WIDTH - 1, WIDTH)
+        smallest[i + np.flatnonzero(reach >= WIDTH)] = ids[index.least(lo, hi)]
     seg = of[at]
     new = np.ones(len(at), bool)
     new[1:] = (seg[1:] != seg[:-1]) | (smallest[1:] != smallest[:-1])

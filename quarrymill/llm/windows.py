@@ -99,7 +99,7 @@ def repeated_segments(docs: DataFrame, unit: Unit) -> DataFrame:
 
     def send(dealer: Dealer) -> Iterator[pa.RecordBatch]:
         anchor, key, number, loop = dealer.gathered()
-        by = np.argsort(anchor, kind="stable")
+        by = np.argsort(anchor)
         anchor, key, number, loop = anchor[by], key[by], number[by], loop[by]
         same = np.zeros(len(anchor) + 1, bool)
         same[1:-1] = anchor[1:] == anchor[:-1]
@@ -107,7 +107,7 @@ def repeated_segments(docs: DataFrame, unit: Unit) -> DataFrame:
         sent = ~same[:-1]  # one entry of each anchor
         yield with_key(dealer.packed([anchor[sent], key[sent], number[sent]]))
         key, number = key[here], number[here]
-        by = np.argsort(key, kind="stable")
+        by = np.argsort(key)
         yield from settled(key[by], number[by])
 
     def with_key(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -152,12 +152,12 @@ def repeated_segments(docs: DataFrame, unit: Unit) -> DataFrame:
 
         done: list[pa.RecordBatch] = []
         for anchor, key, number in by_part(entries(done), {"anchors": np.uint64, "keys": np.int64, "numbers": np.uint32}):
-            by = np.argsort(anchor, kind="stable")
+            by = np.argsort(anchor)
             ordered = anchor[by]
             same = np.zeros(len(anchor) + 1, bool)
             same[1:-1] = ordered[1:] == ordered[:-1]
             here = by[same[:-1] | same[1:]]
-            here = here[np.argsort(key[here], kind="stable")]
+            here = here[np.argsort(key[here])]
             rows = list(packed_runs(key[here], number[here]))
             for i in range(0, len(rows), 5000):
                 yield out(*zip(*rows[i : i + 5000]))
