@@ -151,7 +151,11 @@ def segments(grams: np.ndarray, offsets: np.ndarray, width: int, gram: int) -> t
 
     ``grams``: hash of the gram that starts at each unit; ``offsets``: unit offsets of the rows.
     """
-    lows = sliding_min(grams, width - gram + 1)
+    return stretches(sliding_min(grams, width - gram + 1), offsets, width)
+
+
+def stretches(lows: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+    """Runs of windows of one value in ``lows`` (a window's value stands at its first unit), none across rows."""
     n = len(lows)
     if n <= 0:
         z = np.zeros(0, np.int64)

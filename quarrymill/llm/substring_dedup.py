@@ -28,7 +28,7 @@ from quarrymill.llm.rows import identified, real_id
 from quarrymill.runtime import prepare, table
 
 WIDTH = 13
-UNIT = windows.Unit(words=True, width=WIDTH, gram=7)
+UNIT = windows.Unit(words=True, width=WIDTH, gram=7, fine=3)
 #: Bytes of contents that are indexed together.
 INDEX = 4_000_000
 #: Windows that are searched together.
@@ -93,13 +93,13 @@ def _apply(text: bytes, doc_id: int, pairs: list) -> tuple:
     return len(words), int(gone.sum()), spans, b" ".join([w for w, g in zip(words, gone.tolist()) if not g])
 
 
-def substring_dedup(docs: DataFrame, texts: bool = True) -> DataFrame:
+def substring_dedup(docs: DataFrame, texts: bool = True, hot: int = windows.HOT) -> DataFrame:
     """doc_id, n_words, n_removed, n_spans, kept_sha256, and kept: the words left of a changed text (binary)."""
     prepare(docs.sparkSession)
     docs = identified(docs)
     rows, groups = windows.classes(docs)
     staged = windows.candidates(docs, groups, UNIT, _whole)
-    found = windows.members(staged, windows.indexed(staged, earliest, INDEX))
+    found = windows.members(staged, windows.indexed(staged, earliest, INDEX, UNIT, hot))
     joined = rows.join(windows.finish(staged, found, groups, _apply, texts), "digest")
     copy = (F.col("doc_id") != F.col("rep_id")) & (F.col("n_units") >= WIDTH)
     return joined.select(

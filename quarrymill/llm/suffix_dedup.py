@@ -26,7 +26,7 @@ from quarrymill.llm.rows import identified, real_id
 from quarrymill.runtime import prepare, table
 
 WIDTH = 200
-UNIT = windows.Unit(words=False, width=WIDTH, gram=100)
+UNIT = windows.Unit(words=False, width=WIDTH, gram=100, fine=50)
 #: Bytes of contents that are indexed together.
 INDEX = 1_000_000
 _EMPTY = hashlib.sha256(b"").hexdigest()
@@ -79,21 +79,21 @@ def _apply(text: bytes, doc_id: int, pairs: list) -> tuple:
     return len(text), int(gone.sum()), spans, np.frombuffer(text, np.uint8)[~gone].tobytes()
 
 
-def texts_left(docs: DataFrame, texts: bool = True) -> tuple[DataFrame, DataFrame]:
+def texts_left(docs: DataFrame, texts: bool = True, hot: int = windows.HOT) -> tuple[DataFrame, DataFrame]:
     """doc_id and digest of every row; digest, n_bytes, n_removed, n_spans, kept_sha256 and kept of every distinct text."""
     prepare(docs.sparkSession)
     docs = identified(docs)
     rows, groups = windows.classes(docs)
     staged = windows.candidates(docs, groups, UNIT, _whole)
-    found = windows.members(staged, windows.indexed(staged, repeated, INDEX))
+    found = windows.members(staged, windows.indexed(staged, repeated, INDEX, UNIT, hot))
     done = windows.finish(staged, found, groups, _apply, texts)
     kept = F.when((F.col("n_removed") > 0) & (F.col("n_removed") == F.col("n_units")), F.lit(b"")).otherwise(F.col("kept"))
     return rows, done.select("digest", F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256", kept.alias("kept"))
 
 
-def suffix_dedup(docs: DataFrame, texts: bool = True) -> DataFrame:
+def suffix_dedup(docs: DataFrame, texts: bool = True, hot: int = windows.HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and kept: the bytes left of a changed text."""
-    rows, done = texts_left(docs, texts)
+    rows, done = texts_left(docs, texts, hot)
     return rows.join(done, "digest").select(real_id("doc_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
 
 

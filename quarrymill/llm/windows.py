@@ -8,7 +8,8 @@
 3. ``candidates``: one shuffle of the texts brings each document its candidate segments; the contents of
    these are collapsed within a map task. Documents without candidates have their result here.
 4. An index over the distinct contents of each anchor partition (FM-index or Burrows-Wheeler expansion; the
-   caller's) tells which windows count, and the members of each content are joined with that.
+   caller's) tells which windows count, and the members of each content are joined with that. Anchors of many
+   contents are cut finer and dealt anew before.
 5. ``finish``: spans go back to the texts; rows take over the result of their class by digest.
 """
 
@@ -28,17 +29,21 @@ from quarrymill.llm import kernels as K
 from quarrymill.llm.dealing import Dealer, by_part, to_owners
 from quarrymill.runtime import partitions, stage
 
+#: Contents of an anchor (and one more a partition, as each map task sends its own) beyond which it is hot.
+HOT = 1000
 #: Bytes of distinct contents that a map task gathers before it sends them off.
 CONTENTS = 24_000_000
 
 
 @dataclass(frozen=True)
 class Unit:
-    """What a window is made of: ``words`` or ``bytes``; its width and the width of its grams."""
+    """What a window is made of: ``words`` or ``bytes``; its width, the width of its grams, and that of the finer grams
+    that part hot anchors."""
 
     words: bool
     width: int
     gram: int
+    fine: int
 
 
 def cut(raw: np.ndarray, offsets: np.ndarray, unit: Unit) -> tuple[np.ndarray, ...]:
@@ -259,10 +264,91 @@ def compact(function: Callable) -> Callable:
     return run
 
 
-def indexed(staged: DataFrame, search: Callable[[list[bytes], np.ndarray, np.ndarray], list[bytes | None]], most: int) -> DataFrame:
+def recut(raw: np.ndarray, offsets: np.ndarray, anchors: np.ndarray, unit: Unit) -> tuple[np.ndarray, ...]:
+    """Segments cut anew by two more minima over finer grams: row, key, first unit, and the content's first byte and end.
+
+    Equal windows agree in all minima, so they keep meeting under one key.
+    """
+    if unit.words:
+        s, e, rows = K.words(raw, offsets)
+        grams = K.gram_hashes(K.word_hashes(raw, s, e), unit.fine)
+    else:
+        rows = offsets
+        grams = K.byte_gram_hashes(raw, unit.fine)
+    key = np.zeros(max(0, len(grams) - unit.width + unit.fine), np.uint64)
+    for seed in (0x2545F4914F6CDD1D, 0x9E6C63D0876A9A47):
+        key *= K._Q
+        key += K.sliding_min(K.mix(grams ^ np.uint64(seed)), unit.width - unit.fine + 1)
+    row, first, last, key = K.stretches(K.mix(key), rows, unit.width)
+    key = key ^ anchors[row]
+    if unit.words:
+        return row, key, first - rows[row], s[first], e[last + unit.width - 1]
+    return row, key, first - rows[row], first, last + unit.width
+
+
+def parted(staged: DataFrame, unit: Unit, hot: int) -> tuple[DataFrame, DataFrame | None]:
+    """Contents (anchor, content, segment, doc_id, weight) with those of hot anchors cut finer, and their members:
+    of_anchor, of_content, start, anchor, content (None if no anchor is hot).
+
+    An anchor of more than ``hot`` contents is a passage that is too short to be a window or lies in ever new
+    surroundings. Its windows differ in their surroundings, and two more minima over finer grams part them by these.
+    """
+    rows = staged.where("kind = 'S'").select("anchor", "content", "segment", "doc_id", "weight")
+    heavy = stage(rows.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("anchor"), "heavy")
+    if heavy.isEmpty():
+        return rows, None
+    schema = "of_anchor long, of_content long, start long, anchor long, content long, segment binary, doc_id long, weight long"
+    fields = [("of_anchor", pa.int64()), ("of_content", pa.int64()), ("start", pa.int64()), ("anchor", pa.int64()), ("content", pa.int64()), ("segment", pa.binary()), ("doc_id", pa.int64()), ("weight", pa.int64())]
+
+    def out(n: int, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(columns[k], t) if k in columns else pa.nulls(n, t) for k, t in fields], names=[k for k, _ in fields])
+
+    def finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        contents: dict[tuple[int, int], list] = {}
+        held = 0
+
+        def emit() -> Iterator[pa.RecordBatch]:
+            items = list(contents.items())
+            contents.clear()
+            for i in range(0, len(items), 2000):
+                part = items[i : i + 2000]
+                yield out(len(part), anchor=[k[0] for k, _ in part], content=[k[1] for k, _ in part], segment=[v[0] for _, v in part], doc_id=[v[1] for _, v in part], weight=[v[2] for _, v in part])
+
+        for b in batches:
+            raw, offsets = K.utf8(b.column("segment"))
+            anchors, of, ids, weights = (b.column(c).to_numpy() for c in ("anchor", "content", "doc_id", "weight"))
+            for i, j in K.chunks(offsets):
+                low = offsets[i]
+                data = raw[low : offsets[j]].tobytes()
+                row, key, first, a, e = recut(raw[low : offsets[j]], offsets[i : j + 1] - low, anchors[i:j].view(np.uint64), unit)
+                row = row + i
+                hashes = []
+                for k, r, x, y in zip(key.view(np.int64).tolist(), row.tolist(), a.tolist(), e.tolist()):
+                    piece = data[x:y]
+                    h = xxhash.xxh3_64_intdigest(piece) - (1 << 63)
+                    hashes.append(h)
+                    if (old := contents.get((k, h))) is None:
+                        contents[k, h] = [piece, int(ids[r]), int(weights[r])]
+                        held += len(piece) + 500
+                    else:
+                        old[1], old[2] = min(old[1], int(ids[r])), old[2] + int(weights[r])
+                if hashes:
+                    yield out(len(hashes), of_anchor=anchors[row], of_content=of[row], start=first, anchor=key.view(np.int64), content=np.array(hashes, np.int64))
+                if held > CONTENTS:
+                    yield from emit()
+                    held = 0
+        yield from emit()
+
+    found = stage(rows.join(heavy, "anchor", "left_semi").mapInArrow(compact(finer), schema), "finer")
+    cold = rows.join(heavy, "anchor", "left_anti")
+    return cold.unionByName(found.where("of_anchor is null").select(*rows.columns)), found.where("of_anchor is not null").select("of_anchor", "of_content", "start", "anchor", "content")
+
+
+def indexed(staged: DataFrame, search: Callable[[list[bytes], np.ndarray, np.ndarray], list[bytes | None]], most: int, unit: Unit, hot: int = HOT) -> DataFrame:
     """(anchor, content, spans): what ``search(contents, smallest ids, weights)`` says of each distinct content.
 
-    Contents are dealt by anchor and indexed some ``most`` bytes at a time; no anchor is parted.
+    Contents are dealt by anchor, those of hot anchors by finer keys (see ``parted``), and indexed some ``most`` bytes
+    at a time. Spans are rows of int64 that begin with a first and a last window.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,9 +377,31 @@ def indexed(staged: DataFrame, search: Callable[[list[bytes], np.ndarray, np.nda
                     old[1], old[2] = min(old[1], doc_id), old[2] + weight
         yield from answer()
 
-    rows = staged.where("kind = 'S'").select("anchor", "content", "segment", "doc_id", "weight")
-    dealt = rows.repartition(partitions(staged.sparkSession), "anchor").sortWithinPartitions("anchor")
-    return dealt.mapInArrow(run, "anchor long, content long, spans binary")
+    columns = 3 if unit.words else 2
+
+    def moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Spans of finer contents, at their places in the contents that they were cut from."""
+        for b in batches:
+            out = []
+            for parts in b.column("parts").to_pylist():
+                runs = []
+                for p in parts:
+                    r = np.frombuffer(p["spans"], np.int64).reshape(-1, columns).copy()
+                    r[:, :2] += p["start"]
+                    runs.append(r)
+                out.append(np.concatenate(runs).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("anchor"), b.column("content"), pa.array(out, pa.binary())], names=["anchor", "content", "spans"])
+
+    n = partitions(staged.sparkSession)
+    rows, finer = parted(staged, unit, hot + n)
+    dealt = rows.repartition(n, "anchor").sortWithinPartitions("anchor")
+    spans = dealt.mapInArrow(run, "anchor long, content long, spans binary")
+    if finer is None:
+        return spans
+    spans = stage(spans, "spans")
+    back = finer.join(spans, ["anchor", "content"]).groupBy("of_anchor", "of_content").agg(F.collect_list(F.struct("start", "spans")).alias("parts"))
+    back = back.select(F.col("of_anchor").alias("anchor"), F.col("of_content").alias("content"), "parts").mapInArrow(moved, "anchor long, content long, spans binary")
+    return spans.unionByName(back)
 
 
 def members(staged: DataFrame, spans: DataFrame) -> DataFrame:

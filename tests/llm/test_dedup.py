@@ -181,3 +181,17 @@ def test_exact_small_tries_all_rows(docs, rows):
     owned = exact_dedup.owners(staged, 3000)
     got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in staged.where("kind = 'M'").join(owned, "rep").collect()}
     assert got == {i: x[:2] for i, x in brute.exact(rows).items()}
+
+
+def test_hot_anchors_are_parted(spark, rows):
+    """A passage shorter and one longer than a window in ever new surroundings, some of which repeat; any anchor is hot."""
+    rng = np.random.default_rng(5)
+    words = [f"w{k}" for k in range(900)]
+    prose = lambda n: " ".join(rng.choice(words, n))
+    short, long = prose(9), prose(70)
+    more = [(1000 + k, f"{prose(25)} {short if k % 2 else long} {prose(25)}") for k in range(60)]
+    more += [(2000 + k, more[3 * k][1][20:]) for k in range(15)]
+    every = rows + more
+    docs = spark.createDataFrame(every, "doc_id long, text string").repartition(5)
+    assert found(substring_dedup.substring_dedup(docs, hot=-4), "n_words", "n_removed", "kept_sha256") == brute.substrings(every)
+    assert found(suffix_dedup.suffix_dedup(docs, hot=-4), "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.suffixes(every)
