@@ -4,7 +4,8 @@
    Classes have numbers of their own, so rows that share a doc_id and differ in text are documents of their own.
 2. ``repeated_segments``: every text is cut into segments (see kernels); anchors seen twice or more are
    candidates. A map task settles anchors that it has seen twice itself and sends one entry of each to the
-   anchor's partition, so a passage in every third document costs that partition one entry a map task.
+   anchor's partition, so a passage in every third document costs that partition one entry a map task. What is
+   settled goes on to the partitions of the texts' keys, in packed arrays too.
 3. ``candidates``: one shuffle of the texts brings each document its candidate segments; the contents of
    these are collapsed within a map task. Documents without candidates have their result here.
 4. An index over the distinct contents of each anchor partition (FM-index or Burrows-Wheeler expansion; the
@@ -100,8 +101,13 @@ def repeated_segments(docs: DataFrame, unit: Unit) -> DataFrame:
     Of equal texts within a map task only the first is cut. Texts whose keys collide share their candidates, of
     which the index takes no harm.
     """
+    parts = partitions(docs.sparkSession)
     names = ["anchors", "keys", "numbers"]
 
+    def to_keys(key: np.ndarray, number: np.ndarray) -> pa.RecordBatch:
+        """Entries that are settled, by the owners of their keys."""
+        return Dealer(parts, ["keys", "numbers"]).packed([key.view(np.uint64), number])
+
     def send(dealer: Dealer) -> Iterator[pa.RecordBatch]:
         anchor, key, number, loop = dealer.gathered()
         by = np.argsort(anchor)
@@ -110,26 +116,14 @@ def repeated_segments(docs: DataFrame, unit: Unit) -> DataFrame:
         same[1:-1] = anchor[1:] == anchor[:-1]
         here = same[:-1] | same[1:] | loop  # settled by this task
         sent = ~same[:-1]  # one entry of each anchor
-        yield with_key(dealer.packed([anchor[sent], key[sent], number[sent]]))
-        key, number = key[here], number[here]
-        by = np.argsort(key)
-        yield from settled(key[by], number[by])
-
-    def with_key(b: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([b.column("part"), pa.nulls(b.num_rows, pa.int64()), *(b.column(c) for c in names)], names=["part", "key", *names])
-
-    def settled(key: np.ndarray, number: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Rows that only pass through the owner of a part."""
-        rows = list(packed_runs(key, number))
-        of = partitions_
-        for i in range(0, len(rows), 5000):
-            keys, numbers = zip(*rows[i : i + 5000])
-            none = pa.nulls(len(keys), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([k % of for k in keys], pa.int32()), pa.array(keys, pa.int64()), none, none, pa.array(numbers, pa.binary())], names=["part", "key", *names])
+        yield dealer.packed([anchor[sent], key[sent], number[sent]])
+        if here.any():
+            b = to_keys(key[here], number[here])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.nulls(b.num_rows, pa.binary()), b.column(1), b.column(2)], names=["part", *names])
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        dealer = Dealer(partitions_, names)
+        dealer = Dealer(parts, names)
         for b in batches:
             raw, offsets = K.utf8(b.column("text"))
             view = memoryview(np.ascontiguousarray(raw))
@@ -145,34 +139,42 @@ def repeated_segments(docs: DataFrame, unit: Unit) -> DataFrame:
             yield from send(dealer)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(keys: list, numbers: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(numbers, pa.binary())], names=["key", "numbers"])
+        out = Dealer(parts, ["keys", "numbers"])
 
-        def entries(done: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def entries() -> Iterator[pa.RecordBatch]:
             for b in batches:
-                passed = b.filter(b.column("key").is_valid())
-                if passed.num_rows:
-                    done.append(passed.select(["key", "numbers"]))
-                yield b.filter(b.column("key").is_null())
-
-        done: list[pa.RecordBatch] = []
-        for anchor, key, number in by_part(entries(done), {"anchors": np.uint64, "keys": np.int64, "numbers": np.uint32}):
+                for known, keys, numbers in zip(b.column("anchors").is_valid().to_pylist(), b.column("keys"), b.column("numbers")):
+                    if not known:  # settled before
+                        out.add(np.frombuffer(keys.as_py(), np.uint64), np.frombuffer(numbers.as_py(), np.uint32))
+                yield b.filter(b.column("anchors").is_valid())
+                if out.size > out.most:
+                    ready.append(out.packed(out.gathered()))
+
+        ready: list[pa.RecordBatch] = []
+        for anchor, key, number in by_part(entries(), {"anchors": np.uint64, "keys": np.uint64, "numbers": np.uint32}):
             by = np.argsort(anchor)
             ordered = anchor[by]
             same = np.zeros(len(anchor) + 1, bool)
             same[1:-1] = ordered[1:] == ordered[:-1]
             here = by[same[:-1] | same[1:]]
-            here = here[np.argsort(key[here])]
-            rows = list(packed_runs(key[here], number[here]))
+            if out.add(key[here], number[here]):
+                ready.append(out.packed(out.gathered()))
+            yield from ready
+            ready.clear()
+        yield from ready
+        yield from out.rest()
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, number in by_part(batches, {"keys": np.int64, "numbers": np.uint32}):
+            by = np.argsort(key)
+            rows = list(packed_runs(key[by], number[by]))
             for i in range(0, len(rows), 5000):
-                yield out(*zip(*rows[i : i + 5000]))
-            yield from done
-            done.clear()
-        yield from done
+                keys, numbers = zip(*rows[i : i + 5000])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(numbers, pa.binary())], names=["key", "numbers"])
 
-    partitions_ = partitions(docs.sparkSession)
-    sent = docs.select("text", F.xxhash64("text").alias("key")).mapInArrow(anchors, "part int, key long, anchors binary, keys binary, numbers binary")
-    return to_owners(sent).mapInArrow(settle, "key long, numbers binary")
+    sent = docs.select("text", F.xxhash64("text").alias("key")).mapInArrow(anchors, "part int, anchors binary, keys binary, numbers binary")
+    met = to_owners(sent).mapInArrow(settle, "part int, keys binary, numbers binary")
+    return to_owners(met).mapInArrow(gather, "key long, numbers binary")
 
 
 def candidates(docs: DataFrame, groups: DataFrame, unit: Unit, whole: Callable[[bytes, int], tuple]) -> DataFrame:
@@ -181,8 +183,7 @@ def candidates(docs: DataFrame, groups: DataFrame, unit: Unit, whole: Callable[[
     ``whole(text, class_size)``: (n units, n removed, n spans, sha256 of what stays) of a text without
     candidates, or None if its copies alone decide nothing.
     """
-    lists = repeated_segments(docs, unit).groupBy("key").agg(F.collect_list("numbers").alias("numbers"))
-    reps = groups.join(lists, "key", "left").select("digest", "class", "class_size", "rep_id", "numbers")
+    reps = groups.join(repeated_segments(docs, unit), "key", "left").select("digest", "class", "class_size", "rep_id", "numbers")
     keyed = docs.select(F.col("doc_id").alias("rep_id"), F.unhex(F.sha2("text", 256)).alias("digest"), "text")
     # rows that repeat id and text meet here twice; a second time changes nothing
     texts = keyed.join(reps, ["rep_id", "digest"]).select("class", F.col("rep_id").alias("doc_id"), "text", "class_size", "numbers")
@@ -217,7 +218,7 @@ def candidates(docs: DataFrame, groups: DataFrame, unit: Unit, whole: Callable[[
                     texts.append(r)
                 if not numbers:
                     continue
-                pick = np.unique(np.frombuffer(b"".join(numbers), np.uint32))
+                pick = np.unique(np.frombuffer(numbers, np.uint32))
                 _, anchor, first, _, a, e = cut(text, np.array([0, len(text)]), unit)
                 pick = pick[pick < len(anchor)]
                 anchor, first, a, e = anchor[pick].view(np.int64), first[pick], a[pick], e[pick]
