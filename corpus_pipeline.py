@@ -3,7 +3,12 @@
 Quality classifier, exact dedup, MinHash near-dedup, suffix-array dedup, best-fit packing. Every stage but the
 last returns the columns of documents; what it returns is written as Parquet and read back as the next one's
 documents. The stages fit a model, search similar texts and run over suffixes, which SQL cannot express, so
-there is no SQL twin; they are tested against brute force.
+there is no SQL twin; ``tests/llm/test_pipeline.py`` holds what each stage keeps against plain versions.
+
+Null and empty texts are texts like any other: the classifier scores them, exact dedup keeps one of them, near-dedup
+links them with nothing, and packing gives them one piece with the end mark. A null doc_id is one more document.
+Of rows that repeat id and text one stays; rows that repeat an id with other texts are documents of their own. Of
+equal texts the smallest id stays, of a near group too. Empty tables give no rows. Further columns go along.
 """
 
 from __future__ import annotations
