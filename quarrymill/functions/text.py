@@ -189,11 +189,16 @@ def token_set(text: Column | str) -> Column:
     return F.array_distinct(tokens(text))
 
 
+def char_grams(normal: Column | str, n: int = 8) -> Column:
+    """Character n-grams of a normalised text, repeated ones too; a shorter text is its own only one."""
+    t = _col(normal)
+    grams = F.regexp_extract_all(t, F.lit("(?s)(?=(.{%d}))" % n), F.lit(1))
+    return F.when(t == "", F.array().cast("array<string>")).when(F.length(t) < n, F.array(t)).otherwise(grams)
+
+
 def char_shingles(text: Column | str, n: int = 8) -> Column:
     """Distinct character n-grams of the normalised lower-case text; a shorter text is its own only one."""
-    t = normalise_key(text)
-    grams = F.array_distinct(F.regexp_extract_all(t, F.lit("(?s)(?=(.{%d}))" % n), F.lit(1)))
-    return F.when(t == "", F.array().cast("array<string>")).when(F.length(t) < n, F.array(t)).otherwise(grams)
+    return F.array_distinct(char_grams(normalise_key(text), n))
 
 
 def jaccard(a: Column | str, b: Column | str) -> Column:

@@ -23,18 +23,18 @@ def near_duplicates(left: DataFrame, right: DataFrame, least: float = 0.5, n: in
     key = T.normalise_key(F.coalesce("text", F.lit("")))
     rows = left.select(F.lit(0).alias("side"), "id", F.md5(key).alias("set"), key.alias("t")).union(right.select(F.lit(1), "id", F.md5(key), key)).where("t <> ''")
     members = stage(rows, "texts")
-    hashed = F.transform(T.char_shingles("t", n), lambda g: F.xxhash64(g))
-    sets = members.groupBy("set").agg(F.first("t").alias("t")).select("set", F.array_distinct(hashed).alias("s"))
-    sets = stage(sets.select("set", "s", F.size("s").alias("n")), "shingles")
-    each = sets.select("set", F.explode("s").alias("s"))
-    df = each.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")  # what one set alone holds joins nothing
-    # a set's shingles in one row, rare ones first; those of one set alone are rarest and only take up places
-    shared = each.join(df, "s").groupBy("set").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("shared"))
+    hashed = F.array_distinct(F.transform(T.char_grams("t", n), lambda g: F.xxhash64(g)))
+    sets = members.groupBy("set").agg(F.first("t").alias("t"), F.min("side").alias("lowest"), F.max("side").alias("highest")).withColumn("s", hashed)
+    sets = stage(sets.select("set", "s", F.size("s").alias("n"), "lowest", "highest"), "shingles")
+    each = sets.select("set", "lowest", "highest", F.explode("s").alias("s"))
+    # what one side alone holds joins nothing
+    df = each.groupBy("s").agg(F.count("*").alias("df"), F.min("lowest").alias("lowest"), F.max("highest").alias("highest")).where("lowest = 0 and highest = 1 and df > 1").select("s", "df")
+    # a set's shingles in one row, rare ones first; those of one side alone are rarest and only take up places
+    shared = each.select("set", "s").join(df, "s").groupBy("set").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("shared"))
     alone = F.col("n") - F.size("shared")
     most = F.col("n") - F.ceil(F.lit(least) * F.col("n")).cast("int") + 1 - alone
-    prefix = sets.select("set", "n").join(shared, "set").withColumns({"alone": alone, "most": most}).where("most > 0")
-    sides = members.groupBy("set").agg(F.min("side").alias("lowest"), F.max("side").alias("highest"))
-    prefix = prefix.join(sides, "set").select("set", "n", "alone", "lowest", "highest", F.posexplode(F.slice("shared", 1, F.col("most"))).alias("place", "x"))
+    prefix = sets.select("set", "n", "lowest", "highest").join(shared, "set").withColumns({"alone": alone, "most": most}).where("most > 0")
+    prefix = prefix.select("set", "n", "alone", "lowest", "highest", F.posexplode(F.slice("shared", 1, F.col("most"))).alias("place", "x"))
     prefix = stage(prefix.select("set", "n", "lowest", "highest", (F.col("place") + F.col("alone")).alias("place"), F.col("x.s").alias("s")), "prefix")
     a = prefix.where("lowest = 0").select("s", F.col("set").alias("a"), F.col("n").alias("n0"), F.col("place").alias("p0"))
     b = prefix.where("highest = 1").select("s", F.col("set").alias("b"), F.col("n").alias("n1"), F.col("place").alias("p1"))
@@ -46,7 +46,7 @@ def near_duplicates(left: DataFrame, right: DataFrame, least: float = 0.5, n: in
     whole = lambda name: sets.select(F.col("set").alias(name), F.col("s").alias(f"{name}_s"))
     found = pairs.join(whole("a"), "a").join(whole("b"), "b").select("a", "b", T.jaccard("a_s", "b_s").alias("similarity")).where(F.col("similarity") >= least)
     # a text of both sides is its own pair; it shares every shingle, so the join has found it if any are held twice
-    own = sides.where("lowest < highest").select(F.col("set").alias("a"), F.col("set").alias("b"), F.lit(1.0).alias("similarity"))
+    own = sets.where("lowest < highest").select(F.col("set").alias("a"), F.col("set").alias("b"), F.lit(1.0).alias("similarity"))
     found = found.where("a <> b").unionByName(own)
     of = lambda side, name, by: members.where(F.col("side") == side).select(F.col("id").alias(name), F.col("set").alias(by))
     return found.join(of(0, "left_id", "a"), "a").join(of(1, "right_id", "b"), "b").select("left_id", "right_id", "similarity")
