@@ -27,13 +27,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrymill.llm.dealing import released
 from quarrymill.llm.rows import rows_named, text_key
 from quarrymill.llm.windows import compact
 from quarrymill.runtime import partitions, prepare, stage, table
 
 #: Bytes of text that a trie holds before it is sent off (map side) or spills a subtree (owner).
-MAP_BYTES = 48_000_000
-OWNER_BYTES = 96_000_000
+MAP_BYTES = 32_000_000
+OWNER_BYTES = 64_000_000
 _NO_ID = (1 << 63) - 1
 
 
@@ -270,7 +271,7 @@ def owners(staged: DataFrame, budget: int = OWNER_BYTES) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.bool_()))], names=["rep", "keep_id", "group_size", "holder"])
 
     reps = staged.where("kind = 'T'").select("rep", "size", "hash", "least", "members", "text")
-    return reps.repartition(partitions(staged.sparkSession), "size", "hash").mapInArrow(run, "rep long, keep_id long, group_size long, holder boolean")
+    return reps.repartition(partitions(staged.sparkSession), "size", "hash").mapInArrow(released(run), "rep long, keep_id long, group_size long, holder boolean")
 
 
 def decided(docs: DataFrame) -> DataFrame:

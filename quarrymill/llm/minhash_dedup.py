@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrymill.llm import kernels as K
-from quarrymill.llm.dealing import Dealer, by_part, to_owners
+from quarrymill.llm.dealing import Dealer, by_part, released, to_owners
 from quarrymill.llm.rows import identified, real_id, rows_named, text_key
 from quarrymill.llm.windows import compact
 from quarrymill.operators.graph import connected_components
@@ -144,8 +144,8 @@ def buckets(sets: DataFrame) -> DataFrame:
             for i in range(0, len(k), 20_000):
                 yield pa.RecordBatch.from_arrays([pa.array(k[i : i + 20_000]), pa.array(m[i : i + 20_000]), pa.nulls(len(m[i : i + 20_000]), pa.int64())], names=["key", "a", "b"])
 
-    dealt = to_owners(sets.mapInArrow(deal, "part int, keys binary, ids binary"))
-    return stage(dealt.mapInArrow(meet, "key long, a long, b long"), "buckets")
+    dealt = to_owners(sets.mapInArrow(released(deal), "part int, keys binary, ids binary"))
+    return stage(dealt.mapInArrow(released(meet), "key long, a long, b long"), "buckets")
 
 
 def full_sets(docs: DataFrame, sets: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -194,7 +194,7 @@ def verified(sets: DataFrame, pairs: DataFrame, least: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["src", "dst"])
 
     dealt = rows.select("centre", "salt", "partner", "id", "data").repartition(partitions(spark), "centre", "salt").sortWithinPartitions("centre", "salt", "partner")
-    return stage(dealt.mapInArrow(compare, "src long, dst long"), "links")
+    return stage(dealt.mapInArrow(released(compare), "src long, dst long"), "links")
 
 
 def lonely(sets: DataFrame) -> DataFrame:
@@ -219,7 +219,7 @@ def lonely(sets: DataFrame) -> DataFrame:
             if len(doc):
                 yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(n)], names=["id", "own"])
 
-    dealt = to_owners(sets.select("id", "data").mapInArrow(deal, "part int, keys binary, ids binary"))
+    dealt = to_owners(sets.select("id", "data").mapInArrow(released(deal), "part int, keys binary, ids binary"))
     return dealt.mapInArrow(compact(count), "id long, own long").groupBy("id").agg(F.sum("own").alias("own"))
 
 

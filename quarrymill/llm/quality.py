@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrymill.llm import kernels as K
+from quarrymill.llm.dealing import released
 from quarrymill.llm.windows import compact
 from quarrymill.runtime import prepare, table
 
@@ -181,7 +182,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
         model = fit(flat(1, np.int64), flat(2, np.float64), offsets, np.array([p[0] for p in parts], np.int64))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
-    model = texts.mapInArrow(compact(hashed), "doc_id long, grade int, buckets binary, vals binary").repartition(1).mapInArrow(fitted, "model binary").collect()
+    model = texts.mapInArrow(compact(hashed), "doc_id long, grade int, buckets binary, vals binary").repartition(1).mapInArrow(released(fitted), "model binary").collect()
     return pickle.loads(model[0]["model"])
 
 
@@ -228,7 +229,7 @@ def kept(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array(of(b.column("text"))[1][:, -1] >= KEEP))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

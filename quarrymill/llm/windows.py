@@ -27,13 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrymill.llm import kernels as K
-from quarrymill.llm.dealing import Dealer, by_part, to_owners
+from quarrymill.llm.dealing import Dealer, by_part, release, released, to_owners
 from quarrymill.runtime import partitions, stage
 
 #: Contents of an anchor (and one more a partition, as each map task sends its own) beyond which it is hot.
 HOT = 1000
 #: Bytes of distinct contents that a map task gathers before it sends them off.
-CONTENTS = 24_000_000
+CONTENTS = 16_000_000
 
 
 @dataclass(frozen=True)
@@ -172,9 +172,9 @@ def repeated_segments(docs: DataFrame, unit: Unit) -> DataFrame:
                 keys, numbers = zip(*rows[i : i + 5000])
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(numbers, pa.binary())], names=["key", "numbers"])
 
-    sent = docs.select("text", F.xxhash64("text").alias("key")).mapInArrow(anchors, "part int, anchors binary, keys binary, numbers binary")
-    met = to_owners(sent).mapInArrow(settle, "part int, keys binary, numbers binary")
-    return to_owners(met).mapInArrow(gather, "key long, numbers binary")
+    sent = docs.select("text", F.xxhash64("text").alias("key")).mapInArrow(released(anchors), "part int, anchors binary, keys binary, numbers binary")
+    met = to_owners(sent).mapInArrow(released(settle), "part int, keys binary, numbers binary")
+    return to_owners(met).mapInArrow(released(gather), "key long, numbers binary")
 
 
 def candidates(docs: DataFrame, groups: DataFrame, unit: Unit, whole: Callable[[bytes, int], tuple]) -> DataFrame:
@@ -261,6 +261,8 @@ def compact(function: Callable) -> Callable:
                 held, n, size = [], 0, 0
         if held:
             yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+        held = []
+        release()
 
     return run
 
@@ -396,7 +398,7 @@ def indexed(staged: DataFrame, search: Callable[[list[bytes], np.ndarray, np.nda
     n = partitions(staged.sparkSession)
     rows, finer = parted(staged, unit, hot + n)
     dealt = rows.repartition(n, "anchor").sortWithinPartitions("anchor")
-    spans = dealt.mapInArrow(run, "anchor long, content long, spans binary")
+    spans = dealt.mapInArrow(released(run), "anchor long, content long, spans binary")
     if finer is None:
         return spans
     spans = stage(spans, "spans")
