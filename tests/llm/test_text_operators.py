@@ -258,3 +258,28 @@ def test_conversations_against_plain_version(spark):
         assert lone == 3
         assert got == {k: [[(t, p) for t, p, _ in v], "".join(c for *_, c in v)] for k, v in expected.items()}
     assert any(len(v) > 3 for v in expected.values())
+
+
+def test_search_blocks_of_common_terms():
+    """Common lists are opened by blocks, not posting by posting, and skipped spans and pivots lose nothing."""
+    draw = np.random.default_rng(4)
+    vectors = [np.unique(np.minimum(draw.zipf(1.3, draw.integers(5, 80)), 5000).astype(np.uint64), return_counts=True) for _ in range(1500)]
+    words = np.array([c.sum() for _, c in vectors], np.float64)
+    sizes = np.array([len(t) for t, _ in vectors])
+    ids = draw.permutation(len(vectors))
+    made = search.Shard(ids, words, sizes, np.concatenate([t for t, _ in vectors]), np.concatenate([c for _, c in vectors]), words.mean())
+    assert len(made.full) and 2 * len(made.doc) < sizes.sum()
+    df = dict(zip(*np.unique(np.concatenate([t for t, _ in vectors]), return_counts=True)))
+    idf = {t: np.log(1 + (len(ids) - n + 0.5) / (n + 0.5)) for t, n in df.items()}
+    norm = search.K1 * (1 - search.B + search.B * words / words.mean())
+    impacts = [dict(zip(t.tolist(), c * (search.K1 + 1) / (c + k))) for (t, c), k in zip(vectors, norm)]
+    for share in (0.0, 0.5, 1.0):  # of the tenth score: none, a low threshold, the highest that loses nothing
+        asked, expected = [], []
+        for terms, _ in vectors[::15]:
+            scores = np.array([sum(idf[t] * v[t] for t in terms.tolist() if t in v) for v in impacts])
+            best = [(int(ids[k]), round(float(scores[k]), 6)) for k in np.lexsort([ids, -np.round(scores, 6)])[:10] if scores[k] > 0]
+            expected.append(best)
+            asked.append((made.places(np.append(terms, np.uint64(9999))), np.array([*(idf[t] for t in terms), 7.0]), share * best[-1][1] if len(best) == 10 else 0.0))
+        for (found, scores), best in zip(made.search(asked, 10), expected):
+            assert found.tolist() == [i for i, _ in best]
+            assert scores.tolist() == pytest.approx([s for _, s in best], abs=2e-6)
