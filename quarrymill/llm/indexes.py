@@ -5,11 +5,12 @@ from __future__ import annotations
 import numpy as np
 
 
-def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
+def suffix_order(symbols: np.ndarray, depth: int, steps: list[tuple[int, np.ndarray]] | None = None) -> np.ndarray:
     """Starts of all suffixes, in order of their first ``depth`` symbols at least (0 sorts lowest).
 
-    Prefix doubling that starts from as many symbols as fit 63 bits and then touches only suffixes that
-    are still tied.
+    Prefix doubling (tripling, where three ranks fit 63 bits) that starts from as many symbols as fit 63 bits and
+    then touches only suffixes that are still tied. ``steps`` takes the numbers of symbols sorted by on the way, below ``depth``, each with a flag
+    where a suffix differs in them from the one before.
     """
     n = len(symbols)
     bits = max(1, int(symbols.max()).bit_length()) if n else 1
@@ -25,26 +26,34 @@ def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
     fresh = np.ones(n, bool)
     fresh[1:] = key[1:] != key[:-1]
     del key
+    slots = np.arange(n)
+    head = np.maximum.accumulate(np.where(fresh, slots, 0))
+    rank = np.empty(n + 1, np.int64)  # one more than the first place of equal suffixes
+    rank[order] = head + 1
+    rank[n] = 0
+    parted = fresh
     while have < depth:
-        heads = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
-        tied = ~fresh
-        tied[:-1] |= ~fresh[1:]
-        slots = np.flatnonzero(tied)
+        if steps is not None:
+            steps.append((have, fresh.copy()))
+        still = ~parted
+        still[:-1] |= ~parted[1:]
+        slots, head = slots[still], head[still]
         if not len(slots):
             break
-        rank = np.empty(n + 1, np.int64)
-        rank[order] = heads
-        rank[n] = -1
         at = order[slots]
-        second = rank[np.minimum(at + have, n)] + 1
-        both = heads[slots] * (n + 1) + second
+        both = head
+        times = 3 if 3 * have < depth and (n + 1) ** 3 < 1 << 63 else 2
+        for k in range(1, times):
+            both = both * (n + 1) + rank[np.minimum(at + k * have, n)]
         by = np.argsort(both)
-        order[slots] = at[by]
-        both = both[by]
-        new = np.ones(len(slots), bool)
-        new[1:] = both[1:] != both[:-1]
-        fresh[slots] = new
-        have *= 2
+        at, both = at[by], both[by]
+        order[slots] = at
+        parted = np.ones(len(slots), bool)
+        parted[1:] = both[1:] != both[:-1]
+        fresh[slots] = parted
+        head = slots[np.maximum.accumulate(np.where(parted, np.arange(len(slots)), 0))]
+        rank[at] = head + 1
+        have *= times
     return order
 
 
@@ -117,14 +126,14 @@ def concatenate(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return out, starts
 
 
-def transform(symbols: np.ndarray, depth: int, top: int) -> tuple[np.ndarray, np.ndarray, Wavelet]:
+def transform(symbols: np.ndarray, depth: int, top: int, steps: list[tuple[int, np.ndarray]] | None = None) -> tuple[np.ndarray, np.ndarray, Wavelet]:
     """Suffix order, the symbols with an end mark, and the wavelet matrix of their Burrows-Wheeler transform.
 
     All symbols are raised by one and 0 marks the end, so that the rows of the transform map onto each other.
     """
     marked = np.zeros(len(symbols) + 1, np.uint16 if top < 65_000 else np.int64)
     np.add(symbols, 1, out=marked[:-1], casting="unsafe")
-    order = suffix_order(marked, depth)
+    order = suffix_order(marked, depth, steps)
     return order, marked, Wavelet(marked[order - 1], top + 1)
 
 
@@ -177,14 +186,26 @@ def common_prefix_groups(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, n
     extended by each symbol that precedes them; an interval that ends at a place whose common prefix is
     not known yet gives it the value l and is extended further, others are dropped. Values are found in
     increasing order, and the search stops at ``depth``; what is unknown then is at least ``depth``.
+    The search begins with the longest strings below ``depth`` whose intervals the sort has had on its way. Of these
+    go on only those whose end the step before has left unknown: an extension's end shares at most one symbol more
+    than the end of what is extended, so those of the others are known.
     The row of the end mark is left out.
     """
     n = len(symbols)
     top = int(symbols.max()) if n else 0
-    order, _, wavelet = transform(symbols, depth, top)
+    steps: list[tuple[int, np.ndarray]] = []
+    order, _, wavelet = transform(symbols, depth, top, steps)
     known = np.zeros(n + 2, bool)
     known[0] = known[n + 1] = True
     lo, hi, length = np.zeros(1, np.int32), np.full(1, n + 1, np.int32), 0
+    if steps:
+        length, known[: n + 1] = steps[-1]
+        ends = np.flatnonzero(known).astype(np.int32)
+        lo, hi = ends[:-1], ends[1:]
+        if len(steps) > 1:
+            deep = ~np.append(steps[-2][1], True)[hi]
+            lo, hi = lo[deep], hi[deep]
+        steps.clear()
     while length < depth and len(lo):
         _, lo, hi = wavelet.extensions(lo, hi)
         fresh = ~known[hi]

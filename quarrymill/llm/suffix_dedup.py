@@ -28,7 +28,7 @@ from quarrymill.runtime import prepare, table
 WIDTH = 200
 UNIT = windows.Unit(words=False, width=WIDTH, gram=100, fine=50)
 #: Bytes of contents that are indexed together.
-INDEX = 1_000_000
+INDEX = 400_000
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
 

@@ -68,6 +68,24 @@ def test_prefix_groups_against_sorting():
         assert list(fresh) == [True] + [a != b for a, b in zip(keys, keys[1:])]
 
 
+def test_prefix_groups_begin_where_the_sort_has_been(monkeypatch):
+    """Long common prefixes: the groups of plain sorting, in fewer extensions than half of the depth."""
+    rng = np.random.default_rng(2)
+    extend, calls = indexes.Wavelet.extensions, []
+    monkeypatch.setattr(indexes.Wavelet, "extensions", lambda self, lo, hi: (calls.append(1), extend(self, lo, hi))[1])
+    for trial in range(8):
+        base = rng.integers(1, 90, 400)
+        parts = [np.append(base[(a := rng.integers(0, 150)) : a + rng.integers(100, 250)], rng.integers(1, 90, 3)).astype(np.uint8) for _ in range(12)]
+        parts += [np.full(300, 7, np.uint8), np.tile(base[:11], 30).astype(np.uint8)][: trial % 3]
+        symbols, _ = indexes.concatenate(parts)
+        calls.clear()
+        order, fresh = indexes.common_prefix_groups(symbols, 200)
+        keys = [bytes(symbols)[i : i + 200] for i in order]
+        assert keys == sorted(keys)
+        assert list(fresh) == [True] + [a != b for a, b in zip(keys, keys[1:])]
+        assert len(calls) < 100
+
+
 def test_backward_search_counts():
     rng = np.random.default_rng(1)
     text = rng.integers(1, 5, 500)
