@@ -15,14 +15,17 @@ each on its own. A table without rows gives no pieces. Columns other than doc_id
 from __future__ import annotations
 
 import os
+import re
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrymill.llm.kernels import runs
 from quarrymill.llm.windows import compact
 from quarrymill.runtime import prepare, stage, table
 
@@ -32,6 +35,10 @@ GROUP = 40_000
 #: Words whose ids a Python worker keeps, and the longest of them.
 CACHED, LONGEST = 700_000, 64
 MARKS = b".,!?;:*%$#&|"
+#: Words of small letters that neither normal forms nor lowering change.
+LETTERS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+#: New words that the tokenizer takes at once.
+TOGETHER = 5000
 _state: dict = {}
 
 
@@ -42,36 +49,82 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def word_ids(text: bytes, path: str) -> bytes:
-    """Token ids of a text, as little-endian uint32 (the order of the machines that Spark runs on).
+def text_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Token ids of all texts (uint32, little-endian), and the n + 1 places where those of each begin and end.
 
-    The tokenizer splits at white space before anything else, so a text's ids are those of its words.
+    The tokenizer splits at white space before anything else, so a text's ids are those of its words. A batch's
+    words are told apart by Arrow, so that each is looked up once.
     """
     cache = _state.get(path)
     if cache is None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        cache = _state[path] = {}
-        _state[path, "tokenizer"] = Tokenizer.from_file(path)
+        _prepare(path)
+        cache = _state[path]
     # the tokenizer lowers all but its special tokens; done here, more words are the same
-    words = text.split() if b"<|" in text else text.lower().split()
-    missing = set(words).difference(cache)
-    if not missing:
-        return b"".join(map(cache.__getitem__, words))
-    if len(cache) > CACHED:
-        cache.clear()
-        missing = set(words)
+    texts = pc.fill_null(texts, "")
+    texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+    lists = pc.ascii_split_whitespace(texts)
+    coded = lists.flatten().dictionary_encode()
+    words = coded.dictionary.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary()).to_pylist()
+    parts = [b"" if w == b"" else cache.get(w) for w in words]
+    new = [k for k, x in enumerate(parts) if x is None]
+    for i in range(0, len(new), TOGETHER):
+        if len(cache) > CACHED:
+            cache.clear()
+        some = new[i : i + TOGETHER]
+        found = _learned({words[k] for k in some}, cache, path)
+        for k in some:
+            parts[k] = found[words[k]] if words[k] in found else cache[words[k]]
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+    starts = np.cumsum(sizes) - sizes
+    codes = coded.indices.to_numpy()
+    each = sizes[codes]
+    ids = np.frombuffer(b"".join(parts), "<u4")[runs(starts[codes], each)]
+    return ids, np.concatenate([[0], np.cumsum(each)])[lists.offsets.to_numpy()]
+
+
+def _prepare(path: str) -> None:
+    """What a worker keeps for a vocabulary: the words' ids, the tokenizer, the same without what small letters don't
+    need, and a flag for each token that ends a word."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    _state[path, "tokenizer"] = Tokenizer.from_file(path)
+    plain = _state[path, "plain"] = Tokenizer.from_file(path)
+    plain.normalizer = None
+    plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    tokens = plain.get_vocab()
+    last = _state[path, "last"] = np.zeros(max(tokens.values()) + 1, bool)
+    last[[k for token, k in tokens.items() if token.endswith("</w>")]] = True
+    _state[path] = {}
+
+
+def _learned(missing: set[bytes], cache: dict[bytes, bytes], path: str) -> dict[bytes, bytes]:
+    """The ids of words that are not in the cache, which takes them."""
     # marks behind a letter are tokens of their own, so a word and its marks can be looked up apart
     split = {w: (core, w[len(core) :]) for w in missing if w[-1] in MARKS and (core := w.rstrip(MARKS)) and chr(core[-1]).isalpha() and core[-1] < 128}
-    fresh = list((missing.difference(split) | {x for pair in split.values() for x in pair}).difference(cache))
-    encoded = _state[path, "tokenizer"].encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False)
-    found = {w: array("I", e.ids).tobytes() for w, e in zip(fresh, encoded)}
-    known = {x: found[x] if x in found else cache[x] for pair in split.values() for x in pair}
-    found |= {w: known[core] + known[marks] for w, (core, marks) in split.items()}
-    parts = [found[w] if w in found else cache[w] for w in words]
+    fresh = (missing.difference(split) | {x for pair in split.values() for x in pair}).difference(cache)
+    found: dict[bytes, bytes] = {}
+    plain, other = [], []
+    for w in fresh:
+        (plain if LETTERS.fullmatch(text := w.decode()) else other).append((w, text))
+    if plain:
+        # nothing changes such words, and a run of letters stays whole; so they go as one text, of which the tokens that
+        # end a word tell them apart
+        ids = np.array(_state[path, "plain"].encode_batch_fast([" ".join([x for _, x in plain])], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(_state[path, "last"][ids]) + 1
+        if len(ends) != len(plain):
+            raise ValueError("the vocabulary does not end every word with a token that ends in </w>")
+        data, at = ids.tobytes(), 0
+        for (w, _), end in zip(plain, (4 * ends).tolist()):
+            found[w] = data[at:end]
+            at = end
+    if other:
+        encoded = _state[path, "tokenizer"].encode_batch_fast([x for _, x in other], add_special_tokens=False)
+        found |= {w: array("I", e.ids).tobytes() for (w, _), e in zip(other, encoded)}
+    for w, (core, marks) in split.items():
+        found[w] = (found[core] if core in found else cache[core]) + (found[marks] if marks in found else cache[marks])
     cache.update((w, x) for w, x in found.items() if len(w) <= LONGEST)
-    return b"".join(parts)
+    return found
 
 
 def token_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
@@ -84,8 +137,10 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = N
         for b in batches:
             rows: list[tuple] = []
             size = 0
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                ids = word_ids((text or "").encode(), path) + end
+            found, places = text_ids(b.column("text"), path)
+            data = memoryview(found.tobytes())
+            for doc_id, first, last in zip(b.column("doc_id").to_pylist(), (4 * places[:-1]).tolist(), (4 * places[1:]).tolist()):
+                ids = bytes(data[first:last]) + end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     rows.append((doc_id, piece, at // 4, len(part) // 4, part))

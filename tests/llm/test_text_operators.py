@@ -260,6 +260,31 @@ def test_conversations_against_plain_version(spark):
     assert any(len(v) > 3 for v in expected.values())
 
 
+def test_token_ids_of_batches(monkeypatch):
+    """Ids of whole batches are the tokenizer's own, whatever the cache holds and however new words are put together."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.default_path())
+    draw = random.Random(8)
+    letters = ["a", "e", "th", "ing", "ß", "é", "É", "ÿ", "÷", "×", "ª", "µ", "I", "İ", "Σ", "ς", "क़", "e\u0301", "\u0301", "ǆ", "中", "▁", "\u00a0", "\u2003", "\x85", "'s", "'", "1", "²", "<s>"]
+    ends = ["", "", "", ".", ",!", "!!", "|", "<|endoftext|>", "<|EndOfText|>", "\u0301"]
+    word = lambda: "".join(draw.choices(letters, k=draw.randint(1, 5))) + draw.choice(ends)
+    common = [word() for _ in range(30)]
+    texts = ["".join(x + draw.choice([" ", "\n", "\t ", "\x0b", "  "]) for x in draw.choices([*common, word(), word(), "plain", "x" * 90], k=draw.randint(0, 30))) for _ in range(600)]
+    texts += [None, "", " ", " a ", "endof<|endoftext|>text The"]
+    for cached, together in ((packing.CACHED, packing.TOGETHER), (40, 7)):
+        monkeypatch.setattr(packing, "CACHED", cached)
+        monkeypatch.setattr(packing, "TOGETHER", together)
+        packing._state.clear()
+        for i in range(0, len(texts), 100):
+            some = texts[i : i + 100]
+            for kind in (pa.string(), pa.large_string()):
+                ids, places = packing.text_ids(pa.array(["not read", *some], kind)[1:], packing.default_path())
+                assert [ids[a:b].tolist() for a, b in zip(places, places[1:])] == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in some]
+    packing._state.clear()
+
+
 def test_search_blocks_of_common_terms():
     """Common lists are opened by blocks, not posting by posting, and skipped spans and pivots lose nothing."""
     draw = np.random.default_rng(4)
