@@ -1,8 +1,13 @@
+import ast
 import gzip
 import hashlib
+import os
 import random
+import subprocess
+import sys
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import brute
 import numpy as np
@@ -308,3 +313,10 @@ def test_search_blocks_of_common_terms():
         for (found, scores), best in zip(made.search(asked, 10), expected):
             assert found.tolist() == [i for i, _ in best]
             assert scores.tolist() == pytest.approx([s for _, s in best], abs=2e-6)
+
+
+def test_search_tasks_multiply_in_one_thread():
+    """Threads of several tasks' matrix products would wait for each other: OMP_NUM_THREADS may ask for more."""
+    code = "from quarrymill.llm import dealing; dealing.one_thread(); import ctypes, glob, os, numpy; libraries = glob.glob(os.path.join(os.path.dirname(numpy.__file__), '..', 'numpy.libs', '*openblas*')); print([getattr(ctypes.CDLL(x), 'scipy_openblas_get_num_threads64_')() for x in libraries if hasattr(ctypes.CDLL(x), 'scipy_openblas_get_num_threads64_')])"
+    said = subprocess.run([sys.executable, "-c", code], env=os.environ | {"OMP_NUM_THREADS": "4", "PYTHONPATH": str(Path(__file__).resolve().parents[2])}, capture_output=True, text=True, check=True).stdout
+    assert set(ast.literal_eval(said)) <= {1}
