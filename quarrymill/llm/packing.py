@@ -25,6 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrymill.llm import dealing
 from quarrymill.llm.kernels import runs
 from quarrymill.llm.windows import compact
 from quarrymill.runtime import prepare, stage, table
@@ -39,7 +40,7 @@ MARKS = b".,!?;:*%$#&|"
 LETTERS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
 #: New words that the tokenizer takes at once.
 TOGETHER = 5000
-_state: dict = {}
+_state = dealing.kept
 
 
 def default_path() -> str:

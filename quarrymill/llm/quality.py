@@ -51,6 +51,8 @@ GRADES = 3
 PASSES = 30
 RATE = 1.0
 DECAY = 1e-6
+#: Features that the fit looks at together.
+STEP = 1 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Class of each byte: 0 lower case and bytes beyond ASCII, 1 upper case, 2 digit, 3 and up the marks themselves.
@@ -98,22 +100,34 @@ def fit(bucket: np.ndarray, value: np.ndarray, offsets: np.ndarray, grade: np.nd
     """Buckets with a weight, their weights, and the thresholds, by adaptive gradient steps over mini-batches
     in which rare grades count for more."""
     n = len(grade)
-    seen, bucket = np.unique(bucket, return_inverse=True)  # only buckets that occur take part
+    # all features of all texts are the most that the task holds, so they are gone through in steps, without copies
+    steps = [slice(i, i + STEP) for i in range(0, len(bucket), STEP)]
+    present = np.zeros(SIZE, bool)
+    for part in steps:
+        present[bucket[part]] = True
+    seen = np.flatnonzero(present)  # only buckets that occur take part
     size = len(seen)
     weights = np.zeros(size)
     if n == 0:
         return seen, weights, np.full(GRADES - 1, -np.inf)
-    held = np.bincount(bucket, minlength=size)
+    place = np.cumsum(present, dtype=np.int32) - 1
+    of = np.repeat(grade.astype(np.int8), np.diff(offsets))
+    counts = np.zeros((GRADES, size), np.int64)
+    for part in steps:
+        for k in range(GRADES):
+            counts[k] += np.bincount(place[bucket[part][of[part] == k]], minlength=size)
+    held = counts.sum(0)
     # a word counts if texts that hold it differ from the others in a grade's share by more than chance
-    row = np.repeat(np.arange(n), np.diff(offsets))
     differs = np.zeros(size, bool)
     for k, p in enumerate(np.bincount(grade, minlength=GRADES) / n):
-        differs |= np.abs(np.bincount(bucket, grade[row] == k, size) - held * p) > SCREEN * np.sqrt(np.maximum(held * p * (1 - p), 1e-9))
+        differs |= np.abs(counts[k] - held * p) > SCREEN * np.sqrt(np.maximum(held * p * (1 - p), 1e-9))
     usable = (held >= max(support, n / COMMON)) & (differs | (seen >= BUCKETS))
     # the others have no part in the steps
-    keep = usable[bucket]
-    bucket, value = bucket[keep], value[keep]
-    offsets = np.concatenate([[0], np.cumsum(keep)])[offsets]
+    present[seen] = usable
+    keep = np.concatenate([np.zeros(0, bool), *(present[bucket[part]] for part in steps)])
+    bucket, value = place[bucket[keep]], value[keep].astype(np.float64)
+    offsets = np.concatenate([[0], np.cumsum([np.count_nonzero(keep[a:e]) for a, e in zip(offsets[:-1], offsets[1:])])])
+    del of, counts, keep, present, place
     share = np.bincount(grade, minlength=GRADES) / n
     balance = np.where(share > 0, 1 / np.maximum(share, 1e-9) ** 0.5, 0.0)
     balance /= (balance * share).sum()
@@ -176,10 +190,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
                 if len(rows) < sample:  # rows that repeat a document count once
                     rows.setdefault(doc_id, (grade, np.frombuffer(bucket, np.int32), np.frombuffer(value, np.float32)))
         order = sorted(rows)
-        parts = [rows[k] for k in order]
-        offsets = np.concatenate([[0], np.cumsum([len(p[1]) for p in parts])]).astype(np.int64)
-        flat = (lambda j, t: np.concatenate([p[j] for p in parts]).astype(t)) if parts else (lambda j, t: np.zeros(0, t))
-        model = fit(flat(1, np.int64), flat(2, np.float64), offsets, np.array([p[0] for p in parts], np.int64))
+        offsets = np.concatenate([[0], np.cumsum([len(rows[k][1]) for k in order])]).astype(np.int64)
+        grade = np.array([rows[k][0] for k in order], np.int64)
+        bucket = np.concatenate([np.zeros(0, np.int32), *(rows[k][1] for k in order)])
+        value = np.concatenate([np.zeros(0, np.float32), *(rows[k][2] for k in order)])
+        rows.clear()
+        model = fit(bucket, value, offsets, grade)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
     model = texts.mapInArrow(compact(hashed), "doc_id long, grade int, buckets binary, vals binary").repartition(1).mapInArrow(released(fitted), "model binary").collect()

@@ -5,6 +5,7 @@ import os
 import random
 import subprocess
 import sys
+import tracemalloc
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -14,7 +15,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarrymill.llm import packing, piece_bpe, quality, quotes, search, warc
+from quarrymill.llm import dealing, packing, piece_bpe, quality, quotes, search, warc, windows
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -290,6 +291,29 @@ def test_token_ids_of_batches(monkeypatch):
     packing._state.clear()
 
 
+def test_fit_holds_its_features_once():
+    """The classifier's fit is one task: besides its features it holds a few bytes of each."""
+    draw = np.random.default_rng(6)
+    texts, each = 2000, 2000
+    bucket = draw.integers(0, 200_000, texts * each).astype(np.int32)
+    value, offsets = np.ones(texts * each, np.float32), np.arange(0, texts * each + 1, each)
+    tracemalloc.start()
+    quality.fit(bucket, value, offsets, draw.integers(0, 3, texts))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100_000_000
+
+
+def test_workers_drop_what_packing_keeps():
+    """A worker is used again: the ids of words go when it takes up a task of another kind."""
+    import pyarrow as pa
+
+    for taken in (dealing.released, windows.compact):
+        packing.text_ids(pa.array(["some words"]), packing.default_path())
+        assert packing._state
+        assert not list(taken(lambda batches: batches)(iter([]))) and not packing._state
+
+
 def test_search_blocks_of_common_terms():
     """Common lists are opened by blocks, not posting by posting, and skipped spans and pivots lose nothing."""
     draw = np.random.default_rng(4)
