@@ -4,23 +4,135 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quarrymill.functions import text as T
 from quarrymill.runtime import stage
 
 
+#: Characters of a side up to which its shingles are an index that each task holds (a few dozen bytes a character).
+INDEXED = 2_000_000
+
+
 def near_duplicates(left: DataFrame, right: DataFrame, least: float = 0.5, n: int = 8) -> DataFrame:
-    """left_id, right_id, similarity of all pairs (id, text) with Jaccard of shingles >= ``least``.
+    """left_id, right_id, similarity of all pairs (id, text) with Jaccard of shingles >= ``least`` (over 0).
+
+    If the texts of a side are few, their shingles are an index that goes to all tasks, and each row of the other side
+    is held against it where it is: nothing of that side is shuffled, and what grows with it is the time alone. If
+    both sides are large, shingles are joined (see ``_joined_shingles``).
+    """
+    if _characters(left) <= INDEXED:
+        return _against_index(left, right, ("left_id", "right_id"), least, n)
+    right = stage(right.select("id", "text"), "right")
+    if _characters(right) <= INDEXED:
+        return _against_index(right, left, ("right_id", "left_id"), least, n).select("left_id", "right_id", "similarity")
+    return _joined_shingles(left, right, least, n)
+
+
+def _key() -> Column:
+    return T.normalise_key(F.coalesce("text", F.lit("")))
+
+
+def _characters(rows: DataFrame) -> int:
+    return rows.agg(F.sum(F.length("text"))).first()[0] or 0
+
+
+def _shingles(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the n-grams of all ``texts`` (none empty), one text after the other, repeated ones too, and how
+    many each has; a shorter text is its own only one. Fixed odd multipliers, one a place, and one for the length."""
+    factors = np.random.default_rng(8).integers(0, 1 << 63, n + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    sizes = np.array([len(t) for t in texts], np.int64)
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")
+    codes = np.concatenate([codes, np.zeros(n, codes.dtype)]).astype(np.uint64)
+    sums = np.full(len(codes) - n, factors[n] * np.uint64(n), np.uint64)
+    for k in range(n):
+        sums += codes[k : k + len(sums)] * factors[k]
+    counts = np.maximum(sizes - n + 1, 1)
+    begins = np.cumsum(sizes) - sizes
+    at = np.arange(counts.sum()) + np.repeat(begins - (np.cumsum(counts) - counts), counts)
+    out = sums[at]
+    for row in np.flatnonzero(sizes < n):
+        m = int(sizes[row])
+        out[counts[:row].sum()] = (codes[begins[row] : begins[row] + m] * factors[:m]).sum() + factors[n] * np.uint64(m)
+    return out, counts
+
+
+def _index(texts: list[str], n: int) -> tuple[np.ndarray, ...]:
+    """Sorted distinct shingles of all texts, where the list of texts of each begins, these lists, the texts' sizes, and
+    a table of the shingles' upper bits."""
+    hashes, counts = _shingles(texts, n)
+    rows = np.repeat(np.arange(len(texts), dtype=np.int32), counts)
+    order = np.lexsort((rows, hashes))
+    hashes, rows = hashes[order], rows[order]
+    once = np.ones(len(hashes), bool)
+    once[1:] = (hashes[1:] != hashes[:-1]) | (rows[1:] != rows[:-1])
+    hashes, rows = hashes[once], rows[once]
+    grams, begins = np.unique(hashes, return_index=True)
+    seen = np.zeros(1 << 22, bool)
+    seen[grams >> np.uint64(42)] = True
+    return grams, np.append(begins, len(hashes)), rows, np.bincount(rows, minlength=len(texts)), seen
+
+
+def _against_index(few: DataFrame, many: DataFrame, names: tuple[str, str], least: float, n: int) -> DataFrame:
+    """The pairs, with the ids named by ``names``, from an index of the texts of ``few``; equal ones are in it once."""
+    members = few.select(F.col("id").alias(names[0]), _key().alias("t")).where("t <> ''").withColumn("set", F.md5("t"))
+    held = members.groupBy("set").agg(F.first("t").alias("t")).collect()  # few by the bound
+    kind = many.schema["id"].dataType
+    out = StructType().add(names[1], kind).add("set", "string").add("similarity", "double")
+    if not held:
+        return members.select(names[0], "set").join(many.sparkSession.createDataFrame([], out), "set").drop("set")
+    sets = [r["set"] for r in held]
+    shared = many.sparkSession.sparkContext.broadcast(_index([r["t"] for r in held], n))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams, begins, lists, sizes, seen = shared.value
+        fewest = least * sizes.min() - 1e-9
+        for b in batches:
+            if not b.num_rows:
+                continue
+            hashes, counts = _shingles(b.column("t").to_pylist(), n)
+            ends = np.cumsum(counts)
+            hit = np.flatnonzero(seen[hashes >> np.uint64(42)])
+            at = np.minimum(np.searchsorted(grams, hashes[hit]), len(grams) - 1)
+            there = grams[at] == hashes[hit]
+            # the distinct shingles of each row that the index has
+            met = np.unique(np.searchsorted(ends, hit[there], "right") * len(grams) + at[there])
+            row = met // len(grams)
+            common = np.bincount(row, minlength=b.num_rows)
+            first = np.cumsum(common) - common
+            found: list[tuple[int, int, float]] = []
+            # a pair that similar has so many of either side in common
+            for r in np.flatnonzero(common >= fewest):
+                size = len(np.unique(hashes[ends[r] - counts[r] : ends[r]]))
+                if common[r] < least * size - 1e-9:
+                    continue
+                mine = met[first[r] : first[r] + common[r]] - r * len(grams)
+                lengths = begins[mine + 1] - begins[mine]
+                place = np.arange(lengths.sum()) + np.repeat(begins[mine] - (np.cumsum(lengths) - lengths), lengths)
+                both = np.bincount(lists[place], minlength=len(sizes))
+                similar = both / (sizes + size - both)
+                found += [(r, k, similar[k]) for k in np.flatnonzero(similar >= least)]
+            if found:
+                rows, k, similar = zip(*found)
+                yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(rows, pa.int64())), pa.array([sets[x] for x in k], pa.string()), pa.array(similar, pa.float64())], names=out.names)
+
+    found = many.select("id", _key().alias("t")).where("t <> ''").mapInArrow(meet, out)
+    return found.join(members.select(names[0], "set"), "set").select(*names, "similarity")
+
+
+def _joined_shingles(left: DataFrame, right: DataFrame, least: float, n: int) -> DataFrame:
+    """The pairs of two large sides.
 
     Equal texts are one set, so copies are joined back at the end and never meet each other's shingles. Shingles are
     64-bit hashes, ordered by rarity over both sides; a pair that similar shares one among the first
     size - ceil(least * size) + 1 of each side. Only those are joined, where the sizes allow it; the place of the first
     common one bounds what a pair can share. What is left is verified on the whole sets.
     """
-    key = T.normalise_key(F.coalesce("text", F.lit("")))
+    key = _key()
     rows = left.select(F.lit(0).alias("side"), "id", F.md5(key).alias("set"), key.alias("t")).union(right.select(F.lit(1), "id", F.md5(key), key)).where("t <> ''")
     members = stage(rows, "texts")
     hashed = F.array_distinct(F.transform(T.char_grams("t", n), lambda g: F.xxhash64(g)))

@@ -144,3 +144,23 @@ def test_near_duplicates_against_all_pairs(spark):
         got = {(r["left_id"], r["right_id"]): r["similarity"] for r in matching.near_duplicates(make(left), make(right), least).collect()}
         assert got == pytest.approx(expected)
     assert len(expected) > 30
+
+
+def test_near_duplicates_by_index_and_by_join(spark, monkeypatch):
+    """A few texts against many are met where they are: no shingle is shuffled. Both ways give the same pairs."""
+    base = ["Ünder the bridge a boat went by", "the boat that went under the bridge", "abc", "\U0001f600\U0001f601 smile", "abcabcabcabc"]
+    left = spark.createDataFrame([(f"l{k}", t) for k, t in enumerate(base)], "id string, text string")
+    right = spark.createDataFrame([(f"r{k}", t.upper() if k % 2 else f" {t} ") for k, t in enumerate(base * 2 + ["abd", "", None])], "id string, text string")
+    found = matching.near_duplicates(left, right)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan and "Join Inner" in plan
+    key = lambda df: sorted((r["left_id"], r["right_id"], r["similarity"]) for r in df.collect())
+    one, turned = key(found), key(matching.near_duplicates(right, left))
+    monkeypatch.setattr(matching, "INDEXED", 0)
+    assert one == key(matching.near_duplicates(left, right)) and len(one) >= 10
+    assert turned == key(matching.near_duplicates(right, left)) == sorted((b, a, s) for a, b, s in one)
+    # one large side, on the left
+    monkeypatch.setattr(matching, "INDEXED", 150)
+    assert key(matching.near_duplicates(right, left)) == turned
+    empty = left.where("id is null")
+    assert matching.near_duplicates(empty, right).count() == 0 == matching.near_duplicates(right, empty).count()
