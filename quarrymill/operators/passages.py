@@ -18,8 +18,9 @@ def chunk_documents(docs: DataFrame, least: int = 50, most: int = 200, id_column
     chunks = T.bound(T.normalise("text"), lambda t: F.when((t != "") & (T.spaced(t) >= least), T.chunk_normalised(t, least, most)))
     rows = docs.where(F.col(id_column).isNotNull() & F.col("text").isNotNull())
     rows = rows.withColumn("_chunks", chunks).drop("text")
-    rows = rows.select("*", F.posexplode("_chunks").alias("chunk_index", "text")).drop("_chunks")
-    rows = rows.withColumn("word_count", T.word_count("text")).where(F.col("word_count").between(least, most))
+    # "outer", as Spark else puts a filter on the chunks below the shuffle before, and makes them twice
+    rows = rows.select("*", F.posexplode_outer("_chunks").alias("chunk_index", "text")).drop("_chunks").where(F.col("text").isNotNull())
+    rows = rows.withColumn("word_count", T.spaced(F.col("text"))).where(F.col("word_count").between(least, most))  # chunks are normal
     rows = rows.withColumn("example_id", T.stable_id(id_column, "chunk_index", "text"))
     return rows.dropDuplicates(["example_id"])
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quarrymill.functions import text as T
 from quarrymill.operators import passages as P
-from quarrymill.runtime import table
+from quarrymill.runtime import spread, table
 
 #: SQL for the units of a text of at most 200 words each (RE2 has no lookaround, so a mark is put in).
 _UNITS = r"""flatten(list_transform(list_filter(string_split(regexp_replace(t, '([.!?])["''’”)]*\s+([A-Z0-9"''‘“(])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: x <> ''),
@@ -61,8 +61,8 @@ pg AS (SELECT page_id::VARCHAR AS page_id, url, trim(regexp_replace(regexp_extra
 
 
 def source_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents in parts that several tasks can take, as each table may be one file."""
-    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source").repartition(spark.sparkContext.defaultParallelism)
+    """documents in parts that several tasks can take."""
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", "text", "lang", "source")
 
 
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -160,3 +160,23 @@ def test_positions_and_sums_within_groups(spark):
             n, s = held.get(r["g"] if group else 0, (0, 0))
             assert (r["position"], r["before"]) == (n, s)
             held[r["g"] if group else 0] = n + 1, s + r["v"]
+
+
+def test_chunks_are_made_once(spark, tmp_path):
+    """No filter on the chunks may go below the shuffle, where it would make them all a first time."""
+    from quarrymill.operators import passages
+
+    docs = spark.createDataFrame([("a", "One two. " * 40), ("b", None), ("c", "short"), (None, "One two. " * 40)], "document_id string, text string")
+    rows = passages.chunk_documents(docs.repartition(3), 50, 100)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 1
+    assert [tuple(r) for r in rows.select("document_id", "chunk_index", "word_count").collect()] == [("a", 0, 80)]
+
+
+def test_parts_grow_with_the_table(spark, tmp_path):
+    from quarrymill.runtime import spread
+
+    spark.range(100_000).write.parquet(f"{tmp_path}/t.parquet")
+    df = spark.read.parquet(f"{tmp_path}/t.parquet")
+    assert spread(df).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert spread(df, 1000).rdd.getNumPartitions() > 100 and spread(df, 1000).count() == 100_000
