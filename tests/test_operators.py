@@ -180,3 +180,20 @@ def test_parts_grow_with_the_table(spark, tmp_path):
     df = spark.read.parquet(f"{tmp_path}/t.parquet")
     assert spread(df).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     assert spread(df, 1000).rdd.getNumPartitions() > 100 and spread(df, 1000).count() == 100_000
+
+
+def test_bootstrap_draws_meet_no_join(spark, monkeypatch):
+    """Draws are made and added up in the task: as many rows as resamples leave it. Numbers of 1 to 5 digits."""
+    rows = [b"%d-%d" % (b, i) for b in (0, 37, 9999) for i in (0, 9, 10, 12_345)]
+    words = stats._row_words(12_346)
+    heads = {b"%d-" % b: np.concatenate([stats._md5_heads(b"%d-" % b, w) for w in words]) for b in (0, 37, 9999)}
+    for r in rows:
+        prefix, i = r.split(b"-")
+        assert heads[prefix + b"-"][int(i)] == int(hashlib.md5(r).hexdigest()[:8], 16)
+    df = spark.createDataFrame([(k, ((k * 37) % 23 - 9) / 7) for k in range(1234)], "rn long, margin double")
+    found = stats.bootstrap_interval(df, 50)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    one = found.first()
+    monkeypatch.setattr(stats, "HELD", 0)
+    assert np.allclose(one, stats.bootstrap_interval(df, 50).first(), atol=1e-12)
+    assert stats.bootstrap_interval(df.limit(0), 50).first()["low"] is None
