@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable, Iterator, Mapping
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quarrymill.functions import text as T
+from quarrymill.runtime import stage
 
 #: Words that keyphrases leave out. Our own short list.
 STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "from", "had", "has", "have", "he", "her", "his", "in", "is", "it", "its", "not", "of", "on", "or", "she", "that", "the", "their", "they", "this", "to", "was", "were", "which", "with", "you")
@@ -40,48 +46,219 @@ def terms(text: Column | str, stop: tuple[str, ...] = (), accents: bool = False)
     return T.bound(words, both)
 
 
-def _counts(docs: DataFrame, stop: tuple[str, ...], id_column: str, accents: bool = False) -> DataFrame:
-    return docs.select(id_column, F.explode(terms("text", stop, accents)).alias("term")).groupBy(id_column, "term").agg(F.count("*").alias("tf"))
+def _plain(text: Column) -> Column:
+    """Lower case with one space for whatever stands between words (``terms`` says what a word is)."""
+    return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_]+", " ")
+
+
+def _one_row_a_document(docs: DataFrame, id_column: str) -> DataFrame:
+    """id and ``plain`` of each document. Rows that repeat an id, or have none, are one document; a line break parts their
+    texts. Only such rows are shuffled, and whether there are any is asked first."""
+    rows = docs.select(id_column, _plain(F.col("text")).alias("plain"))
+    repeated = docs.groupBy(id_column).agg(F.count("*").alias("_n")).where("_n > 1").select(F.col(id_column).alias("_again"))
+    if repeated.isEmpty():
+        return rows
+    repeated = stage(repeated, "repeated")
+    same = F.col(id_column).eqNullSafe(F.col("_again"))
+    whole = rows.join(repeated, same, "left_semi").groupBy(id_column).agg(F.array_join(F.collect_list("plain"), "\n").alias("plain"))
+    return rows.join(repeated, same, "left_anti").unionByName(whole)
+
+
+def _words(plain: pa.Array, stop: tuple[str, ...], accents: bool) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """Of a batch of texts: each word's text and number, what the numbers mean, and whether the next word is in the same line."""
+    words = pc.split_pattern(pc.replace_substring(plain, "\n", " \n "), " ")
+    text = np.repeat(np.arange(len(plain)), pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False))
+    found = words.flatten().dictionary_encode()
+    codes, names = found.indices.to_numpy(zero_copy_only=False).astype(np.int64), found.dictionary
+    if not accents and not pc.all(pc.string_is_ascii(names)).as_py():
+        table = str.maketrans(*_accents())
+        names = pa.array([n.translate(table) for n in names.to_pylist()], pa.string())
+        again = names.dictionary_encode()  # words that differed by marks alone are one
+        codes, names = again.indices.to_numpy(zero_copy_only=False).astype(np.int64)[codes], again.dictionary
+    keep = pc.and_(pc.greater_equal(pc.utf8_length(names), 2), pc.invert(pc.is_in(names, pa.array(stop, pa.string()))))
+    line = pc.equal(names, "\n").to_numpy(zero_copy_only=False)
+    kept = keep.to_numpy(zero_copy_only=False)[codes]
+    lines = np.cumsum(line[codes])[kept]
+    codes, text = codes[kept], text[kept]
+    follows = (text[1:] == text[:-1]) & (lines[1:] == lines[:-1])
+    return text, codes, names, np.append(follows, False) if len(codes) else np.zeros(0, bool)
+
+
+def _batch_counts(plain: pa.Array, stop: tuple[str, ...], accents: bool) -> pa.RecordBatch:
+    """term, df and total within a batch of documents. A pair of words is told by one integer."""
+    text, codes, names, follows = _words(plain, stop, accents)
+    base = len(names) + 1
+    at = np.flatnonzero(follows)
+    keys = np.concatenate([codes * base, codes[at] * base + codes[at + 1] + 1])
+    terms, total = np.unique(keys, return_counts=True)
+    held = np.unique(np.concatenate([text, text[at]]) * (base * base) + keys)
+    df = np.unique(held % (base * base), return_counts=True)[1]
+    second = terms % base - 1
+    one = names.take(pa.array(terms // base))
+    two = pc.binary_join_element_wise(one, names.take(pa.array(np.maximum(second, 0))), " ") if len(names) else one
+    return pa.RecordBatch.from_arrays([pc.if_else(pa.array(second < 0), one, two), pa.array(df, pa.int64()), pa.array(total, pa.int64())], names=["term", "df", "total"])
+
+
+def vocabulary(docs: DataFrame, least_df: int = 2, most_df: float = 0.98, features: int = 50_000, stop: tuple[str, ...] = (), id_column: str = "doc_id", accents: bool = False) -> DataFrame:
+    """term, df and n (documents): the ``features`` terms of most occurrences in the documents to fit on.
+
+    Terms are counted in each batch of whole documents; a row a term of a batch is all that is shuffled.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield _batch_counts(b.column("plain"), stop, accents)
 
-def _vocabulary(counts: DataFrame, docs: DataFrame, least_df: int, most_df: float, features: int) -> DataFrame:
+    counts = _one_row_a_document(docs, id_column).select("plain").mapInArrow(run, "term string, df long, total long")
     n = docs.agg(F.count("*").alias("n"))
-    found = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).crossJoin(F.broadcast(n)).where((F.col("df") >= least_df) & (F.col("df") <= F.col("n") * F.lit(most_df)))
+    # dealt by term before anything is added up: a task would else hold most terms of its share of the texts
+    found = counts.repartition("term").groupBy("term").agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
+    found = found.crossJoin(F.broadcast(n)).where((F.col("df") >= least_df) & (F.col("df") <= F.col("n") * F.lit(most_df)))
     return found.orderBy(F.desc("total"), "term").limit(features).select("term", "df", "n")
 
 
-def _weighed(counts: DataFrame, vocabulary: DataFrame, sublinear: bool, id_column: str) -> DataFrame:
-    idf = F.log((1 + F.col("n")).cast("double") / (1 + F.col("df")).cast("double")) + 1.0
-    weight = (1.0 + F.log(F.col("tf").cast("double")) if sublinear else F.col("tf").cast("double")) * idf
-    raw = counts.join(F.broadcast(vocabulary), "term").select(id_column, "term", weight.alias("weight"))
-    # a document's terms lie together once; their norm and the terms come from the same row
-    held = raw.groupBy(id_column).agg(F.collect_list(F.struct("term", "weight")).alias("held"), F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    return held.select(id_column, "norm", F.inline("held")).select(id_column, "term", (F.col("weight") / F.col("norm")).alias("weight"))
+class _Known:
+    """A vocabulary as arrays: terms in order, the words in them, and the terms by their words' numbers."""
+
+    def __init__(self, terms: list[str], df: list[int], n: int):
+        order = sorted(range(len(terms)), key=terms.__getitem__)
+        self.terms = pa.array([terms[k] for k in order], pa.string())
+        self.idf = np.log((1.0 + n) / (1.0 + np.array(df, np.float64)[order])) + 1.0
+        parts = [terms[k].split(" ") for k in order]
+        names = sorted({w for p in parts for w in p})
+        number = {w: k for k, w in enumerate(names)}
+        self.words, self.base = pa.array(names, pa.string()), len(names) + 1
+        keys = np.array([number[p[0]] * self.base + (number[p[1]] + 1 if len(p) > 1 else 0) for p in parts], np.int64)
+        self.place = np.argsort(keys)
+        self.keys = keys[self.place]
+
+    def weights(self, plain: pa.Array, stop: tuple[str, ...], accents: bool, sublinear: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """text, place of the term, weight of a batch of texts, in the order of texts and terms; unit length a text."""
+        text, codes, names, follows = _words(plain, stop, accents)
+        if not len(self.keys) or not len(codes):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        mine = pc.fill_null(pc.index_in(names, self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)[codes]
+        one = np.flatnonzero(mine >= 0)
+        two = np.flatnonzero(follows & (mine >= 0) & (np.append(mine[1:], -1) >= 0))
+        keys = np.concatenate([mine[one] * self.base, mine[two] * self.base + mine[two + 1] + 1 if len(two) else np.zeros(0, np.int64)])
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        there = self.keys[at] == keys
+        found, tf = np.unique(np.concatenate([text[one], text[two]])[there] * len(self.keys) + self.place[at[there]], return_counts=True)
+        text, term = found // len(self.keys), found % len(self.keys)
+        weight = (1.0 + np.log(tf.astype(np.float64)) if sublinear else tf.astype(np.float64)) * self.idf[term]
+        return text, term, weight / np.sqrt(np.bincount(text, weight * weight))[text]
+
+
+#: Of a batch: text, place of the term, weight (sorted by the first two), and the terms; gives the texts and columns of its rows.
+Reduction = Callable[[np.ndarray, np.ndarray, np.ndarray, pa.Array], tuple[np.ndarray, list]]
+
+
+def weighed(docs: DataFrame, vocabulary: DataFrame, reduce: Reduction, columns: str, sublinear: bool = True, stop: tuple[str, ...] = (), id_column: str = "doc_id", accents: bool = False) -> DataFrame:
+    """id and ``columns``: what ``reduce`` makes of the documents' weights by a fitted vocabulary (smooth idf, unit length).
+
+    All terms of a document are in its row, so nothing is shuffled. The vocabulary has a fixed bound and goes to all tasks.
+    """
+    spark = docs.sparkSession
+    rows = vocabulary.select("term", "df", "n").collect()  # bounded, see ``vocabulary``
+    known = spark.sparkContext.broadcast(_Known([r["term"] for r in rows], [r["df"] for r in rows], rows[0]["n"] if rows else 0))
+    schema = StructType([docs.schema[id_column], *StructType.fromDDL(columns)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            text, out = reduce(*known.value.weights(b.column("plain"), stop, accents, sublinear), known.value.terms)
+            if len(text):
+                yield pa.RecordBatch.from_arrays([b.column(id_column).take(pa.array(text)), *out], names=schema.names)
+
+    return _one_row_a_document(docs, id_column).mapInArrow(run, schema)
 
 
-def vocabulary(docs: DataFrame, least_df: int = 2, most_df: float = 0.98, features: int = 50_000, stop: tuple[str, ...] = (), id_column: str = "doc_id") -> DataFrame:
-    """term, df and n (documents): the ``features`` terms of most occurrences in the documents to fit on."""
-    return _vocabulary(_counts(docs, stop, id_column), docs, least_df, most_df, features)
+def _every(text: np.ndarray, term: np.ndarray, weight: np.ndarray, terms: pa.Array) -> tuple[np.ndarray, list]:
+    return text, [terms.take(pa.array(term)), pa.array(weight)]
 
 
-def weigh(docs: DataFrame, vocabulary: DataFrame, sublinear: bool = True, stop: tuple[str, ...] = (), id_column: str = "doc_id") -> DataFrame:
+def weigh(docs: DataFrame, vocabulary: DataFrame, sublinear: bool = True, stop: tuple[str, ...] = (), id_column: str = "doc_id", accents: bool = False) -> DataFrame:
     """(id, term, weight) of any documents by a fitted vocabulary: smooth idf, unit length."""
-    return _weighed(_counts(docs, stop, id_column), vocabulary, sublinear, id_column)
+    return weighed(docs, vocabulary, _every, "term string, weight double", sublinear, stop, id_column, accents)
 
 
-def tfidf(docs: DataFrame, least_df: int = 2, most_df: float = 0.98, features: int = 50_000, sublinear: bool = True, stop: tuple[str, ...] = (), id_column: str = "doc_id", accents: bool = False) -> DataFrame:
-    """(id, term, weight) of the documents that the vocabulary is fitted on.
+def _sums(text: np.ndarray, term: np.ndarray, weight: np.ndarray, terms: pa.Array) -> tuple[np.ndarray, list]:
+    texts, first, counts = np.unique(text, return_index=True, return_counts=True)
+    if not len(texts):
+        return texts, []
+    return texts, [pa.array(counts), pa.array(np.add.reduceat(weight, first)), pa.array(np.maximum.reduceat(weight, first))]
 
-    Counts combine before each shuffle, and their exchange is used twice; the vocabulary has a fixed bound and is broadcast.
-    """
-    counts = _counts(docs, stop, id_column, accents)
-    return _weighed(counts, _vocabulary(counts, docs, least_df, most_df, features), sublinear, id_column)
+
+def weight_sums(docs: DataFrame, vocabulary: DataFrame, **options) -> DataFrame:
+    """id, terms (how many), total and largest weight of the documents that have any term."""
+    return weighed(docs, vocabulary, _sums, "terms long, total double, largest double", **options)
+
+
+def _ranked(text: np.ndarray, term: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Greatest weight (to nine digits) first in each text, then the smaller term."""
+    return np.lexsort((term, -np.floor(weight * 1e9 + 0.5), text))
+
+
+def keyphrases(docs: DataFrame, vocabulary: DataFrame, top: int = 3, **options) -> DataFrame:
+    """id and ``phrases``: the ``top`` terms of most weight, none part of another."""
+
+    def reduce(text: np.ndarray, term: np.ndarray, weight: np.ndarray, terms: pa.Array) -> tuple[np.ndarray, list]:
+        texts, first, counts = np.unique(text, return_index=True, return_counts=True)
+        term = term[_ranked(text, term, weight)]
+        phrases = []
+        for begin, end in zip(first, first + counts):
+            kept: list[str] = []
+            for at in range(begin, end):
+                new = terms[term[at]].as_py()
+                if not any(new in k or k in new for k in kept):
+                    kept.append(new)
+                    if len(kept) >= top:
+                        break
+            phrases.append(kept)
+        return texts, [pa.array(phrases, pa.list_(pa.string()))]
+
+    return weighed(docs, vocabulary, reduce, "phrases array<string>", **options)
 
 
-def keyphrases(weights: DataFrame, top: int = 3, id_column: str = "doc_id") -> DataFrame:
-    """id and the ``top`` terms of most weight, none part of another. The group is one document's terms."""
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct((-F.round("weight", 9)).alias("w"), "term"))), lambda x: x["term"])
-    return weights.groupBy(id_column).agg(T.distinct_terms(ordered, top).alias("phrases"))
+def heaviest(docs: DataFrame, vocabulary: DataFrame, **options) -> DataFrame:
+    """id, the term of most weight (of equal ones, to nine digits, the greatest) and the greatest weight."""
+
+    def reduce(text: np.ndarray, term: np.ndarray, weight: np.ndarray, terms: pa.Array) -> tuple[np.ndarray, list]:
+        texts, first = np.unique(text, return_index=True)
+        if not len(texts):
+            return texts, []
+        last = np.append(first[1:], len(text)) - 1
+        best = np.lexsort((term, np.floor(weight * 1e9 + 0.5), text))[last]
+        return texts, [terms.take(pa.array(term[best])), pa.array(np.maximum.reduceat(weight, first))]
+
+    return weighed(docs, vocabulary, reduce, "term string, weight double", **options)
+
+
+def _listed(text: np.ndarray, term: np.ndarray, weight: np.ndarray, terms: pa.Array) -> tuple[np.ndarray, list]:
+    texts, first = np.unique(text, return_index=True)
+    offsets = pa.array(np.append(first, len(text)), pa.int32())
+    return texts, [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (term.astype(np.int32), weight)]
+
+
+def listed(docs: DataFrame, vocabulary: DataFrame, **options) -> DataFrame:
+    """id, ``places`` of the document's terms in the order of all terms, rising, and their ``weights``."""
+    return weighed(docs, vocabulary, _listed, "places array<int>, weights array<double>", **options)
+
+
+def scored(docs: DataFrame, vocabulary: DataFrame, coefficients: Mapping[str, float], **options) -> DataFrame:
+    """id and ``sum`` of the weights times the ``coefficients`` of their terms."""
+    by_place = np.array([v for _, v in sorted(coefficients.items())])
+
+    def reduce(text: np.ndarray, term: np.ndarray, weight: np.ndarray, terms: pa.Array) -> tuple[np.ndarray, list]:
+        texts, first = np.unique(text, return_index=True)
+        return texts, [pa.array(np.add.reduceat(weight * by_place[term], first))] if len(texts) else []
+
+    return weighed(docs, vocabulary, reduce, "sum double", **options)
+
+
+def tfidf(docs: DataFrame, least_df: int = 2, most_df: float = 0.98, features: int = 50_000, sublinear: bool = True, stop: tuple[str, ...] = (), id_column: str = "doc_id", accents: bool = False) -> DataFrame:
+    """(id, term, weight) of the documents that the vocabulary is fitted on."""
+    fitted = vocabulary(docs, least_df, most_df, features, stop, id_column, accents)
+    return weigh(docs, fitted, sublinear, stop, id_column, accents)
 
 
 def search(queries: DataFrame, pages: DataFrame, top: int = 10) -> DataFrame:

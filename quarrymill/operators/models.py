@@ -51,8 +51,8 @@ def probabilities(model: LinearModel, rows: DataFrame, id_column: str = "example
         known = {int(r["feature"]): r["coefficient"] for r in model.coefficients.select("feature", "coefficient").collect()}  # a row a dimension
         weights = F.array(*[F.lit(float(known.get(k, 0.0))) for k in range(max(known, default=-1) + 1)])
         return rows.select(id_column, sigmoid(T.dot("embedding", weights) + model.intercept).alias("probability"))
-    weights = E.weigh(rows, model.coefficients.select(F.col("feature").alias("term"), "df", "n"), id_column=id_column)
-    sums = weights.join(F.broadcast(model.coefficients.select(F.col("feature").alias("term"), "coefficient")), "term").groupBy(id_column).agg(F.sum(F.col("weight") * F.col("coefficient")).alias("sum"))
+    known = {r["feature"]: r["coefficient"] for r in model.coefficients.select("feature", "coefficient").collect()}  # a row a term of the vocabulary
+    sums = E.scored(rows, model.coefficients.select(F.col("feature").alias("term"), "df", "n"), known, id_column=id_column)
     return rows.select(id_column).join(sums, id_column, "left").select(id_column, sigmoid(F.coalesce("sum", F.lit(0.0)) + model.intercept).alias("probability"))
 
 
@@ -71,11 +71,10 @@ def _vectors(rows: DataFrame, vocabulary: DataFrame | None, id_column: str) -> t
         size = len(rows.select("embedding").first()["embedding"])
         return rows.select(id_column, "label", array_to_vector("embedding").alias("features")), [str(k) for k in range(size)]
     names = [r["term"] for r in vocabulary.select("term").orderBy("term").collect()]
-    numbers = rows.sparkSession.createDataFrame(list(enumerate(names)), "place int, term string")
-    held = E.weigh(rows, vocabulary, id_column=id_column).join(F.broadcast(numbers), "term").groupBy(id_column).agg(F.sort_array(F.collect_list(F.struct("place", "weight"))).alias("held"))
+    held = E.listed(rows, vocabulary, id_column=id_column)
     size = len(names)
-    sparse = F.udf(lambda held: Vectors.sparse(size, [(r["place"], r["weight"]) for r in held or ()]), VectorUDT())  # Spark has no function that makes sparse vectors
-    return rows.select(id_column, "label").join(held, id_column, "left").select(id_column, "label", sparse("held").alias("features")), names
+    sparse = F.udf(lambda places, weights: Vectors.sparse(size, places or [], weights or []), VectorUDT())  # Spark has no function that makes sparse vectors
+    return rows.select(id_column, "label").join(held, id_column, "left").select(id_column, "label", sparse("places", "weights").alias("features")), names
 
 
 def tuned(train: DataFrame, validation: DataFrame, kind: str, grid: tuple[float, ...] = GRID, facts: Mapping[str, str] | None = None, id_column: str = "example_id", **vocabulary) -> tuple[LinearModel, list[dict]]:

@@ -117,8 +117,8 @@ _FIT_TFIDF = MQ._tfidf_sql("documents", "", 2, 0.98, True).replace("tn AS (SELEC
 def fitted_tfidf(spark, d):
     """Vocabulary and idf of the training documents alone, weights of all."""
     docs = X.source_documents(spark, d)
-    w = E.weigh(docs, stage(E.vocabulary(docs.where("doc_id % 10 < 7")), "vocabulary"))
-    return w.groupBy("doc_id").agg(F.count("*").alias("terms"), F.round(F.sum("weight"), 6).alias("total"), F.round(F.max("weight"), 6).alias("largest"))
+    w = E.weight_sums(docs, E.vocabulary(docs.where("doc_id % 10 < 7")))
+    return w.select("doc_id", "terms", F.round("total", 6).alias("total"), F.round("largest", 6).alias("largest"))
 
 
 _TERM = X.HASH_SQL.format("('t' || term)")

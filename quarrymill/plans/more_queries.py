@@ -86,8 +86,8 @@ def near_duplicate(spark, d):
 def keyphrase_weights(spark, d):
     from quarrymill.operators import features as E
 
-    w = E.tfidf(X.source_documents(spark, d), 1, 0.9, sublinear=False, stop=E.STOP_WORDS, accents=True)
-    return w.groupBy("doc_id").agg(F.max_by("term", F.struct(F.round("weight", 9), "term")).alias("term"), F.round(F.max("weight"), 6).alias("weight"))
+    w = MQ.key_terms(X.source_documents(spark, d), E.heaviest)
+    return w.select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 
 _POOL = f"""{X.PAGES_SQL}, {MQ._tfidf_sql("(SELECT item_id AS doc_id, text FROM benchmark)", MQ._STOP, 1, 0.9, False, True)}, {MQ._PHRASES}, {MQ._VARIANTS},
@@ -103,7 +103,7 @@ def candidate_pool(spark, d):
     from quarrymill.operators import features as E
 
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
-    phrases = E.keyphrases(E.tfidf(items, 1, 0.9, sublinear=False, stop=E.STOP_WORDS, accents=True))
+    phrases = MQ.key_terms(items, E.keyphrases)
     return E.pool(phrases.select(F.col("doc_id").alias("query_id"), T.query_variants("phrases", F.lit(None).cast("string")).alias("variants")), X.pages(spark, d))
 
 

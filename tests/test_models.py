@@ -164,3 +164,49 @@ def test_near_duplicates_by_index_and_by_join(spark, monkeypatch):
     assert key(matching.near_duplicates(right, left)) == turned
     empty = left.where("id is null")
     assert matching.near_duplicates(empty, right).count() == 0 == matching.near_duplicates(right, empty).count()
+
+
+def test_terms_are_counted_in_their_documents(spark):
+    """Against a plain count: repeated and missing ids, accents, stop words, long documents; no term of a document is shuffled."""
+    import re
+    from collections import Counter
+
+    rng = np.random.default_rng(5)
+    words = ["été", "ete", "the", "a", "naïve", "snake_case", "x1", "Ω", "ΩΩ", "word", "Straße", "b"]
+    texts = [" ".join(rng.choice(words, int(rng.integers(0, 60)))) + rng.choice([".", "!\n", " - ", ""]) for _ in range(40)]
+    rows = [(k if k % 9 else 7 if k % 2 else None, t) for k, t in enumerate(texts)] + [(100, None), (101, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    plain = str.maketrans(*E._accents())
+    for stop, accents in (((), False), (("the",), True)):
+        held: dict = {}
+        for i, t in rows:
+            w = [x for x in re.findall(r"\w{2,}", (t or "").lower() if accents else (t or "").lower().translate(plain)) if x not in stop]
+            held.setdefault(i, Counter()).update(w + [f"{a} {b}" for a, b in zip(w, w[1:])])
+        df, total = Counter(t for c in held.values() for t in c), sum(held.values(), Counter())
+        found = E.vocabulary(docs, 2, 0.98, 60, stop, accents=accents)
+        best = sorted((t for t in df if 2 <= df[t] <= len(rows) * 0.98), key=lambda t: (-total[t], t))[:60]
+        assert {r["term"]: (r["df"], r["n"]) for r in found.collect()} == {t: (df[t], len(rows)) for t in best}
+        got = E.weigh(docs, found, stop=stop, accents=accents)
+        every = {(r["doc_id"], r["term"]): r["weight"] for r in got.collect()}
+        raw = {(i, t): (1 + np.log(c[t])) * (np.log((1 + len(rows)) / (1 + df[t])) + 1) for i, c in held.items() for t in best if c[t]}
+        norm = {i: np.sqrt(sum(v * v for (j, _), v in raw.items() if j == i)) for i in held}
+        assert every == pytest.approx({(i, t): v / norm[i] for (i, t), v in raw.items()})
+        sums = {r["doc_id"]: (r["terms"], r["total"], r["largest"]) for r in E.weight_sums(docs, found, stop=stop, accents=accents).collect()}
+        assert sums.keys() == {i for i, _ in every}
+        for i, (n, s, most) in sums.items():
+            mine = [v for (j, _), v in every.items() if j == i]
+            assert (n, s, most) == (len(mine), pytest.approx(sum(mine)), max(mine))
+        phrases = {r["doc_id"]: r["phrases"] for r in E.keyphrases(docs, found, stop=stop, accents=accents).collect()}
+        top = {r["doc_id"]: (r["term"], r["weight"]) for r in E.heaviest(docs, found, stop=stop, accents=accents).collect()}
+        for i in sums:
+            order = sorted(((-round(v, 9), t) for (j, t), v in every.items() if j == i))
+            kept: list = []
+            for _, t in order:
+                if len(kept) < 3 and not any(t in k or k in t for k in kept):
+                    kept.append(t)
+            assert phrases[i] == kept and top[i] == (max((-w, t) for w, t in order)[1], sums[i][2])
+    once = docs.where("doc_id > 7 and doc_id % 9 > 0")
+    plan = E.weight_sums(once, found)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Join" not in plan
+    counts = E.vocabulary(once)._jdf.queryExecution().optimizedPlan().toString()
+    assert counts.count("MapInArrow") == 1 and "Generate" not in counts
