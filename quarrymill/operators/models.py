@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,11 +94,15 @@ def tuned(train: DataFrame, validation: DataFrame, kind: str, grid: tuple[float,
     n, pos = train.agg(F.count("*"), F.sum(F.col("label").cast("double"))).first()
     weight = F.when(F.col("label") == 1, n / (2 * max(pos or 0, 1))).otherwise(n / (2 * max(n - (pos or 0), 1)))
     fitted = stage(vectors.select(F.col("label").cast("double").alias("label"), "features", weight.alias("weight")), "vectors")
+    # each step of a fit gathers a gradient a part: no more parts than cores, whatever the rows
+    fitted = fitted.coalesce(fitted.sparkSession.sparkContext.defaultParallelism)
     tried, best = [], None
     held = stage(_vectors(validation, terms, id_column)[0], "validation")
-    for c in grid:
-        # the objective over n, so that the penalty is 1 / C on the sum of the weighted losses
-        found = LogisticRegression(standardization=False, weightCol="weight", regParam=1.0 / (c * max(n, 1)), maxIter=500, tol=1e-9).fit(fitted)
+    # the objective over n, so that the penalty is 1 / C on the sum of the weighted losses
+    fit = lambda c: LogisticRegression(standardization=False, weightCol="weight", regParam=1.0 / (c * max(n, 1)), maxIter=500, tol=1e-9).fit(fitted)
+    with ThreadPoolExecutor(2) as pool:  # the steps of one fit wait for each other; each keeps its rows in memory
+        models = list(pool.map(inheritable_thread_target(train.sparkSession)(fit), grid))
+    for c, found in zip(grid, models):
         scored = stage(found.transform(held).select(F.col("label").cast("int").alias("label"), vector_to_array("probability")[1].alias("score")), "scored")
         cut = M.select_threshold(scored).first()["threshold"]
         auc = M.ranking_metrics(scored).first()["roc_auc"]

@@ -210,3 +210,14 @@ def test_terms_are_counted_in_their_documents(spark):
     assert "Aggregate" not in plan and "Join" not in plan
     counts = E.vocabulary(once)._jdf.queryExecution().optimizedPlan().toString()
     assert counts.count("MapInArrow") == 1 and "Generate" not in counts
+
+
+def test_vectors_are_made_in_their_rows(spark):
+    """A text's vector comes from its row: no term is shuffled, and a text without a known term has an empty one."""
+    rows = spark.createDataFrame([("a", "one two two", 1), ("b", "two three", 0), ("c", "four", 1), ("d", None, 0)], "example_id string, text string, label int")
+    vectors, names = L._vectors(rows, E.vocabulary(rows, 1, 1.0, id_column="example_id"), "example_id")
+    assert "Aggregate" not in vectors._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["example_id"]: r["features"] for r in vectors.collect()}
+    assert names == sorted(["one", "two", "three", "four", "one two", "two two", "two three"])
+    assert [names[k] for k in got["a"].indices] == ["one", "one two", "two", "two two"] and got["d"].numNonzeros() == 0
+    assert got["b"].norm(2) == pytest.approx(1)
