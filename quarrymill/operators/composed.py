@@ -72,6 +72,8 @@ def within_quota(candidates: DataFrame, source: str, namespace: str, quotas: Quo
     spark = candidates.sparkSession
     needs = F.broadcast(spark.createDataFrame([(s, q[source]) for s, q in quotas.items()], "split string, needed int"))
     ranked = candidates.withColumn("place", F.row_number().over(Window.partitionBy("split").orderBy(T.rank_key(f"{namespace}\0{source}", "pair_id"), "pair_id")))
+    # a number, not a column: with it each task keeps only so many rows of a split before they meet
+    ranked = ranked.where(F.col("place") <= max((q[source] for q in quotas.values()), default=0))
     ranked = stage(ranked.join(needs, "split").where("place <= needed"), "ranked")
     counts = ranked.groupBy("split").agg(F.count("*").alias("available"))
     short = needs.join(counts, "split", "left").na.fill(0, ["available"]).where("available < needed").select("split", F.lit(source).alias("source"), "needed", F.col("available").cast("int").alias("available"))

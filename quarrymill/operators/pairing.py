@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrymill.operators.ordering import positions
+
 
 def first_by(rows: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:
     """One row a key: the first in the given (total) order."""
@@ -26,10 +28,11 @@ def complete_pairs(rows: DataFrame, key: str = "candidate_id", order: str = "ord
 
 
 def zipped(left: DataFrame, right: DataFrame, by: list[str], left_order: Column, right_order: Column) -> DataFrame:
-    """The i-th row of ``left`` with the i-th of ``right`` in each group; what has no counterpart is left out."""
-    a = left.withColumn("rn", F.row_number().over(Window.partitionBy(*by).orderBy(left_order)))
-    b = right.withColumn("rn", F.row_number().over(Window.partitionBy(*by).orderBy(right_order)))
-    return a.join(b, [*by, "rn"]).drop("rn")
+    """The i-th row of ``left`` with the i-th of ``right`` in each group; what has no counterpart is left out.
+
+    Places are counted by ranges (see ``operators.ordering``), so no group meets in one task.
+    """
+    return positions(left, by, [left_order], "rn").join(positions(right, by, [right_order], "rn"), [*by, "rn"]).drop("rn")
 
 
 def quota(rows: DataFrame, by: list[str], order: Column, quotas: Column) -> DataFrame:

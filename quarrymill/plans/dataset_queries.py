@@ -29,15 +29,16 @@ _SIZES = f"sizes AS (SELECT {_STRATUM} AS stratum, document_id, count(*) AS size
 SPLIT_PASSAGES_SQL = f"WITH RECURSIVE {X.PASSAGES_SQL}, {_SIZES}, {SPLIT_SQL}, sp AS (SELECT * FROM (SELECT DISTINCT ON (example_id) * FROM passages) JOIN split USING (document_id))"
 
 
-def split_passages(spark, d):
-    """Passages with the split of their document; staged, as they are used twice."""
-    rows = stage(X.passages(spark, d), "passages")
+def split_passages(spark, d, texts=True):
+    """Passages, with their texts or without, and the split of their document; staged, as they are used twice."""
+    rows = X.passages(spark, d)
+    rows = stage(rows if texts else rows.drop("text"), "passages")
     return S.with_splits(rows, S.group_splits(rows))
 
 
 @register("e1_split_summary", f"{SPLIT_PASSAGES_SQL}, names AS (SELECT unnest(['train', 'validation', 'test']) AS split) SELECT split, count(example_id) AS passages, count(DISTINCT document_id) AS documents, count(*) FILTER (label = 1) AS positive, count(*) FILTER (label = 0) AS negative FROM names LEFT JOIN sp USING (split) GROUP BY split")
 def split_summary(spark, d):
-    return S.summary(split_passages(spark, d))
+    return S.summary(split_passages(spark, d, texts=False))
 
 
 @register("e2_violations", f"""{SPLIT_PASSAGES_SQL} SELECT 'duplicate_ids' AS "check", (SELECT count(example_id) - count(DISTINCT example_id) FROM sp) AS violations UNION ALL SELECT 'duplicate_texts', (SELECT count(text) - count(DISTINCT md5(text)) FROM sp)
@@ -48,12 +49,12 @@ def violations(spark, d):
 
 @register("e5_split_by_source", f"{SPLIT_PASSAGES_SQL} SELECT source_group, count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'validation') AS validation, count(*) FILTER (split = 'test') AS test FROM sp GROUP BY 1")
 def split_by_source(spark, d):
-    return split_passages(spark, d).groupBy("source_group").pivot("split", list(S.RATIOS)).count().na.fill(0)
+    return split_passages(spark, d, texts=False).groupBy("source_group").pivot("split", list(S.RATIOS)).count().na.fill(0)
 
 
 @register("e6_kinds_by_split", f"{SPLIT_PASSAGES_SQL} SELECT split, negative_type, count(*) AS n FROM sp WHERE label = 0 GROUP BY ALL")
 def kinds_by_split(spark, d):
-    return split_passages(spark, d).where("label = 0").groupBy("split", "negative_type").agg(F.count("*").alias("n"))
+    return split_passages(spark, d, texts=False).where("label = 0").groupBy("split", "negative_type").agg(F.count("*").alias("n"))
 
 
 @register("j1_strata", f"WITH {X.PASSAGES_SQL} SELECT {_STRATUM} AS stratum, count(DISTINCT example_id) AS n FROM passages GROUP BY 1")
@@ -76,7 +77,7 @@ def document_splits(spark, d):
 
 @register("j6_split_dataset", f"{SPLIT_PASSAGES_SQL} SELECT example_id, document_id, chunk_index, label, negative_type, split FROM sp")
 def split_dataset(spark, d):
-    rows = split_passages(spark, d).select("example_id", "document_id", "chunk_index", "label", "negative_type", "split")
+    rows = split_passages(spark, d, texts=False).select("example_id", "document_id", "chunk_index", "label", "negative_type", "split")
     return rows.orderBy("split", "document_id", F.coalesce("chunk_index", F.lit(0)))
 
 
@@ -148,7 +149,7 @@ def synthetic_pairs(spark, d):
 @register("d5_easy_fallback", f"""{SPLIT_PASSAGES_SQL}, a AS (SELECT split, example_id, row_number() OVER (PARTITION BY split ORDER BY example_id) AS rn FROM sp WHERE negative_type = 'es'),
 b AS (SELECT split, example_id, row_number() OVER (PARTITION BY split ORDER BY {_RANK.format('easy', 'example_id')}) AS rn FROM sp WHERE label = 1) SELECT split, a.example_id AS passage, b.example_id AS negative FROM a JOIN b USING (split, rn)""")
 def easy_fallback(spark, d):
-    rows = stage(split_passages(spark, d), "split")
+    rows = stage(split_passages(spark, d, texts=False), "split")
     left = rows.where("negative_type = 'es'").select("split", F.col("example_id").alias("passage"))
     right = rows.where("label = 1").select("split", F.col("example_id").alias("negative"))
     return R.zipped(left, right, ["split"], F.col("passage"), T.rank_key("easy", "negative"))
@@ -268,7 +269,7 @@ def text_overlap(spark, d):
 @register("j17_dataset_checks", f"""{SPLIT_PASSAGES_SQL}, c AS (SELECT (SELECT count(example_id) - count(DISTINCT example_id) FROM sp) AS ids, (SELECT count(*) FROM sp WHERE split = 'train') AS train, (SELECT count(*) FROM sp) AS n)
 SELECT 'unique_ids' AS "check", CASE WHEN ids = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM c UNION ALL SELECT 'train_share', CASE WHEN abs(train / n::DOUBLE - 0.7::DOUBLE) <= 0.02::DOUBLE THEN 'PASS' ELSE 'NOTE' END FROM c""")
 def dataset_checks(spark, d):
-    c = split_passages(spark, d).agg((F.count("example_id") - F.count_distinct("example_id")).alias("ids"), F.avg((F.col("split") == "train").cast("double")).alias("share"))
+    c = split_passages(spark, d, texts=False).agg((F.count("example_id") - F.count_distinct("example_id")).alias("ids"), F.avg((F.col("split") == "train").cast("double")).alias("share"))
     row = lambda name, ok, other: F.struct(F.lit(name).alias("check"), F.when(ok, "PASS").otherwise(other).alias("status"))
     return c.select(F.inline(F.array(row("unique_ids", F.col("ids") == 0, "FAIL"), row("train_share", F.abs(F.col("share") - 0.7) <= 0.02, "NOTE"))))
 

@@ -19,7 +19,7 @@ from quarrymill.sources import jsonl
 
 @register("b16_split_filter", f"{Q.SPLIT_PASSAGES_SQL} SELECT example_id, label FROM sp WHERE split = 'test'")
 def split_filter(spark, d):
-    return Q.split_passages(spark, d).where("split = 'test'").select("example_id", "label")
+    return Q.split_passages(spark, d, texts=False).where("split = 'test'").select("example_id", "label")
 
 
 @register("d1_unsplit_rows", f"{Q.SPLIT_PASSAGES_SQL} SELECT (SELECT count(*) FROM sp) AS joined, (SELECT count(*) FROM passages p WHERE p.document_id NOT IN (SELECT document_id FROM split)) AS missing")
@@ -58,7 +58,7 @@ def resume(spark, d):
 @register("e18_target_counts", f"{Q.SPLIT_PASSAGES_SQL}, t AS (SELECT * FROM (VALUES ('train', 1248), ('validation', 268), ('test', 268)) v(split, target)) SELECT split, target, count(example_id) AS n, count(example_id) - target AS deviation FROM t LEFT JOIN sp USING (split) GROUP BY split, target")
 def target_counts(spark, d):
     targets = spark.createDataFrame([("train", 1248), ("validation", 268), ("test", 268)], "split string, target int")
-    counts = Q.split_passages(spark, d).groupBy("split").agg(F.count("*").alias("n"))
+    counts = Q.split_passages(spark, d, texts=False).groupBy("split").agg(F.count("*").alias("n"))
     return targets.join(counts, "split", "left").na.fill(0, ["n"]).withColumn("deviation", F.col("n") - F.col("target"))
 
 
@@ -129,8 +129,9 @@ def predictions(spark, d):
 
 @register("j9_three_to_one", f"{MQ._HYBRID}, e2 AS (SELECT split, example_id, row_number() OVER (PARTITION BY split ORDER BY {Q._RANK.format('third', 'example_id')}) AS rn FROM sp WHERE negative_type = 'fr'), t2 AS (SELECT example_id, split, negative_id, row_number() OVER (PARTITION BY split ORDER BY example_id) AS rn FROM hy WHERE kind = 'topic') SELECT t2.split, t2.example_id AS positive, t2.negative_id AS topic, e2.example_id AS easy FROM t2 JOIN e2 USING (split, rn)")
 def three_to_one(spark, d):
-    topic = MQ._hybrid(spark, d).where("kind = 'topic'").select("split", F.col("example_id").alias("positive"), F.col("negative_id").alias("topic"))
-    easy = Q.split_passages(spark, d).where("negative_type = 'fr'").select("split", F.col("example_id").alias("easy"))
+    rows = MQ.thin_passages(spark, d)
+    topic = MQ._hybrid(spark, d, rows).where("kind = 'topic'").select("split", F.col("example_id").alias("positive"), F.col("negative_id").alias("topic"))
+    easy = rows.where("negative_type = 'fr'").select("split", F.col("example_id").alias("easy"))
     return R.zipped(topic, easy, ["split"], F.col("positive"), T.rank_key("third", "easy"))
 
 

@@ -197,3 +197,27 @@ def test_bootstrap_draws_meet_no_join(spark, monkeypatch):
     monkeypatch.setattr(stats, "HELD", 0)
     assert np.allclose(one, stats.bootstrap_interval(df, 50).first(), atol=1e-12)
     assert stats.bootstrap_interval(df.limit(0), 50).first()["low"] is None
+
+
+def test_zipped_and_quotas_meet_in_no_single_task(spark):
+    """Places are counted by ranges, and a quota limits what each task sends on."""
+    from quarrymill.operators import composed
+
+    left = spark.createDataFrame([("ab"[k % 3 == 0], k) for k in range(600)], "split string, x int")
+    right = spark.createDataFrame([("ab"[k % 2], k) for k in range(500)] + [(None, 1)], "split string, y int")
+    found = R.zipped(left, right, ["split"], F.desc("x"), F.col("y"))
+    assert "row_number() windowspecdefinition(split" not in found._jdf.queryExecution().optimizedPlan().toString()
+    a = {s: sorted((x for t, x in left.collect() if t == s), reverse=True) for s in "ab"}
+    b = {s: sorted(y for t, y in right.collect() if t == s) for s in "ab"}
+    assert sorted(found.collect()) == sorted((s, x, y) for s in "ab" for x, y in zip(a[s], b[s]))
+    pairs = spark.createDataFrame([("train" if k % 4 else "test", f"p{k}") for k in range(400)], "split string, pair_id string")
+    plans = []
+    stage = composed.stage
+    try:
+        composed.stage = lambda df, label: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), stage(df, label))[1]
+        rows, short = composed.within_quota(pairs, "x", "n", {"train": {"x": 5}, "test": {"x": 7}, "validation": {"x": 1}})
+    finally:
+        composed.stage = stage
+    assert "WindowGroupLimit" in plans[0]
+    assert {r["split"]: r["count"] for r in rows.groupBy("split").count().collect()} == {"train": 5, "test": 7}
+    assert [tuple(r) for r in short.collect()] == [("validation", "x", 1, 0)]
