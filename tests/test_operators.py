@@ -221,3 +221,27 @@ def test_zipped_and_quotas_meet_in_no_single_task(spark):
     assert "WindowGroupLimit" in plans[0]
     assert {r["split"]: r["count"] for r in rows.groupBy("split").count().collect()} == {"train": 5, "test": 7}
     assert [tuple(r) for r in short.collect()] == [("validation", "x", 1, 0)]
+
+
+def test_edges_of_a_hub_do_not_meet(spark, monkeypatch):
+    """A hub's minimum goes to its edges, whichever end it is; components are those of union-find."""
+    from quarrymill.operators import graph
+
+    random.seed(3)
+    for hub in (0, 10_000):
+        edges = [(hub, k) for k in range(1, 400)] + [(random.randint(500, 900), random.randint(500, 900)) for _ in range(150)] + [(7, 7), (None, 3)]
+        parent: dict = {}
+        find = lambda x: x if parent.setdefault(x, x) == x else find(parent[x])
+        for a, b in edges:
+            if a is not None:
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+        expected = {x: find(x) for x in parent}
+        df = spark.createDataFrame(edges, "src long, dst long")
+        for most in (graph.HUB, 20):
+            monkeypatch.setattr(graph, "HUB", most)
+            assert {r["id"]: r["component"] for r in graph.connected_components(df).collect()} == expected
+    lows = graph._lows(df, "src", "dst")
+    # what a join on the key shuffles: in one partition of many, none has the hub's rows
+    spread = graph._with_lows(df, lows, "src")
+    assert "leftanti" in spread._jdf.queryExecution().optimizedPlan().toString().lower() and spread.count() == len(edges) - 1
